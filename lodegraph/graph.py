@@ -7,7 +7,7 @@ property) are columns of the child table; they are offered as edges, too.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, MutableMapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -54,10 +54,45 @@ def key_is(df: DataFrame, key: str) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+class Frames(MutableMapping):
+    """Named tables, each either a DataFrame or a function that builds it.
+
+    A table is only planned when something reads it.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None):
+        self._tables = dict(tables or {})
+
+    def __getitem__(self, name: str) -> DataFrame:
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
+
+    def __setitem__(self, name: str, table: DataFrame | Callable[[], DataFrame]) -> None:
+        self._tables[name] = table
+
+    def __delitem__(self, name: str) -> None:
+        del self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._tables)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+    def with_tables(self, **changed: DataFrame) -> Frames:
+        return Frames({**self._tables, **changed})
+
+
 @dataclass
 class Graph:
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Frames = field(default_factory=Frames)
+    edges: Frames = field(default_factory=Frames)
+
+    def __post_init__(self) -> None:
+        self.nodes = self.nodes if isinstance(self.nodes, Frames) else Frames(self.nodes)
+        self.edges = self.edges if isinstance(self.edges, Frames) else Frames(self.edges)
 
     def node(self, label: str, allowed: Sequence[str] | None = None) -> DataFrame:
         if label not in self.nodes or (allowed is not None and label not in allowed):
@@ -74,9 +109,10 @@ class Graph:
     def all_nodes(self, labels: Sequence[str] | None = None) -> DataFrame:
         """Every node with the columns cross-label reads need."""
         frames = []
-        for label, df in self.nodes.items():
+        for label in self.nodes:
             if labels is not None and label not in labels:
                 continue
+            df = self.nodes[label]
             frames.append(df.select(
                 F.lit(label).alias("label"),
                 first_present(df, ("id", "name")).alias("key"),

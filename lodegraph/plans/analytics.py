@@ -249,7 +249,7 @@ def node_payload(nodes: DataFrame) -> DataFrame:
     return nodes.select(
         F.concat("label", F.lit(":"), "key").alias("node_id"), "label",
         short_label("shown").alias("name"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"),
-    ).dropDuplicates(["node_id"])
+    )
 
 
 def edges_around_document(graph: Graph, doc_id: str, n: int = 30) -> DataFrame:
@@ -297,9 +297,10 @@ def edges_around_entity(graph: Graph, label: str, key: str, docs: int = 15, othe
 
 def graph_view(graph: Graph, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node payloads and edges of one bounded neighbourhood."""
-    ids = edges.select(F.col("from_id").alias("node_id")).union(edges.select("to_id")).distinct()
-    nodes = node_payload(graph.all_nodes()).join(F.broadcast(ids), "node_id", "left_semi")
-    return nodes, edges
+    ids = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().select(
+        F.substring_index("id", ":", 1).alias("label"),
+        F.regexp_replace("id", "^[^:]*:", "").alias("key"))
+    return node_payload(graph.all_nodes().join(F.broadcast(ids), ["label", "key"], "left_semi")), edges
 
 
 # --- the set of ready-made analytic questions ---------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.access import User
 from lodegraph.functions.text import strip
-from lodegraph.graph import REVIEWABLE_LABELS, Graph, column_or_null, first_present, key_is
+from lodegraph.graph import REVIEWABLE_LABELS, Frames, Graph, column_or_null, first_present, key_is
 
 REVIEW_COLUMNS = {
     "needs_review": "boolean", "review_status": "string", "reviewed_by": "string", "reviewed_at": "string",
@@ -72,14 +72,14 @@ def comment(nodes: DataFrame, chosen: Column, user: str, now: str, note: str) ->
     return nodes.withColumn("review_notes", F.when(chosen, F.concat(notes, entry)).otherwise(F.col("review_notes")))
 
 
-def reject(graph: Graph, label: str, keys: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+def reject(graph: Graph, label: str, keys: DataFrame) -> tuple[DataFrame, Frames]:
     """(node table, edge tables) without the given nodes and all their edges."""
     node = graph.node(label)
     key = "id" if "id" in node.columns else "name"
     gone = keys.toDF("_gone").select(F.col("_gone").cast("string"))
     nodes = node.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    edges = {kind: _detach(kind, df, label, gone) for kind, df in graph.edges.items()}
-    return nodes, edges
+    edges = {kind: (lambda kind=kind: _detach(kind, graph.edge(kind), label, gone)) for kind in graph.edges}
+    return nodes, Frames(edges)
 
 
 # --- fixed values: which labels an edge type joins (None: told by dst_label) ----
@@ -122,7 +122,7 @@ def act(graph: Graph, op: str, label: str, key: str, user: User, now: str,
     row = found.first()
     if row is None:
         raise NotFound(key)
-    changed, edges, shown = with_review_columns(nodes), dict(graph.edges), row["name"]
+    changed, edges, shown = with_review_columns(nodes), graph.edges, row["name"]
     if op == "reject":
         changed, edges = reject(graph, label, found.select("key"))
     elif op == "comment":
@@ -135,4 +135,4 @@ def act(graph: Graph, op: str, label: str, key: str, user: User, now: str,
         changed = _settle(changed, chosen, op, user.name, now, changes)
         shown = action["name"].strip() if "name" in changes else action["text"].strip() if "text" in changes else shown
     receipt = {"ok": True, "op": op, "label": label, "key": key, "name": shown}
-    return Graph({**graph.nodes, label: changed}, edges), receipt
+    return Graph(graph.nodes.with_tables(**{label: changed}), edges), receipt

@@ -87,9 +87,10 @@ def _replayed(spark, base):
 
 @query(f"""WITH {VERSIONED}
 SELECT user_id, event_id, text, confidence, geography, version::BIGINT AS version,
-       CASE WHEN rn > 1 THEN c END AS changed FROM versioned""")
+       CASE WHEN rn > 1 THEN c::VARCHAR ELSE 'first' END AS changed FROM versioned""")
 def conclusion_versions(spark, base):
-    return _replayed(spark, base).select("user_id", "event_id", "text", "confidence", "geography", "version", "changed")
+    return _replayed(spark, base).select("user_id", "event_id", "text", "confidence", "geography", "version",
+                                         F.coalesce(F.col("changed").cast("string"), F.lit("first")).alias("changed"))
 
 
 @query(f"""WITH {VERSIONED}
@@ -206,16 +207,16 @@ def embedding_invalidation(spark, base):
 
 
 @query("""
-SELECT p_partkey::VARCHAR AS id, p_name AS name, false AS needs_review, 'approve' AS review_status FROM part JOIN labels ON doc_id = p_partkey
+SELECT p_partkey::VARCHAR AS id, p_name AS name, 'false' AS needs_review, 'approve' AS review_status FROM part JOIN labels ON doc_id = p_partkey
 WHERE quality = 0
 UNION ALL
-SELECT p_partkey::VARCHAR, p_name, CASE WHEN quality IS NULL THEN NULL ELSE false END, NULL FROM part LEFT JOIN labels ON doc_id = p_partkey
+SELECT p_partkey::VARCHAR, p_name, CASE WHEN quality IS NULL THEN 'unknown' ELSE 'false' END, NULL FROM part LEFT JOIN labels ON doc_id = p_partkey
 WHERE quality IS NULL OR quality = 1""")
 def review_approve_queue(spark, base):
     material = records(spark, base).node("Material")
     waiting = material.where("needs_review").select("id")
     return review.approve(material, waiting, by="expert", now="2024-02-01T00:00:00+00:00").select(
-        "id", "name", "needs_review", "review_status")
+        "id", "name", F.coalesce(F.col("needs_review").cast("string"), F.lit("unknown")).alias("needs_review"), "review_status")
 
 
 @query("""

@@ -28,7 +28,7 @@ def query_vector(spark, base):
 
 VECTORS = """
 q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0),
-sims AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], qe::DOUBLE[])
+sims AS MATERIALIZED (SELECT vec_id, list_dot_product(embedding::DOUBLE[], qe::DOUBLE[])
                 / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qe::DOUBLE[], qe::DOUBLE[]))) AS sim
          FROM embeddings, q)
 """
@@ -41,7 +41,7 @@ lens AS (SELECT doc_id || ':' || seq AS id, len({tokens_sql('text')}) AS dl FROM
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, {stem_sql('w')} AS term FROM toks) JOIN terms USING (term) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
-bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+bm AS MATERIALIZED (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
        FROM tf JOIN dfs USING (term) JOIN lens USING (id), tot GROUP BY 1)
 """
 
@@ -87,7 +87,7 @@ chan AS (
   UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank, 3 FROM hits QUALIFY rank <= 40),
 fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((ch, rank)) AS first_seen,
                  bool_or(ch = 2) AS via_graph, bool_or(ch = 3) AS via_measure FROM chan GROUP BY 1),
-ranked AS (SELECT *, (row_number() OVER (ORDER BY round(score, 12) DESC, first_seen, id))::INT AS position FROM fused)
+ranked AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY round(score, 12) DESC, first_seen, id))::INT AS position FROM fused)
 """
 
 
@@ -111,14 +111,14 @@ def rrf_fusion(spark, base):
 # the diversity pass as a walk along the positions
 GREEDY = f"""WITH {FUSED},
 sig AS (SELECT doc_id || ':' || seq AS id, doc_id AS doc, {SIGNATURE} AS s FROM chunk),
-cand AS (SELECT (row_number() OVER (ORDER BY position))::INT AS i, id, doc, s, score, via_graph, via_measure
+cand AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY position))::INT AS i, id, doc, s, score, via_graph, via_measure
          FROM ranked JOIN sig USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc WHERE lang IN ('en', 'de', 'fr')),
 greedy AS (
   SELECT 0 AS i, []::VARCHAR[] AS kept, []::VARCHAR[] AS docs, []::VARCHAR[] AS seen
   UNION ALL
   SELECT c.i, CASE WHEN t THEN list_append(kept, c.id) ELSE kept END, CASE WHEN t THEN list_append(docs, c.doc) ELSE docs END,
          CASE WHEN t THEN list_append(seen, c.s) ELSE seen END
-  FROM (SELECT g.*, c.*, len(kept) < 10 AND (s = '' OR NOT list_contains(seen, s))
+  FROM (SELECT kept, docs, seen, c.*, len(kept) < 10 AND (s = '' OR NOT list_contains(seen, s))
                AND len(list_filter(docs, lambda d: d = c.doc)) < 2 AS t
         FROM greedy g JOIN cand c ON c.i = g.i + 1) c),
 final AS (SELECT unnest(kept) AS id, unnest(range(1, len(kept) + 1)) AS place FROM (SELECT kept FROM greedy ORDER BY i DESC LIMIT 1))

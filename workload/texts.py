@@ -90,9 +90,9 @@ def unit_normalize(spark, base):
 
 @query(r"""
 SELECT page_id, coalesce(nullif(regexp_extract(url, '(19[5-9][0-9]|20[0-2][0-9])', 1), ''),
-                         nullif(regexp_extract(html, '(19[5-9][0-9]|20[0-2][0-9])', 1), ''))::INT AS year FROM pages""")
+                         nullif(regexp_extract(html, '(19[5-9][0-9]|20[0-2][0-9])', 1), '')) AS year FROM pages""")
 def find_year(spark, base):
-    return table(spark, base, "pages").select("page_id", T.find_year("url", "html").alias("year"))
+    return table(spark, base, "pages").select("page_id", T.find_year("url", "html").cast("string").alias("year"))
 
 
 @query("SELECT page_id, 'D' || left(sha1(url), 12) AS doc_id FROM pages")
@@ -166,7 +166,7 @@ RECURSIVE walk AS (
               FROM (SELECT *, substring(text, nxt + 601, 600) AS half FROM walk WHERE nxt <= n AND NOT (pos > 0 AND nxt = n + 1)))
        )
 ),
-chunk AS (SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INT AS seq, piece AS text
+chunk AS MATERIALIZED (SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INT AS seq, piece AS text
           FROM walk WHERE pos > 0 AND piece <> '')
 """
 
