@@ -18,8 +18,10 @@ def _pack(columns: Sequence[str]) -> Column:
 
 
 def _pooled(existing: DataFrame, incoming: DataFrame, order: str | None) -> DataFrame:
-    old = existing.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long"))
-    new = incoming.withColumn("_seq", F.col(order).cast("long") if order else F.lit(0).cast("long")).withColumn("_new", F.lit(1))
+    """Both sides with `_new` and `_seq`, the place of a row within its batch."""
+    kind = incoming.schema[order].dataType if order else "int"
+    old = existing.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(None).cast(kind))
+    new = incoming.withColumn("_seq", F.col(order) if order else F.lit(None).cast(kind)).withColumn("_new", F.lit(1))
     if order and order not in existing.columns:
         new = new.drop(order)
     return old.unionByName(new, allowMissingColumns=True)
@@ -72,9 +74,9 @@ def counted_edges(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     property is that of the last one."""
     props = [c for c in existing.columns if c not in keys and c != "count"]
     old = existing.select(*keys, F.col("count").cast("long").alias("count"), _pack(props).alias("_p"),
-                          F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("s")).alias("_o"))
+                          F.struct(F.lit(0).alias("n"), F.lit(None).cast(incoming.schema[order].dataType).alias("s")).alias("_o"))
     new = incoming.select(*keys, F.lit(1).cast("long").alias("count"), _pack(props).alias("_p"),
-                          F.struct(F.lit(1).alias("n"), F.col(order).cast("long").alias("s")).alias("_o"))
+                          F.struct(F.lit(1).alias("n"), F.col(order).alias("s")).alias("_o"))
     merged = old.unionByName(new).groupBy(*keys).agg(F.sum("count").alias("count"), F.max_by("_p", "_o").alias("_p"))
     return merged.select(*[F.col("_p")[c].alias(c) if c in props else F.col(c) for c in existing.columns])
 
