@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -37,24 +38,23 @@ def constraint_hits(measurements: DataFrame, constraints: Sequence[dict[str, Any
     if not asked:
         return measurements.select(F.col("source").alias("chunk_id"), F.lit(0).cast("long").alias("hits")).limit(0)
     flags = []
-    names = measurements.select("property").distinct()
+    # texts are compared per distinct (property, unit), numbers per measurement
+    # (aggregate outputs, unlike grouping keys, keep the tests above the grouping)
+    kinds = measurements.groupBy("property", "unit").agg(
+        F.any_value("property").alias("_name"), normalize_unit(F.any_value("unit")).alias("_unit"))
     for i, c in enumerate(asked):
-        stems = name_stems(F.lit(c["property"]))
-        names = names.withColumn(f"p{i}", contains_stems(tokens("property"), stems))
-    names = names.where(" or ".join(f"p{i}" for i in range(len(asked))))
-    for i, c in enumerate(asked):
-        low, high = constraint_bounds(c.get("op"), float(c["value"]), c.get("value_max"))
         unit = normalize_unit(F.lit(c.get("unit")))
         same_unit = (unit == "") | (F.col("_unit") == "") | (unit == F.col("_unit"))
-        flags.append((F.col(f"p{i}") & same_unit & overlaps(F.col("value"), F.col("value_max"), low, high)).cast("int"))
-    hits = flags[0]
-    for flag in flags[1:]:
-        hits = hits + flag
+        same_property = contains_stems(tokens("_name"), name_stems(F.lit(c["property"])))
+        kinds = kinds.withColumn(f"k{i}", same_property & same_unit)
+        low, high = constraint_bounds(c.get("op"), float(c["value"]), c.get("value_max"))
+        flags.append((F.col(f"k{i}") & overlaps(F.col("value"), F.col("value_max"), low, high)).cast("int"))
+    wanted = kinds.where(" or ".join(f"k{i}" for i in range(len(asked)))).select(
+        F.col("property").alias("_p"), F.col("unit").alias("_u"), *[f"k{i}" for i in range(len(asked))])
     return (
         measurements.where(F.col("value").isNotNull() & F.coalesce(F.col("source") != "", F.lit(False)))
-        .withColumn("_unit", normalize_unit("unit"))
-        .join(names, "property")
-        .select(F.col("source").alias("chunk_id"), hits.alias("hit"))
+        .join(wanted, (F.col("property") == F.col("_p")) & F.col("unit").eqNullSafe(F.col("_u")))
+        .select(F.col("source").alias("chunk_id"), reduce(lambda a, b: a + b, flags).alias("hit"))
         .where(F.col("hit") > 0)
         .groupBy("chunk_id").agg(F.sum("hit").alias("hits"))
     )

@@ -27,12 +27,13 @@ def resolve_texts(dictionary: DataFrame, texts: DataFrame, id_col: str = "id", t
     rarest word does. That word meets the texts in an equality join on stems;
     only the survivors are checked in full.
     """
-    variants = (
+    written = (
         dictionary.select("label", "key", "name", F.explode("variants").alias("variant"))
-        .select("label", "key", "name", name_stems("variant").alias("stems"))
+        .select("label", "key", "name", F.sort_array(name_stems("variant")).alias("stems"))
         .where(F.size("stems") > 0)
-        .distinct()
     )
+    # many entities may share a spelling: texts are matched per spelling
+    variants = written.select("stems").distinct()
     words = texts.select(F.col(id_col).alias("id"), F.array_distinct(tokens(text_col)).alias("words"))
     reach = words.select("id", "words", F.explode(
         F.array_distinct(F.flatten(F.transform("words", reachable_stems)))
@@ -41,15 +42,10 @@ def resolve_texts(dictionary: DataFrame, texts: DataFrame, id_col: str = "id", t
     rarity = reach.select("st").join(wanted, "st", "left_semi").groupBy("st").agg(F.count(F.lit(1)).alias("n"))
     per_word = variants.withColumn("st", F.explode("stems")).join(rarity, "st", "left")
     anchored = first_per_group(
-        per_word.select("label", "key", "name", "stems", F.coalesce("n", F.lit(0)).alias("n"), "st"),
-        ["label", "key", "name", "stems"], [F.col("n"), F.col("st")],
+        per_word.select("stems", F.coalesce("n", F.lit(0)).alias("n"), "st"), ["stems"], [F.col("n"), F.col("st")],
     ).where(F.col("n") > 0)
-    return (
-        reach.join(anchored, "st")
-        .where(contains_stems(F.col("words"), F.col("stems")))
-        .select("id", "label", "key", "name")
-        .distinct()
-    )
+    matched = reach.join(anchored, "st").where(contains_stems(F.col("words"), F.col("stems"))).select("id", "stems")
+    return matched.join(written, "stems").select("id", "label", "key", "name").distinct()
 
 
 def variant_lookup(dictionary: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.chunking import chunk_single_units
 from lodegraph.graph import Frames, Graph
+from lodegraph.session import spread
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -122,7 +123,7 @@ def records(spark: SparkSession, base: str) -> Graph:
 
 
 def text_documents(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").select(_text("doc_id").alias("doc_id"), "text", "lang", "source", "n_chars")
+    return spread(table(spark, base, "documents")).select(_text("doc_id").alias("doc_id"), "text", "lang", "source", "n_chars")
 
 
 def text_vectors(spark: SparkSession, base: str) -> DataFrame:
