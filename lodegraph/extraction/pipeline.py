@@ -20,7 +20,6 @@ from lodegraph.functions.vectors import Encoder, encode_column
 from lodegraph.graph import CANONICAL_LABELS, Graph
 from lodegraph.operators.resolve import new_entities, resolve_mentions, variant_lookup
 from lodegraph.operators.versioning import apply_batch
-from lodegraph.sinks import upsert
 from lodegraph.sinks.store import Store
 
 # --- fixed values -----------------------------------------------------------
@@ -34,11 +33,11 @@ CATEGORY_ORDER = ("обзор", "статья", "доклад", "материа
 
 def pending_chunks(graph: Graph, doc_id: str | None = None, category: str | None = None, force: bool = False,
                    chunk_ids: DataFrame | None = None, limit: int | None = None,
-                   category_order: Sequence[str] = ()) -> DataFrame:
-    """Chunks not yet extracted (all of them when forced), with their document."""
-    chunks = graph.node("Chunk").select("id", "doc_id", "seq", "unit_kind", "unit_no", "text", "extracted_at")
-    if not force:
-        chunks = chunks.where(F.col("extracted_at").isNull())
+                   category_order: Sequence[str] = (), done: DataFrame | None = None) -> DataFrame:
+    """Chunks not yet `done` (all of them when forced), with their document."""
+    chunks = graph.node("Chunk").select("id", "doc_id", "seq", "unit_kind", "unit_no", "text")
+    if not force and done is not None:
+        chunks = chunks.join(done.select("id"), "id", "left_anti")
     if doc_id is not None:
         chunks = chunks.where(F.col("doc_id") == doc_id)
     if chunk_ids is not None:
@@ -46,7 +45,7 @@ def pending_chunks(graph: Graph, doc_id: str | None = None, category: str | None
     documents = graph.node("Document").select(F.col("id").alias("doc_id"), "title", "category", "year")
     if category is not None:
         documents = documents.where(F.col("category") == category)
-    found = chunks.drop("extracted_at").join(documents, "doc_id")
+    found = chunks.join(documents, "doc_id")
     if limit is None:
         return found
     priority = F.array_position(F.array(*[F.lit(c) for c in category_order]).cast("array<string>"), F.col("category"))
@@ -208,20 +207,20 @@ def save(store: Store, facts: Facts) -> None:
     store.write("Conclusion", current)
     documents = store.read("Document").select(F.col("id").alias("src_id"))
     mentions = facts.mentions.join(documents, "src_id", "left_semi").withColumn("loaded_at", F.lit(None).cast("string"))
-    store.write("MENTIONS", upsert.counted_edges(store.read("MENTIONS"), mentions, order="position"))
+    store.count_mentions(mentions, "position")
     for kind, rows in (("TAGGED", facts.tagged), ("AUTHORED_BY", facts.authorship), ("REPORTS", facts.reports),
                        ("DESCRIBED_IN", facts.described), ("ABOUT", facts.about)):
         store.merge_edges(kind, rows)
     store.merge_edges("OF_PROPERTY", facts.measurements.select(
         F.col("id").alias("src_id"), F.col("property").alias("dst_id"), "source"))
-    store.merge_nodes("Chunk", facts.done)
+    store.merge_nodes("ChunkState", facts.done)
 
 
 def extract(store: Store, make_client: Callable[[], Client], model_name: str, now: str, workers: int = 1,
             partitions: int | None = None, review_below: float = REVIEW_BELOW, **selection) -> Facts:
     """Extracts pending chunks into the store. Answers are kept as a table of
     their own, so that no later step or retry asks the model twice."""
-    chunks = pending_chunks(store.graph(), **selection)
+    chunks = pending_chunks(store.graph(), done=store.read("ChunkState"), **selection)
     folder = f"{store.root}/_answers"
     number = max((int(c[4:]) for c in store._children(folder)), default=0) + 1
     asked = f"{folder}/run={number}"

@@ -26,7 +26,8 @@ def covering_documents(mentions: DataFrame, keys: Sequence[str], limit: int = GR
         mentions.where(F.col("dst_id").isin(list(keys)))
         .groupBy(F.col("src_id").alias("doc_id"))
         .agg(
-            F.count_distinct("dst_id").alias("matched"),
+            # both sets are at most as long as the list of asked keys
+            F.size(F.collect_set("dst_id")).cast("long").alias("matched"),
             F.sum("count").alias("weight"),
             F.collect_set("source").alias("sources"),
         )
@@ -45,9 +46,12 @@ def graph_candidates(mentions: DataFrame, keys: Sequence[str], limit: int) -> Da
 
 
 def document_entities(mentions: DataFrame, entities: DataFrame, n: int = DOCUMENT_ENTITIES) -> DataFrame:
-    """(doc_id, label, key, name, mentions, rank): top entities of each document."""
-    counted = mentions.groupBy(F.col("src_id").alias("doc_id"), F.col("dst_label").alias("label"),
-                               F.col("dst_id").alias("key")).agg(F.sum("count").alias("mentions"))
+    """(doc_id, label, key, name, mentions, rank): top entities of each document.
+
+    There is one edge per document and entity, so its count is the total.
+    """
+    counted = mentions.select(F.col("src_id").alias("doc_id"), F.col("dst_label").alias("label"),
+                              F.col("dst_id").alias("key"), F.col("count").alias("mentions"))
     best = top_per_group(counted, ["doc_id"], [F.col("mentions").desc(), F.col("label").asc(), F.col("key").asc()], n)
     # names are joined after the cut: at most n rows per document need one
     return best.join(entities.select("label", "key", "name"), ["label", "key"])

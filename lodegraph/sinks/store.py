@@ -7,7 +7,7 @@ while readers stay on the last complete one, which Spark's own commit marker
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +75,34 @@ class Store:
             edges[kind] = lambda label=label, src=src, dst=dst: self.read(label).select(
                 F.col(src).alias("src_id"), F.col(dst).cast("string").alias("dst_id"))
         return Graph(
-            nodes=Frames({label: (lambda label=label: self.read(label)) for label in model.NODES}),
+            nodes=Frames({label: (lambda label=label: self.read(label)) for label in model.NODES if label != "ChunkState"}),
             edges=Frames(edges),
         )
 
+    def _merge(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Merges a batch into the rows it touches and copies the others.
+
+        With a batch small enough to broadcast, the stored table is scanned
+        and rewritten but never shuffled.
+        """
+        touched, untouched = upsert.split(self.read(name), rows, keys)
+        return self.write(name, conform(merged(touched), name).unionByName(untouched))
+
     def merge_nodes(self, label: str, rows: DataFrame, order: str | None = None) -> DataFrame:
-        return self.write(label, upsert.overwrite(self.read(label), rows, model.node_key(label), order))
+        keys = model.node_key(label)
+        return self._merge(label, rows, keys, lambda old: upsert.overwrite(old, rows, keys, order))
 
     def create_nodes(self, label: str, rows: DataFrame, fill: Iterable[str] = (), order: str | None = None) -> DataFrame:
-        return self.write(label, upsert.create_only(self.read(label), rows, model.node_key(label), list(fill), order))
+        keys = model.node_key(label)
+        return self._merge(label, rows, keys, lambda old: upsert.create_only(old, rows, keys, list(fill), order))
 
     def merge_edges(self, kind: str, rows: DataFrame, order: str | None = None) -> DataFrame:
-        return self.write(kind, upsert.overwrite(self.read(kind), rows, model.edge_key(kind), order))
+        keys = model.edge_key(kind)
+        return self._merge(kind, rows, keys, lambda old: upsert.overwrite(old, rows, keys, order))
+
+    def count_mentions(self, rows: DataFrame, order: str) -> DataFrame:
+        keys = model.edge_key("MENTIONS")
+        return self._merge("MENTIONS", rows, keys, lambda old: upsert.counted_edges(old, rows, order=order))
+
+    def merge_chunks(self, rows: DataFrame) -> DataFrame:
+        return self._merge("Chunk", rows, ["id"], lambda old: upsert.chunks(old, rows))

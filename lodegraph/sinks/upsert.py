@@ -27,6 +27,12 @@ def _pooled(existing: DataFrame, incoming: DataFrame, order: str | None) -> Data
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def split(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows a batch touches, all others)."""
+    named = incoming.select(*keys).distinct()
+    return existing.join(named, list(keys), "left_semi"), existing.join(named, list(keys), "left_anti")
+
+
 def overwrite(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """Incoming attributes replace existing ones, nulls included; attributes
     the batch does not carry stay. Within a batch the last row by `order` wins."""

@@ -172,7 +172,7 @@ def ingest(store: Store, root: str, loaded_at: str, category: str | None = None,
     parse(files, options).write.parquet(target)
     corpus = plan(files, store.spark.read.parquet(target), loaded_at)
     store.merge_nodes("Document", corpus.documents)
-    store.write("Chunk", upsert.chunks(store.read("Chunk"), corpus.chunks))
+    store.merge_chunks(corpus.chunks)
     store.create_nodes("Person", corpus.people)
     store.merge_edges("AUTHORED_BY", corpus.authorship)
     return corpus

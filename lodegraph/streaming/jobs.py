@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodegraph.operators.versioning import apply_batch
-from lodegraph.sinks import audit, upsert
+from lodegraph.sinks import audit
 from lodegraph.sinks.store import Store
 
 
@@ -34,7 +34,7 @@ def chunk_upserts(store: Store, chunks: DataFrame, checkpoint: str) -> Streaming
     """New and changed chunks; a changed text loses its embedding."""
 
     def each(batch: DataFrame, _: int) -> None:
-        store.write("Chunk", upsert.chunks(store.read("Chunk"), batch.dropDuplicates(["id"])))
+        store.merge_chunks(batch.dropDuplicates(["id"]))
 
     return _run(chunks, checkpoint, "append", each)
 

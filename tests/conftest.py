@@ -12,7 +12,7 @@ from lodegraph.sinks.store import Store  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+    session = local_session(8, shuffle_partitions=2, memory="6g")
     session.sparkContext.setLogLevel("OFF")
     return session
 

@@ -80,7 +80,7 @@ def test_extraction_writes_facts_with_provenance(loaded):
     assert [r["name"] for r in loaded.read("TopicTag").collect()] == ["экология"]
     assert [r["id"] for r in loaded.read("Person").collect()] == ["P:петровп.п."]
     # resumable: only the failed chunk is still open
-    assert [r["id"] for r in loaded.read("Chunk").where("extracted_at is null").collect()] == ["D1:2"]
+    assert [r["id"] for r in loaded.read("ChunkState").collect()] == ["D1:1"]
     assert extract(loaded, lambda: Fixed(ANSWER), "fixed-1", "t2").done.count() == 0
 
 
