@@ -19,6 +19,7 @@ from lodegraph.functions.text import fold, strip
 from lodegraph.functions.vectors import Encoder, encode_column
 from lodegraph.graph import CANONICAL_LABELS, Graph
 from lodegraph.operators.resolve import new_entities, resolve_mentions, variant_lookup
+from lodegraph.operators.sampling import stride_sample
 from lodegraph.operators.versioning import apply_batch
 from lodegraph.sinks.store import Store
 
@@ -52,6 +53,13 @@ def pending_chunks(graph: Graph, doc_id: str | None = None, category: str | None
     return found.orderBy(*([priority] if category_order else []), "doc_id", "seq").limit(limit)
 
 
+def breadth_sample(graph: Graph, per_document: int = 20, done: DataFrame | None = None,
+                   category: str | None = None) -> DataFrame:
+    """Ids of evenly spread pending chunks of each document, for a wide first run."""
+    pending = pending_chunks(graph, category=category, done=done).select("id", "doc_id", "seq")
+    return stride_sample(pending, per_document, F.floor(F.col("seq") / 1000)).select("id")
+
+
 def call_model(chunks: DataFrame, make_client: Callable[[], Client], workers: int = 1,
                partitions: int | None = None) -> DataFrame:
     """One row per chunk: the answer's lists, or `error`.

@@ -21,4 +21,4 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int,
     scored = vectors.where(F.col(vector_col).isNotNull()).select(
         F.col(id_col).alias("chunk_id"), cosine_to(query)(vector_col).alias("score")
     )
-    return top_rows(scored, [F.col("score").desc(), F.col("chunk_id").asc()], k)
+    return top_rows(scored, [F.round("score", 9).desc(), F.col("chunk_id").asc()], k)

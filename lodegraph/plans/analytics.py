@@ -12,6 +12,7 @@ from lodegraph.graph import CARD_LABELS, ENTITY_LABELS, Graph, column_or_null, i
 from lodegraph.operators.pairs import coverage, gaps
 from lodegraph.operators.topn import top_per_group, top_rows
 from lodegraph.operators.traversal import comention_counts, neighbours
+from lodegraph.session import cut_lineage
 
 
 def verified(graph: Graph, label: str) -> DataFrame:
@@ -47,7 +48,8 @@ def gap_pivot(graph: Graph, rows: int = 20, columns: int = 20) -> DataFrame:
     Totals come from the counted pairs; only the chosen rows x columns become
     dense.
     """
-    counts = pair_counts(graph)
+    # read three times below
+    counts = cut_lineage(pair_counts(graph))
 
     def busiest(label: str, key: str, n: int, rank: str) -> DataFrame:
         totals = counts.groupBy(F.col(key).alias("key")).agg(F.sum("docs").alias("total"))
@@ -115,6 +117,20 @@ def review_queue(graph: Graph, n: int = 50) -> DataFrame:
     )
 
 
+def newly_met(graph: Graph, n: int = 50) -> DataFrame:
+    """(label, name, created_at) of nodes first met in texts and not yet reviewed."""
+    return (
+        graph.all_nodes().where("needs_review").select("label", F.col("name"), "created_at", "key")
+        .orderBy("label", F.col("name").asc_nulls_last(), "key").limit(n).drop("key")
+    )
+
+
+def document_sizes(graph: Graph) -> DataFrame:
+    """(doc_id, chunks, chars) of every document."""
+    return graph.node("Chunk").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
 def totals(graph: Graph) -> DataFrame:
     """One row of counts over the whole graph, zero where there is nothing.
 

@@ -130,6 +130,17 @@ def semantic_search(graph: Graph, vector: Sequence[float], k: int = 8, category:
     )
 
 
+def fulltext_fragments(graph: Graph, query: str, n: int = 10, chars: int = 200) -> DataFrame:
+    """(title, place, fragment, score): the best texts with their beginning, for a result list."""
+    found = search_texts(graph.node("Chunk"), query, n)
+    chunks = graph.node("Chunk").select(
+        F.col("id").alias("chunk_id"), "doc_id", F.concat_ws(" ", "unit_kind", F.col("unit_no").cast("string")).alias("place"),
+        F.left("text", F.lit(chars)).alias("fragment"))
+    titles = graph.node("Document").select(F.col("id").cast("string").alias("doc_id"), "title")
+    return chunks.join(F.broadcast(found), "chunk_id").join(titles, "doc_id").select(
+        "title", "place", "fragment", "score", "rank").orderBy("rank")
+
+
 def question_entities(graph: Graph, question: str) -> list[dict[str, Any]]:
     """Verified entities named in one question; as many as it has words for."""
     return [r.asDict() for r in resolve_question(graph.dictionary(), question).orderBy("label", "key").collect()]

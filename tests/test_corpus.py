@@ -141,7 +141,6 @@ def test_reingest_and_embeddings(store, tree):
     assert again.documents.count() == 0
 
 
-def test_web_pages_as_an_extra_reader():
-    options = units.Options(extra={".html": units.html_units})
-    page = b"<html><style>p{}</style><title>T</title><p>one  two<script>x</script></p></html>"
-    assert units.file_units(".html", page, options) == [(1, "page", "T\none two")]
+def test_readers_can_be_added():
+    options = units.Options(extra={".txt": lambda data: iter([(1, "page", data.decode())])})
+    assert units.file_units(".TXT", b"one", options) == [(1, "page", "one")]

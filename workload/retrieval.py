@@ -10,6 +10,7 @@ from lodegraph.operators.measurements import measurement_candidates
 from lodegraph.operators.similarity import nearest
 from lodegraph.operators.traversal import graph_candidates
 from lodegraph.plans.search import hybrid_search as run_hybrid
+from lodegraph.plans.search import fulltext_fragments as fragments_of
 from lodegraph.plans.search import semantic_search, with_entities
 from lodegraph.sources.roles import table, text_measurements, text_vectors, texts
 from workload.registry import query
@@ -47,14 +48,14 @@ bm AS MATERIALIZED (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 
 @query(f"""WITH {VECTORS}
-SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, (row_number() OVER (ORDER BY sim DESC, vec_id || ':1'))::INT AS rank
+SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, (row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1'))::INT AS rank
 FROM sims QUALIFY rank <= 20""")
 def vector_topk(spark, base):
     return nearest(text_vectors(spark, base), query_vector(spark, base), 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {VECTORS},
-top AS (SELECT vec_id, sim, row_number() OVER (ORDER BY sim DESC, vec_id || ':1') AS r FROM sims
+top AS (SELECT vec_id, sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') AS r FROM sims
         WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY r <= 32)
 SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, lang AS language, source AS category
 FROM top JOIN documents ON doc_id = vec_id WHERE lang = 'en' ORDER BY sim DESC, chunk_id LIMIT 8""")
@@ -66,12 +67,36 @@ def semantic_search_filtered(spark, base):
 
 
 @query(f"""WITH {CHUNKS}, {BM25}
-SELECT id AS chunk_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, id))::INT AS rank
+SELECT id AS chunk_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, id))::INT AS rank
 FROM bm QUALIFY rank <= 40""")
 def bm25_topk(spark, base):
     return search_texts(texts(spark, base).node("Chunk"), QUESTION, 40).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {CHUNKS}, {BM25}
+SELECT 'Document ' || doc_id AS title, 'page 1' AS place, left(text, 200) AS fragment, round(score, 6) AS score,
+       (row_number() OVER (ORDER BY round(score, 9) DESC, id))::INT AS rank
+FROM bm JOIN chunk ON id = doc_id || ':' || seq QUALIFY rank <= 10""")
+def fulltext_fragments(spark, base):
+    return fragments_of(texts(spark, base), QUESTION).withColumn("score", F.round("score", 6))
+
+
+# the same ranking over short node texts: names, brands and kinds of materials
+MATERIAL_QUERY = "red widgets, economy Brand#7"
+MATERIAL_STEMS = "['red', 'widgets', 'economy', 'brand', '7']"
+
+
+@query(f"""
+WITH chunk AS (SELECT p_partkey AS doc_id, 0 AS seq, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part),
+{BM25.replace(STEMS, MATERIAL_STEMS)}
+SELECT split_part(id, ':', 1)::BIGINT AS chunk_id, round(score, 6) AS score,
+       (row_number() OVER (ORDER BY round(score, 9) DESC, split_part(id, ':', 1)::BIGINT))::INT AS rank
+FROM bm QUALIFY rank <= 25""")
+def fulltext_materials(spark, base):
+    nodes = table(spark, base, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("shown"))
+    return search_texts(nodes, MATERIAL_QUERY, 25, "p_partkey", "shown").withColumn("score", F.round("score", 6))
+
+
 # the four channels, then fusion; ranks count from 1
 FUSED = f"""{CHUNKS}, {BM25}, {VECTORS},
 ment AS (SELECT doc_id::VARCHAR AS doc, source AS key, n_chars AS cnt FROM documents
@@ -81,8 +106,8 @@ cover AS (SELECT doc, count(DISTINCT key) AS matched, sum(cnt) AS weight FROM me
 gdocs AS (SELECT doc, row_number() OVER (ORDER BY matched DESC, weight DESC, doc) AS r FROM cover QUALIFY r <= 15),
 hits AS (SELECT doc_id || ':1' AS id, count(*) AS hits FROM labels WHERE toxic >= 1 GROUP BY 1),
 chan AS (
-  SELECT vec_id || ':1' AS id, row_number() OVER (ORDER BY sim DESC, vec_id || ':1') AS rank, 0 AS ch FROM sims QUALIFY rank <= 50
-  UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, 1 FROM bm QUALIFY rank <= 50
+  SELECT vec_id || ':1' AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') AS rank, 0 AS ch FROM sims QUALIFY rank <= 50
+  UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, 1 FROM bm QUALIFY rank <= 50
   UNION ALL SELECT doc || ':1', row_number() OVER (ORDER BY r, doc || ':1') AS rank, 2 FROM gdocs QUALIFY rank <= 50
   UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank, 3 FROM hits QUALIFY rank <= 40),
 fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((ch, rank)) AS first_seen,

@@ -9,6 +9,7 @@ from lodegraph.functions.ids import document_id, entity_id
 from lodegraph.operators.resolve import resolve_texts, variant_lookup
 from lodegraph.operators.topn import first_per_group
 from lodegraph.plans.analytics import chunk_context as context_of
+from lodegraph.plans.analytics import document_sizes as sizes_of
 from lodegraph.sources.roles import dialogues, table, text_documents, texts
 from workload.registry import query
 
@@ -181,3 +182,8 @@ SELECT f.conv_id || ':' || f.turn AS focus_id, n.turn AS seq, n.text, 'Conversat
 FROM conversations f JOIN conversations n ON f.conv_id = n.conv_id AND n.turn BETWEEN f.turn - 2 AND f.turn + 2""")
 def chunk_context(spark, base):
     return context_of(dialogues(spark, base)).select("focus_id", "seq", "text", "title")
+
+
+@query("SELECT conv_id::VARCHAR AS doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+def document_sizes(spark, base):
+    return sizes_of(dialogues(spark, base))
