@@ -103,9 +103,9 @@ def load_materials(spark: SparkSession, path: str) -> Load:
         F.coalesce(parsed, F.create_map().cast("map<string,string>")).alias("composition"))
     variants = materials.select(
         "id", F.explode(F.array_distinct(F.transform(F.concat(F.array("grade"), "synonyms"), normalize_name))).alias("variant"))
-    clash = variants.withColumn("_before", F.lag("id").over(Window.partitionBy("variant").orderBy("id")))
-    warnings = _issues(clash.where(F.col("_before") != F.col("id")), F.col("id"),
-                       F.concat(F.lit("synonym "), "variant", F.lit(" is already taken by "), "_before"))
+    owners = variants.groupBy("variant").agg(F.min("id").alias("_owner"))
+    clash = variants.join(owners, "variant").where(F.col("_owner") != F.col("id"))
+    warnings = _issues(clash, F.col("id"), F.concat(F.lit("synonym "), "variant", F.lit(" is already taken by "), "_owner"))
     return Load(_file_name(path), materials, rejected, warnings, {"Material": materials})
 
 

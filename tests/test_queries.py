@@ -26,5 +26,8 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_query(spark, db, name):
-    got = workload.QUERIES[name](spark, str(BASE)).toPandas()
+    df = workload.QUERIES[name](spark, str(BASE))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     assert frames_differ(got, db.execute(workload.ORACLES[name]).df()) is None
