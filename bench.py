@@ -37,7 +37,7 @@ def stored_search(spark, base: str) -> dict[str, float]:
     folder = tempfile.mkdtemp(prefix="run-bench-", dir="/tmp")
     graph = roles.texts(spark, base)
     began = time.perf_counter()
-    graph.node("Chunk").write.parquet(f"{folder}/chunks")
+    graph.node("Chunk").write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{folder}/chunks")
     graph.nodes["Chunk"] = spark.read.parquet(f"{folder}/chunks")
     fulltext.write_index(graph.node("Chunk"), f"{folder}/index")
     build = time.perf_counter() - began
@@ -47,7 +47,7 @@ def stored_search(spark, base: str) -> dict[str, float]:
         ranked = fulltext.search_index(spark, f"{folder}/index", retrieval.QUESTION, 50)
         search.hybrid_search(
             graph, retrieval.QUESTION, retrieval.query_vector(spark, base), k=10, entity_keys=retrieval.KEYS,
-            fulltext=ranked, vectors=roles.text_vectors(spark, base),
+            fulltext=ranked, vectors=roles.text_vectors(spark, base), lookup=True,
         ).write.format("noop").mode("overwrite").save()
         times.append(time.perf_counter() - began)
     return {"stored_index_build": round(build, 3), "stored_hybrid_search": round(statistics.median(times[1:]), 3)}

@@ -88,7 +88,7 @@ def extract_facts(store: Store, args) -> int:
 def search(store: Store, args) -> int:
     check_request(args.query, args.k, 30, args.language, args.year_from)
     hits = hybrid_search(store.graph(), args.query, k=args.k, category=args.category, language=args.language,
-                         year_from=args.year_from, encoder=hashing_encoder(args.dims))
+                         year_from=args.year_from, encoder=hashing_encoder(args.dims), lookup=True)
     for h in hits.collect():
         print(f"[{h['rrf_score']:.4f}] {h['title']} ({h['category']}, {h['year'] or '—'}, {h['unit_kind']} {h['unit_no']})")
         print("        " + h["text"].replace("\n", " "))

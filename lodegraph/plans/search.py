@@ -68,14 +68,16 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
                   entity_keys: Sequence[str] | None = None, measured: DataFrame | None = None,
                   allowed_categories: Sequence[str] | None = None, encoder: Encoder | None = None,
                   prefilter: bool = False, fulltext: DataFrame | None = None,
-                  vectors: DataFrame | None = None) -> DataFrame:
+                  vectors: DataFrame | None = None, lookup: bool = False) -> DataFrame:
     """The k best chunks for a query, one row each, ordered by `place`.
 
     Filters apply to the fused candidates, so they never widen the candidate
     set; `prefilter=True` applies them to the chunks before the channels
     instead. `measured` is a ranked (chunk_id, rank) frame; `fulltext` replaces
     the text scan by such a frame from a stored index, and `vectors` names a
-    separate (id, embedding) table where chunks carry none.
+    separate (id, embedding) table where chunks carry none. With `lookup` the
+    fused ids (a few hundred by construction) become a literal filter, so that
+    a stored chunk table is read only where its row groups may hold one.
     """
     chunks = graph.node("Chunk")
     documents = document_filter(_documents(graph), category, language, year_from, year_to, allowed_categories)
@@ -93,9 +95,14 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
     if measured is not None:
         channels.append(channel(measured, "measure"))
     fused = fuse(channels, rrf_k)
+    found = chunks
+    if lookup:
+        rows = fused.collect()
+        fused = chunks.sparkSession.createDataFrame(rows, fused.schema)
+        found = chunks.where(F.col("id").isin([r["chunk_id"] for r in rows]))
     # a few hundred rows by construction, hence the broadcast
     hits = (
-        chunks.select(F.col("id").alias("chunk_id"), "doc_id", "unit_kind", "unit_no", "text")
+        found.select(F.col("id").alias("chunk_id"), "doc_id", "unit_kind", "unit_no", "text")
         .join(F.broadcast(fused), "chunk_id")
         .join(documents, "doc_id")
         .withColumn("signature", signature("text"))

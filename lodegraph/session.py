@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # lists of keys reach the Parquet reader as they are
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # call sites are looked up per expression otherwise, which slows planning
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

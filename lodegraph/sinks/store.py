@@ -17,6 +17,10 @@ from lodegraph.graph import Frames, Graph, UnknownLabel
 from lodegraph.sinks import upsert
 
 
+# large tables read by key: row groups without the key are skipped
+KEY_FILTERS = {"Chunk": ("id", "doc_id"), "MENTIONS": ("src_id", "dst_id")}
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in their declared types; missing ones are null."""
     return df.select(*[
@@ -53,7 +57,10 @@ class Store:
         """Publishes a new snapshot and returns it."""
         taken = [int(c[2:]) for c in self._children(f"{self.root}/{name}") if c.startswith("v=")]
         target = f"{self.root}/{name}/v={max(taken, default=0) + 1}"
-        conform(df, name).write.mode("errorifexists").parquet(target)
+        writer = conform(df, name).write.mode("errorifexists")
+        for key in KEY_FILTERS.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(target)
         return self.read(name)
 
     def create(self) -> list[str]:

@@ -98,6 +98,8 @@ def test_hybrid_search_filters_and_limits(corpus):
     assert max(map([h["doc_id"] for h in hits].count, {h["doc_id"] for h in hits})) <= 2
     texts = [h["text"] for h in hits]
     assert len(set(texts)) == len(texts)
+    again = hybrid_search(corpus, "плавка меди", k=8, encoder=hashing_encoder(32), entity_keys=["M:медь", "P:обжиг"], lookup=True).collect()
+    assert again == hits
     only = hybrid_search(corpus, "плавка меди", k=8, allowed_categories=["статья"], year_from=2005, language="ru").collect()
     assert all(h["category"] == "статья" and h["year"] == 2010 and h["language"] == "ru" for h in only)
     wide = hybrid_search(corpus, "плавка меди", k=8, allowed_categories=["статья"], year_from=2005, language="ru", prefilter=True).collect()
