@@ -26,7 +26,7 @@ from workload import retrieval  # noqa: E402
 HEADLINES = [
     "hybrid_search", "bm25_topk", "vector_topk", "rrf_fusion", "chunk_documents", "dashboard_coverage",
     "dashboard_totals", "experts_top", "risk_pairs", "gap_matrix", "gap_pairs_not_exists", "gap_pivot_topn",
-    "graph_around_entity", "doc_top_entities", "measurement_channel", "entity_resolver", "mention_upsert_counts",
+    "graph_around_entity", "doc_top_entities", "measurement_candidates", "entity_resolver", "mention_upsert_counts",
     "conclusion_versions", "graph_stats_edges", "experts_by_process",
 ]
 

@@ -25,7 +25,7 @@ WITH m AS (SELECT l_orderkey || ':' || l_linenumber AS chunk_id, l_returnflag AS
 h AS (SELECT chunk_id, (p = 'A' AND lo <= 10)::INT + (p = 'R' AND unit = 'F' AND lo <= 30 AND hi >= 20)::INT
              + (p = 'N' AND unit = 'O' AND lo <= 44 AND hi >= 36)::INT AS hit FROM m),
 s AS (SELECT chunk_id, sum(hit)::BIGINT AS hits FROM h WHERE hit > 0 GROUP BY 1)
-SELECT *, (row_number() OVER (ORDER BY hits DESC, chunk_id))::INT AS rank FROM s QUALIFY rank <= 40""")
+SELECT *, (row_number() OVER (ORDER BY hits DESC, chunk_id))::INT AS rank FROM s QUALIFY rank <= 40""", name="measurement_candidates")
 def measurement_channel(spark, base):
     return measurement_candidates(records(spark, base).node("Measurement"), CONSTRAINTS)
 
@@ -45,7 +45,7 @@ def parse_numeric_ranges(spark, base):
 
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE -value END AS value, NULL::DOUBLE AS value_max,
-       CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS unit FROM events""")
+       CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS unit FROM events""", name="parse_numeric")
 def parse_numeric_values(spark, base):
     written = F.when(F.col("event_type") == "error", F.lit("none")).otherwise(
         F.concat(F.lit(" −"), F.col("value").cast("string"), F.lit(" "), F.col("event_type"), F.lit(".")))
@@ -237,7 +237,7 @@ def review_reject_detach(spark, base):
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
                   count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT conv_id || ':' || turn AS id FROM r
-WHERE n <= 3 OR i IN (0, round_even((n - 1) / 2.0, 0)::BIGINT, n - 1)""")
+WHERE n <= 3 OR i IN (0, round_even((n - 1) / 2.0, 0)::BIGINT, n - 1)""", name="stride_sample")
 def stride_sample_turns(spark, base):
     chunks = dialogues(spark, base).node("Chunk")
     return stride_sample(chunks, 3, F.floor(F.col("seq") / 1000)).select("id")

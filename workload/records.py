@@ -311,7 +311,7 @@ def covering_docs(spark, base):
 @query(COVERING + """,
 listed AS (SELECT source AS chunk_id, min(doc_rank) AS doc_rank FROM (SELECT unnest(sources) AS source, doc_rank FROM docs) GROUP BY 1)
 SELECT chunk_id, (row_number() OVER (ORDER BY doc_rank, chunk_id))::INT AS rank FROM listed
-QUALIFY rank <= 50""")
+QUALIFY rank <= 50""", name="graph_candidates")
 def graph_candidate_chunks(spark, base):
     g = records(spark, base)
     return graph_candidates(g.mentions("Material", "Process", "Equipment"), KEYS, 50)
