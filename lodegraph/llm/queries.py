@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup
+from lodegraph.llm import exact_dedup, language_id, token_counts
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,13 @@ def query(sql: str | None = None):
 @query(exact_dedup.SQL)
 def op8_exact_dedup(spark, base):
     return exact_dedup.groups(table(spark, base, "documents"))
+
+
+@query()
+def op10_language_id(spark, base):
+    return language_id.identify(table(spark, base, "documents"))
+
+
+@query()
+def op5_token_counts(spark, base):
+    return token_counts.token_counts(table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
