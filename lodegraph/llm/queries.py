@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup, language_id, token_counts
+from lodegraph.llm import exact_dedup, language_id, line_dedup, packing, token_counts
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,13 @@ def op10_language_id(spark, base):
 @query()
 def op5_token_counts(spark, base):
     return token_counts.token_counts(table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op7_mixture_packing(spark, base):
+    return packing.pack(table(spark, base, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(line_dedup.SQL)
+def op1_line_dedup(spark, base):
+    return line_dedup.line_dedup(table(spark, base, "documents"))
