@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup, language_id, line_dedup, packing, token_counts
+from lodegraph.llm import exact_dedup, language_id, line_dedup, packing, pii, token_counts
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op7_mixture_packing(spark, base):
 @query(line_dedup.SQL)
 def op1_line_dedup(spark, base):
     return line_dedup.line_dedup(table(spark, base, "documents"))
+
+
+@query()
+def op9_personal_data(spark, base):
+    return pii.personal_data(table(spark, base, "documents"))
