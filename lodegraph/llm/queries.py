@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup, language_id, line_dedup, packing, pii, token_counts
+from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, packing, pii, token_counts
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op1_line_dedup(spark, base):
 @query()
 def op9_personal_data(spark, base):
     return pii.personal_data(table(spark, base, "documents"))
+
+
+@query()
+def op4_minhash_forest(spark, base):
+    return minhash_forest.near_copies(table(spark, base, "documents"))
