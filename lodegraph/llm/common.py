@@ -42,29 +42,31 @@ def rebatched(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): rows (id, component_id).
 
-    Contraction with random priorities: in each round every node joins the
-    neighbour (or itself) with the least hashed id, and the links are redrawn
-    between the chosen nodes. Chains of any length shrink by a constant factor
-    a round, whatever the order of their ids; hubs are handled by map-side
-    `min`. Every round is checkpointed. component_id is the smallest id of
-    the component; nodes without links do not appear. Nulls and self-links
-    are ignored.
+    Contraction under a random order of the ids (their hash): in each round
+    every node takes the least of itself and its neighbours, then that node's
+    own choice, and the links are redrawn between the chosen nodes. A star
+    is done in two rounds and a chain shrinks several times a round, whatever
+    the order of its ids; hubs are handled by map-side `min`. Every round is
+    checkpointed. component_id is the smallest id of the component; nodes
+    without links do not appear. Nulls and self-links are ignored.
     """
     edges = cut_lineage(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a is not null and b is not null and a <> b").distinct()
     )
     steps = []
-    for turn in range(rounds):
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("id"))
+    for _ in range(rounds):
         if edges.isEmpty():
             break
         both = edges.union(edges.select(F.col("b"), F.col("a")))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), c.alias("id"))
         chosen = cut_lineage(
             both.groupBy(F.col("a").alias("id"))
             .agg(F.min(order(F.col("b"))).alias("best"))
             .select("id", F.least("best", order(F.col("id")))["id"].alias("to"))
         )
+        then = chosen.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        chosen = cut_lineage(chosen.join(then, "to").select("id", F.col("then").alias("to")))
         steps.append(chosen)
         left = chosen.select(F.col("id").alias("a"), F.col("to").alias("x"))
         right = chosen.select(F.col("id").alias("b"), F.col("to").alias("y"))
