@@ -22,22 +22,22 @@ from lodegraph.session import cut_lineage
 RUN, LONG_LINE = 2, 50
 
 
-def _windows(hashes: Column, lines: Column, run: int, long_line: int) -> Column:
-    """Structs (at, lines, least, key): every window of `run` lines, and every line of `long_line` words."""
-    last = F.size(hashes) - run
+def _windows(run: int, long_line: int) -> Column:
+    """Structs (at, n, least, key, key2) from the columns lines, hashes and sizes: every
+    window of `run` lines, and every line of `long_line` words."""
+    last = F.size("hashes") - run
 
     def window(at: Column, n: int) -> Column:
-        own = F.slice(hashes, at + 1, n)
-        sizes = F.transform(F.slice(lines, at + 1, n), F.length)
+        own, sizes = F.slice("hashes", at + 1, n), F.slice("sizes", at + 1, n)
         return F.struct(
             at.alias("at"), F.lit(n).alias("n"), F.array_min(own).alias("least"),
-            F.xxhash64(own, sizes).alias("key"), F.hash(sizes, own, F.lit(n)).alias("key2"),
+            F.xxhash64(own, sizes).alias("key"), F.hash(sizes, own).alias("key2"),
         )
 
     runs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda at: window(at, run))).otherwise(F.array())
     words = lambda line: F.size(F.split(F.trim(line), r"\s+"))
     long_lines = F.filter(
-        F.transform(lines, lambda line, at: F.when((F.length(line) >= 2 * long_line - 1) & (words(line) >= long_line), window(at, 1))),
+        F.transform("lines", lambda line, at: F.when((F.length(line) >= 2 * long_line - 1) & (words(line) >= long_line), window(at, 1))),
         lambda w: w.isNotNull(),
     )
     return F.concat(runs, long_lines)
@@ -65,11 +65,12 @@ def line_dedup(
     """
     rows = texts(docs, doc_id=doc_id, text=text).withColumn("th", F.xxhash64("text"))
     lines = F.split(F.col("text"), "\n", -1)
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    # columns of their own, so that no lambda computes them again for each line
+    listed = rows.where("doc_id is not null").select("doc_id", "th", lines.alias("lines")).select(
+        "*", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", F.length).alias("sizes")
+    )
     windows = cut_lineage(
-        rows.where("doc_id is not null").dropDuplicates(["doc_id", "th"])
-        .select("doc_id", "th", F.explode(_windows(hashes, lines, run, long_line)).alias("w"))
-        .select("doc_id", "th", "w.*")
+        listed.select("doc_id", "th", F.explode(_windows(run, long_line)).alias("w")).select("doc_id", "th", "w.*")
     )
     prints = windows.select("doc_id", "th", "n", "least", "at").groupBy("least", "n").agg(
         F.count(F.lit(1)).alias("times")
