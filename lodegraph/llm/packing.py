@@ -15,6 +15,7 @@ where partitions meet; a large source is dealt over all partitions.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,34 +38,62 @@ BROADCAST_ROWS = 200_000
 class Encoder:
     """Token identifiers of a text by a tokenizer file that ignores white space.
 
-    Words between blanks do not influence each other under such a file, so
-    every distinct word is encoded once by the library and remembered.
+    Words between blanks do not influence each other under such a file, nor do
+    a word's runs of letters, digits and signs, so every distinct one is
+    encoded once by the library and remembered. A word whose characters could
+    change class when normalised is handed to the library whole.
     """
 
+    # Fixed value: how word-end vocabularies of this family cut words into pieces.
+    PIECES = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cut = regex.compile(self.PIECES).findall
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Identifiers of each piece; all pieces go to the library as one text, whose identifiers are parted at word ends."""
         kind = "<u4" if self.wide else "<u2"
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
+        ids = np.array(self.library.encode("\n".join(pieces), add_special_tokens=False).ids, np.int64)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(pieces):
+            data, width = ids.astype(kind).tobytes(), int(kind[2])
+            return [data[b:e] for b, e in zip([0, *(stops[:-1] * width).tolist()], (stops * width).tolist())]
+        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, kind).tobytes() for x in found]
 
+    def cut_up(self, word: str) -> list[str]:
+        plain = word.isascii() or (unicodedata.is_normalized("NFC", word) and "\u0130" not in word)
+        return self.cut(word) if plain and "<|" not in word else [word]
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+        known, pieces = self.known, self.pieces
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        known.update(zip(new, self.encode(new)))
-        return [b"".join([known[w] for w in words]) for words in split]
+        words = {w for own in split for w in own}.difference(known)
+        parts = {w: self.cut_up(w) for w in words}
+        new = list({p for own in parts.values() for p in own}.difference(pieces))
+        if new:
+            pieces.update(zip(new, self.encode(new)))
+        for w, own in parts.items():
+            known[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+        return [b"".join([known[w] for w in own]) for own in split]
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
