@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, packing, pii, token_counts
+from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, mixing, packing, pii, token_counts
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def op9_personal_data(spark, base):
 @query()
 def op4_minhash_forest(spark, base):
     return minhash_forest.near_copies(table(spark, base, "documents"))
+
+
+@query(mixing.SQL)
+def op2_source_mixing(spark, base):
+    return mixing.sampled(table(spark, base, "documents")).withColumn("probability", F.round("probability", 9))
