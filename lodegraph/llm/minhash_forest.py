@@ -108,21 +108,26 @@ def _in_trees(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "key binary, node binary, n long, sketch binary")
 
 
-def runs(batches: Iterator[pa.RecordBatch], name: Callable[[pa.RecordBatch], list]) -> Iterator[pa.Table]:
-    """The runs of rows of equal name, over the borders of batches."""
-    held, last = [], None
+def runs(batches: Iterator[pa.RecordBatch], name: Callable[[pa.RecordBatch], list], most: int | None = None) -> Iterator[pa.Table]:
+    """The runs of rows of equal name, over the borders of batches.
+
+    With `most`, a run whose name ends in a true value comes in pieces of that many rows.
+    """
+    held, last, size = [], None, 0
     for batch in batches:
         names = name(batch)
         begin = 0
         for i, own in enumerate(names):
-            if own != last:
+            full = most is not None and size + i - begin >= most and own == last and bool(own[-1])
+            if own != last or full:
                 if i > begin:
                     held.append(batch.slice(begin, i - begin))
                 if held:
                     yield pa.Table.from_batches(held)
-                held, last, begin = [], own, i
+                held, last, begin, size = [], own, i, 0
         if len(names) > begin:
             held.append(batch.slice(begin))
+            size += len(names) - begin
     if held:
         yield pa.Table.from_batches(held)
 

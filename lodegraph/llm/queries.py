@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, mixing, packing, pii, token_counts
+from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, mixing, packing, pii, token_counts, vector_graph
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op4_minhash_forest(spark, base):
 @query(mixing.SQL)
 def op2_source_mixing(spark, base):
     return mixing.sampled(table(spark, base, "documents")).withColumn("probability", F.round("probability", 9))
+
+
+@query()
+def op3_vector_graph(spark, base):
+    return vector_graph.near_vectors(table(spark, base, "embeddings"))
