@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,17 @@ def rebatched(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
             yield batch.slice(begin)
 
 
+def once(key: tuple, make: Callable):
+    """What `make` returns, made once for all tasks of a Python worker process.
+
+    Functions travel by value, so a module's own globals do not outlive a task.
+    """
+    made = sys.__dict__.setdefault("_made_once", {})
+    if key not in made:
+        made[key] = make()
+    return made[key]
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): rows (id, component_id).
 

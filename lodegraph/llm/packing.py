@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import rebatched
+from lodegraph.llm.common import once, rebatched
 from lodegraph.session import cut_lineage
 
 WINDOW, PACKET = 2048, 64
 TOKENS_A_PARTITION = 4_000_000
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 # rows of (source, block) totals, some 60 bytes each, up to which they are broadcast
 BROADCAST_ROWS = 200_000
 
@@ -80,20 +80,21 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known, pieces = self.known, self.pieces
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = {w for own in split for w in own}.difference(known)
-        parts = {w: self.cut_up(w) for w in words}
-        new = list({p for own in parts.values() for p in own}.difference(pieces))
-        if new:
-            pieces.update(zip(new, self.encode(new)))
+        words = set().union(*split)
+        new = words.difference(known)
+        parts = {w: self.cut_up(w) for w in new}
+        unseen = list({p for own in parts.values() for p in own}.difference(pieces))
+        here = dict(zip(unseen, self.encode(unseen))) if unseen else {}
+        # early comers are the frequent ones, so what is full stays as it is
+        if len(pieces) < REMEMBERED:
+            pieces.update(here)
+        found = {w: known[w] for w in words.difference(new)}
         for w, own in parts.items():
-            known[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
-        return [b"".join([known[w] for w in own]) for own in split]
+            found[w] = b"".join([here[p] if p in here else pieces[p] for p in own])
+        if len(known) < REMEMBERED:
+            known.update({w: found[w] for w in new})
+        return [b"".join([found[w] for w in own]) for own in split]
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -105,9 +106,9 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, places, block = Encoder(path), {}, TaskContext.get().partitionId()
+        encoder, places, block = once(("encoder", path), lambda: Encoder(path)), {}, TaskContext.get().partitionId()
         last, width = (end.to_bytes(4, "little"), 4) if encoder.wide else (end.to_bytes(2, "little"), 2)
-        for batch in rebatched(batches, "text", 2 << 20):
+        for batch in rebatched(batches, "text", 4 << 20):
             ids = [x + last for x in encoder.ids(batch.column("text").to_pylist())]
             sizes, place = [len(x) // width for x in ids], []
             for source, n in zip(batch.column("source").to_pylist(), sizes):
