@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import exact_dedup
+from lodegraph.llm import exact_dedup, language_id, minhash_forest, mixing, packing
 from lodegraph.llm.common import table
-from lodegraph.session import cut_lineage
+from lodegraph.session import checkpoint_dir
+
+
+def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those no language explains better than the rest together."""
+    return language_id.recognised(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
     return exact_dedup.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    return minhash_forest.without_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens lean towards equal shares of sources and languages."""
+    return mixing.mixed(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("language ID", keep_recognised),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("packing", pack_windows),
 ]
 
-# training a model, hashing signatures and packing are beyond SQL
+# trained models, signatures and packing are beyond SQL; tests hold the stages against plain versions
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each stage before keeps is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

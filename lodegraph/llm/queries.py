@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, language_id, line_dedup, minhash_forest, mixing, packing, pii, token_counts, vector_graph
+from lodegraph.llm import (
+    exact_dedup,
+    html_render,
+    language_id,
+    line_dedup,
+    minhash_forest,
+    mixing,
+    packing,
+    pii,
+    token_counts,
+    vector_graph,
+)
 from lodegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +79,8 @@ def op2_source_mixing(spark, base):
 @query()
 def op3_vector_graph(spark, base):
     return vector_graph.near_vectors(table(spark, base, "embeddings"))
+
+
+@query()
+def op6_html_rendering(spark, base):
+    return html_render.extract(table(spark, base, "pages"))
