@@ -214,8 +214,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(docs: DataFrame, described: DataFrame, blocks: DataFrame, words: int) -> DataFrame:
     """(block, node, items): the full set of every class in a block, once."""
     wanted = cut_lineage(
-        described.join(blocks.withColumnRenamed("id", "node"), "node").groupBy("node")
-        .agg(F.min(F.struct("tk", "doc_id")).alias("row"), F.first("component_id").alias("block"))
+        described.where("node is not null").groupBy("node").agg(F.min(F.struct("tk", "doc_id")).alias("row"))
+        .join(blocks.select(F.col("id").alias("node"), F.col("component_id").alias("block")), "node")
         .select("row.tk", F.col("row.doc_id").alias("own"), "node", "block")
     )
 
