@@ -291,6 +291,9 @@ def table_lines(table: Node, depth: int = 0) -> list[str]:
 
 
 def render(html: str) -> str:
+    last = html.rfind("<")
+    if last >= 0 and ">" not in html[last:] and re.match("</?[a-zA-Z]", html[last:]):
+        html = html[:last]  # a tag that the end of the page cuts off is none
     builder = Builder()
     builder.feed(html)
     builder.close()
