@@ -67,7 +67,8 @@ def groups(
         rows = rows.withColumnRenamed("ids", "recipe")
     else:
         rows = _told_apart(source, dictionary, shared, rows, chunks)
-    found = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # stored, so that both sides of the join are shuffled for it and a large group's rows can be split
+    found = cut_lineage(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(found, "recipe").select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256",
