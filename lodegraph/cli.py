@@ -132,7 +132,7 @@ def parser() -> argparse.ArgumentParser:
     verb("seed", seed, (["dir"], {}))
     verb("ingest", ingest, (["dir"], {}), limit, category, (["--resume"], {"action": "store_true"}))
     verb("embed", embed, limit, dims)
-    verb("extract", extract_facts, (["--limit"], {"type": int, "default": 100}), (["--doc"], {}), category,
+    verb("extract", extract_facts, limit, (["--doc"], {}), category,
          (["--workers"], {"type": int, "default": 1}), (["--force"], {"action": "store_true"}))
     verb("search", search, (["query"], {}), (["-k"], {"type": int, "default": 8}), category,
          (["--language"], {}), (["--year-from"], {"type": int}), dims)

@@ -136,9 +136,17 @@ def escape_query(x: Column | str) -> Column:
     return strip(F.translate(_col(x), QUERY_SYNTAX, " " * len(QUERY_SYNTAX)))
 
 
-def signature(x: Column | str) -> Column:
-    flat = F.regexp_replace(F.coalesce(_col(x), F.lit("")), SPACES, " ")
-    return F.substring(F.trim(fold(flat)), 1, SIGNATURE_CHARS)
+def signature(x: Column | str, chars: int | None = None) -> Column:
+    """Equal for texts that differ in case and spacing only; empty for a blank text.
+
+    A digest of the whole normalised text. With `chars` (SIGNATURE_CHARS is
+    the customary number) it is that many leading characters instead, which
+    takes texts with a common beginning for one.
+    """
+    flat = F.trim(fold(F.regexp_replace(F.coalesce(_col(x), F.lit("")), SPACES, " ")))
+    if chars is not None:
+        return F.substring(flat, 1, chars)
+    return F.when(flat == "", "").otherwise(F.md5(flat))
 
 
 def display_title(title: Column | str, journal: Column | str, year: Column | str) -> Column:

@@ -19,10 +19,12 @@ def cosine_to(vector: Sequence[float]) -> Callable[[Column | str], Column]:
     """A similarity function to one fixed vector.
 
     The column is read batch-wise as one flat Arrow buffer, so a batch costs a
-    single matrix product. A null vector gets a null score.
+    single matrix product. A null vector and one of no or no finite length get
+    a null score, as does everything if the fixed vector is such a one.
     """
     q = np.asarray(vector, dtype=np.float64)
-    q = q / np.linalg.norm(q)
+    length = np.linalg.norm(q)
+    q = q / length if length > 0 else np.full(q.shape, np.nan)
 
     @F.arrow_udf("double")
     def cosine(column: pa.Array) -> pa.Array:
@@ -31,8 +33,9 @@ def cosine_to(vector: Sequence[float]) -> Callable[[Column | str], Column]:
         flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if flat.size:
             m = flat.reshape(-1, q.size)
-            scores[valid] = (m @ q) / np.sqrt(np.einsum("ij,ij->i", m, m))
-        return pa.array(scores, mask=~valid)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores[valid] = (m @ q) / np.sqrt(np.einsum("ij,ij->i", m, m))
+        return pa.array(scores, mask=~np.isfinite(scores) | ~valid)
 
     return lambda c: cosine(F.col(c) if isinstance(c, str) else c)
 

@@ -40,6 +40,8 @@ KEYS = {
 }
 EDGES = {
     "MENTIONS": f"src_id string, dst_label string, dst_id string, count bigint, {_PROV}",
+    # counts of a stream, as they stand; read as part of MENTIONS
+    "MENTIONS_STREAMED": f"src_id string, dst_label string, dst_id string, count bigint, {_PROV}",
     "DESCRIBED_IN": f"src_id string, dst_id string, fragment string, {_PROV}",
     "ABOUT": f"src_id string, dst_label string, dst_id string, {_PROV}",
     **{

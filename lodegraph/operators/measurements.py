@@ -13,11 +13,6 @@ from lodegraph.functions.numeric import constraint_bounds, overlaps
 from lodegraph.functions.text import contains_stems, name_stems, normalize_unit, tokens
 from lodegraph.operators.topn import top_rows
 
-# --- fixed values -----------------------------------------------------------
-MEASURE_CHUNKS = 40
-# -----------------------------------------------------------------------------
-
-
 def valid_constraints(constraints: Sequence[Any] | None) -> list[dict[str, Any]]:
     """Those that name a property and a number."""
     return [
@@ -61,6 +56,9 @@ def constraint_hits(measurements: DataFrame, constraints: Sequence[dict[str, Any
 
 
 def measurement_candidates(measurements: DataFrame, constraints: Sequence[dict[str, Any]],
-                           limit: int = MEASURE_CHUNKS) -> DataFrame:
-    """(chunk_id, hits, rank) of the chunks meeting most constraints."""
-    return top_rows(constraint_hits(measurements, constraints), [F.col("hits").desc(), F.col("chunk_id").asc()], limit)
+                           limit: int, within: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, hits, rank) of the chunks meeting most constraints, of those in `within` if given."""
+    hits = constraint_hits(measurements, constraints)
+    if within is not None:
+        hits = hits.join(within, "chunk_id", "left_semi")
+    return top_rows(hits, [F.col("hits").desc(), F.col("chunk_id").asc()], limit)

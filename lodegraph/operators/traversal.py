@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from lodegraph.operators.topn import ordered_collect, top_per_group, top_rows
 
 # --- fixed values -----------------------------------------------------------
-GRAPH_DOCUMENTS = 15
 DOCUMENT_ENTITIES = 12
 # -----------------------------------------------------------------------------
 
 
-def covering_documents(mentions: DataFrame, keys: Sequence[str], limit: int = GRAPH_DOCUMENTS) -> DataFrame:
+def covering_documents(mentions: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Documents mentioning several of the asked entities, best covered first.
 
     (doc_id, matched, weight, sources, doc_rank). At least two entities have
@@ -37,8 +36,8 @@ def covering_documents(mentions: DataFrame, keys: Sequence[str], limit: int = GR
 
 
 def graph_candidates(mentions: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """(chunk_id, rank): source chunks of the covering documents' mentions."""
-    listed = covering_documents(mentions, keys).select(
+    """(chunk_id, rank): source chunks of the `limit` best covering documents' mentions."""
+    listed = covering_documents(mentions, keys, limit).select(
         "doc_rank", F.explode(F.sort_array("sources")).alias("chunk_id")
     ).where(F.coalesce(F.col("chunk_id") != "", F.lit(False)))
     first = listed.groupBy("chunk_id").agg(F.min("doc_rank").alias("doc_rank"))

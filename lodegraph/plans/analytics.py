@@ -159,8 +159,8 @@ def verification_progress(graph: Graph) -> DataFrame:
     )
 
 
-def topic_coverage(graph: Graph, n: int = 20) -> DataFrame:
-    """(topic, docs, conclusions, measurements).
+def topic_coverage(graph: Graph, n: int | None = None) -> DataFrame:
+    """(topic, docs, conclusions, measurements) of all topics, or of the n with most documents.
 
     Conclusions and measurements are counted per document before they meet
     the topics; joining first would multiply them with each other. Edges are
@@ -169,15 +169,16 @@ def topic_coverage(graph: Graph, n: int = 20) -> DataFrame:
     conclusions = graph.edge("DESCRIBED_IN").groupBy(F.col("dst_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("c"))
     reports = graph.edge("REPORTS").groupBy(F.col("src_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("m"))
     tagged = graph.edge("TAGGED").select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias("topic"))
-    return (
+    covered = (
         tagged.join(conclusions, "doc_id", "left").join(reports, "doc_id", "left")
         .groupBy("topic").agg(
             F.count(F.lit(1)).alias("docs"),
             F.coalesce(F.sum("c"), F.lit(0)).alias("conclusions"),
             F.coalesce(F.sum("m"), F.lit(0)).alias("measurements"),
         )
-        .orderBy(F.col("docs").desc(), "topic").limit(n)
+        .orderBy(F.col("docs").desc(), "topic")
     )
+    return covered if n is None else covered.limit(n)
 
 
 def top_experts(graph: Graph, n: int = 12) -> DataFrame:
@@ -191,10 +192,10 @@ def top_experts(graph: Graph, n: int = 12) -> DataFrame:
     )
 
 
-def dashboard(graph: Graph) -> dict[str, DataFrame]:
+def dashboard(graph: Graph, topics: int = 20) -> dict[str, DataFrame]:
     return {
         "totals": totals(graph),
-        "coverage": topic_coverage(graph),
+        "coverage": topic_coverage(graph, topics),
         "risk_pairs": risk_pairs(graph),
         "review_by_label": review_by_label(graph),
         "experts": top_experts(graph),

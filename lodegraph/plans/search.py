@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from lodegraph.operators.fulltext import search_texts
 from lodegraph.operators.fusion import RRF_K, channel, diversify, fetch_size, fuse
 from lodegraph.operators.resolve import resolve_question
 from lodegraph.operators.similarity import nearest
+from lodegraph.operators.topn import top_rows
 from lodegraph.operators.traversal import document_entities, entities_array, graph_candidates
 
 DOCUMENT_COLUMNS = ("title", "category", "journal", "conference", "language", "rel_path")
@@ -62,38 +63,63 @@ def _documents(graph: Graph) -> DataFrame:
     )
 
 
+# a channel: (size, within) -> (chunk_id, rank), or such a frame
+Ranked = DataFrame | Callable[[int, DataFrame | None], DataFrame]
+
+
+def _ranked(source: Ranked, size: int, within: DataFrame | None) -> DataFrame:
+    if not isinstance(source, DataFrame):
+        return source(size, within)
+    if within is not None:
+        source = source.join(within, "chunk_id", "left_semi")
+    return top_rows(source.select("chunk_id", F.col("rank").alias("_given")), [F.col("_given").asc(), F.col("chunk_id").asc()], size)
+
+
 def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = None, k: int = 10,
                   category: str | None = None, language: str | None = None,
                   year_from: int | None = None, year_to: int | None = None, rrf_k: int = RRF_K,
-                  entity_keys: Sequence[str] | None = None, measured: DataFrame | None = None,
+                  entity_keys: Sequence[str] | None = None, measured: Ranked | None = None,
                   allowed_categories: Sequence[str] | None = None, encoder: Encoder | None = None,
-                  prefilter: bool = False, fulltext: DataFrame | None = None,
-                  vectors: DataFrame | None = None, lookup: bool = False) -> DataFrame:
+                  fulltext: Ranked | None = None, vectors: DataFrame | None = None,
+                  lookup: bool = False) -> DataFrame:
     """The k best chunks for a query, one row each, ordered by `place`.
 
-    Filters apply to the fused candidates, so they never widen the candidate
-    set; `prefilter=True` applies them to the chunks before the channels
-    instead. `measured` is a ranked (chunk_id, rank) frame; `fulltext` replaces
-    the text scan by such a frame from a stored index, and `vectors` names a
-    separate (id, embedding) table where chunks carry none. With `lookup` the
-    fused ids (a few hundred by construction) become a literal filter, so that
-    a stored chunk table is read only where its row groups may hold one.
+    Filters act before every channel's cut, so hidden documents take no place
+    of visible ones; scores are those of the whole collection all the same.
+    `measured` adds a channel and `fulltext` replaces the text scan (by a
+    stored index, say): each is a function of (size, within) that ranks chunks
+    of `within` only, or a ready (chunk_id, rank) frame, whose visible rows
+    move up. `vectors` names a separate (id, embedding) table where chunks
+    carry none. With `lookup` the fused ids (a few hundred by construction)
+    become a literal filter, so that a stored chunk table is read only where
+    its row groups may hold one.
     """
     chunks = graph.node("Chunk")
     documents = document_filter(_documents(graph), category, language, year_from, year_to, allowed_categories)
-    if prefilter:
-        chunks = chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
+    filtered = any(x is not None for x in (category, language, year_from, year_to, allowed_categories))
     size = fetch_size(k)
+    mentions = graph.mentions("Material", "Process", "Equipment")
+    seen, within = chunks, None
+    if filtered:
+        seen = chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
+        within = seen.select(F.col("id").alias("chunk_id"))
+        mentions = mentions.join(documents.select(F.col("doc_id").alias("src_id")), "src_id", "left_semi")
     if vector is None and encoder is not None:
         vector = encoder([query])[0]
     channels = []
     if vector is not None:
-        channels.append(channel(nearest(chunks if vectors is None else vectors, vector, size), "vector"))
-    channels.append(channel(search_texts(chunks, query, size) if fulltext is None else fulltext, "fulltext"))
+        if vectors is None:
+            vectors = seen
+        elif filtered:
+            vectors = vectors.join(within.withColumnRenamed("chunk_id", "id"), "id", "left_semi")
+        channels.append(channel(nearest(vectors, vector, size), "vector"))
+    if fulltext is None:
+        fulltext = lambda n, among: search_texts(chunks, query, n, within=among)
+    channels.append(channel(_ranked(fulltext, size, within), "fulltext"))
     if entity_keys:
-        channels.append(channel(graph_candidates(graph.mentions("Material", "Process", "Equipment"), entity_keys, size), "graph"))
+        channels.append(channel(graph_candidates(mentions, entity_keys, size), "graph"))
     if measured is not None:
-        channels.append(channel(measured, "measure"))
+        channels.append(channel(_ranked(measured, size, within), "measure"))
     fused = fuse(channels, rrf_k)
     found = chunks
     if lookup:
@@ -126,10 +152,14 @@ def with_entities(graph: Graph, hits: DataFrame) -> DataFrame:
 
 
 def semantic_search(graph: Graph, vector: Sequence[float], k: int = 8, category: str | None = None,
-                    language: str | None = None, year_from: int | None = None) -> DataFrame:
-    """Vector search alone, with a margin for what the filters remove."""
-    found = nearest(graph.node("Chunk"), vector, max(k * 4, 20))
-    documents = document_filter(_documents(graph), category, language, year_from)
+                    language: str | None = None, year_from: int | None = None,
+                    allowed_categories: Sequence[str] | None = None) -> DataFrame:
+    """Vector search alone; the filters act before the cut."""
+    documents = document_filter(_documents(graph), category, language, year_from, allowed_categories=allowed_categories)
+    seen = graph.node("Chunk")
+    if any(x is not None for x in (category, language, year_from, allowed_categories)):
+        seen = seen.join(documents.select("doc_id"), "doc_id", "left_semi")
+    found = nearest(seen, vector, k)
     chunks = graph.node("Chunk").select(F.col("id").alias("chunk_id"), "doc_id", "unit_kind", "unit_no", "text")
     return (
         chunks.join(F.broadcast(found), "chunk_id").join(documents, "doc_id")

@@ -61,15 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hands a small input to every core before expensive work on its rows.
-
-    A small file is often one row group, hence one task. Inputs that fill the
-    cores with full-sized scan tasks are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * task else df

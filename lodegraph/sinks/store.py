@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph import model
+from lodegraph.access import User, visible_graph
 from lodegraph.graph import Frames, Graph, UnknownLabel
 from lodegraph.sinks import upsert
 
@@ -46,6 +47,12 @@ class Store:
         return next((n for n in numbers if "_SUCCESS" in self._children(f"{self.root}/{name}/v={n}")), None)
 
     def read(self, name: str) -> DataFrame:
+        """The table as readers see it: mentions with what a stream has counted."""
+        if name != "MENTIONS" or self.snapshot("MENTIONS_STREAMED") is None:
+            return self.stored(name)
+        return upsert.added_counts(self.stored(name), self.stored("MENTIONS_STREAMED"))
+
+    def stored(self, name: str) -> DataFrame:
         if name not in model.NODES and name not in model.EDGES:
             raise UnknownLabel(name)
         number = self.snapshot(name)
@@ -61,7 +68,7 @@ class Store:
         for key in KEY_FILTERS.get(name, ()):
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
         writer.parquet(target)
-        return self.read(name)
+        return self.stored(name)
 
     def create(self) -> list[str]:
         """Gives every table a first, empty snapshot; existing tables stay."""
@@ -76,15 +83,17 @@ class Store:
             if self.snapshot(name) is not None:
                 self.write(name, self.spark.createDataFrame([], model.layout(name)))
 
-    def graph(self) -> Graph:
-        edges = {kind: (lambda kind=kind: self.read(kind)) for kind in model.EDGES}
+    def graph(self, user: User | None = None) -> Graph:
+        """All tables; with a user only what the user's role may read."""
+        edges = {kind: (lambda kind=kind: self.read(kind)) for kind in model.EDGES if kind != "MENTIONS_STREAMED"}
         for kind, (label, src, dst) in model.DERIVED.items():
             edges[kind] = lambda label=label, src=src, dst=dst: self.read(label).select(
                 F.col(src).alias("src_id"), F.col(dst).cast("string").alias("dst_id"))
-        return Graph(
+        graph = Graph(
             nodes=Frames({label: (lambda label=label: self.read(label)) for label in model.NODES if label != "ChunkState"}),
             edges=Frames(edges),
         )
+        return graph if user is None else visible_graph(graph, user)
 
     def _merge(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Merges a batch into the rows it touches and copies the others.
@@ -92,7 +101,7 @@ class Store:
         With a batch small enough to broadcast, the stored table is scanned
         and rewritten but never shuffled.
         """
-        touched, untouched = upsert.split(self.read(name), rows, keys)
+        touched, untouched = upsert.split(self.stored(name), rows, keys)
         return self.write(name, conform(merged(touched), name).unionByName(untouched))
 
     def merge_nodes(self, label: str, rows: DataFrame, order: str | None = None) -> DataFrame:

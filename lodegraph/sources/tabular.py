@@ -18,8 +18,6 @@ from lodegraph.graph import Graph
 from lodegraph.operators.resolve import variant_lookup
 from lodegraph.sinks.store import Store
 
-REPORT_LINES = 50
-
 
 @dataclass
 class Load:
@@ -37,14 +35,15 @@ class Load:
         for kind, rows in self.edges.items():
             store.merge_edges(kind, rows)
 
-    def report(self, lines: int = REPORT_LINES) -> str:
-        """Counts of everything, the first `lines` of rejects and warnings."""
+    def report(self, lines: int | None = None) -> str:
+        """Counts of everything, then all rejects and warnings, or the first `lines` of each."""
         out = [f"[{self.source}] loaded: {self.loaded.count()}"]
         for title, df in (("rejected", self.rejected), ("warnings", self.warnings)):
             n = df.count()
             if n:
                 out.append(f"  {title}: {n}")
-                out += [f"    - {r['record']}: {r['reason']}" for r in df.orderBy("record", "reason").limit(lines).collect()]
+                shown = df.orderBy("record", "reason")
+                out += [f"    - {r['record']}: {r['reason']}" for r in (shown if lines is None else shown.limit(lines)).toLocalIterator()]
         return "\n".join(out)
 
 

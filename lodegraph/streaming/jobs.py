@@ -3,7 +3,8 @@
 A query that dies repeats its last batch. Every batch below is therefore
 written so that repeating it changes nothing: upserts replace by key, unchanged
 conclusions are left alone, and mention counts are absolute values from the
-streaming state rather than increments.
+streaming state, kept apart from those of the batch loads. How many files make
+a batch changes no result: rows of one key are taken in the order they arrived.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodegraph.operators.versioning import apply_batch
+from lodegraph.operators.versioning import apply_changes
 from lodegraph.sinks import audit
 from lodegraph.sinks.store import Store
 
@@ -26,15 +27,21 @@ def _run(stream: DataFrame, checkpoint: str, mode: str, each) -> StreamingQuery:
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    """Parquet files as they land in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Parquet files as they land in a folder; `arrived` orders their rows."""
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return files.withColumn(ARRIVED, place)
+
+
+ARRIVED = "arrived"
 
 
 def chunk_upserts(store: Store, chunks: DataFrame, checkpoint: str) -> StreamingQuery:
-    """New and changed chunks; a changed text loses its embedding."""
+    """New and changed chunks, the last arrival of each; a changed text loses its embedding."""
 
     def each(batch: DataFrame, _: int) -> None:
-        store.merge_chunks(batch.dropDuplicates(["id"]))
+        row = F.struct(*[c for c in batch.columns if c not in ("id", ARRIVED)])
+        store.merge_chunks(batch.groupBy("id").agg(F.max_by(row, ARRIVED).alias("r")).select("id", "r.*"))
 
     return _run(chunks, checkpoint, "append", each)
 
@@ -44,9 +51,8 @@ def versioned_conclusions(store: Store, conclusions: DataFrame, checkpoint: str)
     repeated batch finds its changes already applied or applies them once."""
 
     def each(batch: DataFrame, _: int) -> None:
-        state = F.struct(*[c for c in batch.columns if c != "id"])
-        latest = batch.groupBy("id").agg(F.max_by(state, "now").alias("s")).select("id", "s.*")
-        current, archived = apply_batch(store.read("Conclusion"), latest)
+        order = F.struct("now", F.col(ARRIVED)["file_modification_time"].cast("string"), F.col(ARRIVED)["file_path"], F.col(ARRIVED)["row_index"])
+        current, archived = apply_changes(store.read("Conclusion"), batch, order)
         store.merge_nodes("ConclusionVersion", archived)
         store.write("Conclusion", current)
 
@@ -54,19 +60,23 @@ def versioned_conclusions(store: Store, conclusions: DataFrame, checkpoint: str)
 
 
 def mention_counts(store: Store, mentions: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Running counts per edge, held in the streaming state."""
+    """Running counts per edge, held in the streaming state.
+
+    They go to a table of their own; Store.read("MENTIONS") adds them to the
+    counts of the batch loads.
+    """
     props = F.struct("source", "unit", "confidence", "extracted_at", "model")
     counted = mentions.groupBy("src_id", "dst_label", "dst_id").agg(
         F.count(F.lit(1)).alias("count"), F.max_by(props, F.struct("extracted_at", "source")).alias("p"))
 
     def each(batch: DataFrame, _: int) -> None:
-        store.merge_edges("MENTIONS", batch.select("src_id", "dst_label", "dst_id", "count", "p.*"))
+        store.merge_edges("MENTIONS_STREAMED", batch.select("src_id", "dst_label", "dst_id", "count", "p.*"))
 
     return _run(counted, checkpoint, "update", each)
 
 
 def audit_log(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
-        audit.lines(actions).writeStream.format("text").outputMode("append")
+        audit.lines(actions.drop(ARRIVED)).writeStream.format("text").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     )

@@ -1,3 +1,5 @@
+import pytest
+
 from lodegraph import cli
 from lodegraph.streaming import jobs
 
@@ -65,3 +67,39 @@ def test_command_line(spark, folder, capsys):
     assert run("stats") == 0 and "Equipment: 1" in capsys.readouterr().out
     assert run("wipe") == 1 and run("wipe", "--yes") == 0
     assert run("stats") == 0 and "Equipment" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_versions_do_not_depend_on_the_batches(spark, store, folder, files_per_batch):
+    store.write("Conclusion", spark.createDataFrame([("C", "old", 0.7, None, None, 4, "t0")],
+                                                    "id string, text string, confidence double, geography string, date date, version int, updated_at string"))
+    for text, now in (("a", "t1"), ("a", "t2"), ("b", "t3"), (None, "t4"), ("c", "t5")):
+        land(spark, f"{folder}/in", [("C", text, 0.7, None, None, False, now, "m"), ("new", text or "-", 0.5, None, None, False, now, "m")], CONCLUSION)
+    run = lambda checkpoint: work_off(jobs.versioned_conclusions(store, jobs.arriving(spark, f"{folder}/in", CONCLUSION, files_per_batch), f"{folder}/{checkpoint}"))
+    run("cp")
+    state = lambda: ({(r["id"], r["version"], r["text"], r["updated_at"]) for r in store.read("Conclusion").collect()},
+                     {(r["conclusion_id"], r["version"], r["text"]) for r in store.read("ConclusionVersion").collect()})
+    seen = state()
+    assert seen[0] == {("C", 7, "c", "t5"), ("new", 4, "c", "t5")}
+    assert seen[1] == {("C", 4, "old"), ("C", 5, "a"), ("C", 6, "b"), ("new", 1, "a"), ("new", 2, "b"), ("new", 3, "-")}
+    run("again")  # the same batches once more
+    assert state() == seen
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_the_last_arrival_of_a_chunk_wins(spark, store, folder, files_per_batch):
+    for text in "abc":
+        land(spark, f"{folder}/in", [("D:1", "D", 1, 1, "page", text)], CHUNK)
+    work_off(jobs.chunk_upserts(store, jobs.arriving(spark, f"{folder}/in", CHUNK, files_per_batch), f"{folder}/cp"))
+    assert [r["text"] for r in store.read("Chunk").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_streamed_counts_add_to_stored_ones(spark, store, folder, files_per_batch):
+    row = lambda chunk, at: ("D", "Material", "M:1", chunk, "page 1", 0.8, at, "m")
+    store.write("MENTIONS", spark.createDataFrame([(*row("D:0", "t0"), 5), ("E", *row("E:0", "t0")[1:], 2)], MENTION + ", count long"))
+    for k in (1, 2):
+        land(spark, f"{folder}/in", [row(f"D:{k}", f"t{k}")], MENTION)
+        work_off(jobs.mention_counts(store, jobs.arriving(spark, f"{folder}/in", MENTION, files_per_batch), f"{folder}/cp"))
+    got = {r["src_id"]: (r["count"], r["source"]) for r in store.graph().edge("MENTIONS").collect()}
+    assert got == {"D": (7, "D:2"), "E": (2, "E:0")}

@@ -27,7 +27,7 @@ h AS (SELECT chunk_id, (p = 'A' AND lo <= 10)::INT + (p = 'R' AND unit = 'F' AND
 s AS (SELECT chunk_id, sum(hit)::BIGINT AS hits FROM h WHERE hit > 0 GROUP BY 1)
 SELECT *, (row_number() OVER (ORDER BY hits DESC, chunk_id))::INT AS rank FROM s QUALIFY rank <= 40""", name="measurement_candidates")
 def measurement_channel(spark, base):
-    return measurement_candidates(records(spark, base).node("Measurement"), CONSTRAINTS)
+    return measurement_candidates(records(spark, base).node("Measurement"), CONSTRAINTS, 40)
 
 
 @query("""

@@ -14,7 +14,7 @@ from lodegraph.plans.search import fulltext_fragments as fragments_of
 from lodegraph.plans.search import semantic_search, with_entities
 from lodegraph.sources.roles import table, text_measurements, text_vectors, texts
 from workload.registry import query
-from workload.texts import CHUNKS, SIGNATURE, stem_sql, tokens_sql
+from workload.texts import CHUNKS, WHOLE, stem_sql, tokens_sql
 
 QUESTION = "the tion leaux: (onnd her) enden"
 WORDS = ["the", "tion", "leaux", "onnd", "her", "enden"]
@@ -56,9 +56,9 @@ def vector_topk(spark, base):
 
 @query(f"""WITH {VECTORS},
 top AS (SELECT vec_id, sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') AS r FROM sims
-        WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY r <= 32)
+        WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY r <= 8)
 SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, lang AS language, source AS category
-FROM top JOIN documents ON doc_id = vec_id WHERE lang = 'en' ORDER BY sim DESC, chunk_id LIMIT 8""")
+FROM top JOIN documents ON doc_id = vec_id""")
 def semantic_search_filtered(spark, base):
     g = texts(spark, base)
     g.nodes["Chunk"] = g.nodes["Chunk"].join(text_vectors(spark, base), "id", "left")
@@ -66,6 +66,17 @@ def semantic_search_filtered(spark, base):
         "chunk_id", F.round("score", 6).alias("score"), "language", "category")
 
 
+@query(f"""WITH {VECTORS}
+SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, lang AS language, source AS category
+FROM sims JOIN documents ON doc_id = vec_id WHERE source IN ('src3', 'src11')
+QUALIFY row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') <= 8""")
+def semantic_search_restricted(spark, base):
+    g = texts(spark, base)
+    g.nodes["Chunk"] = g.nodes["Chunk"].join(text_vectors(spark, base), "id", "left")
+    return semantic_search(g, query_vector(spark, base), 8, allowed_categories=["src3", "src11"]).select(
+        "chunk_id", F.round("score", 6).alias("score"), "language", "category")
+
+
 @query(f"""WITH {CHUNKS}, {BM25}
 SELECT id AS chunk_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, id))::INT AS rank
 FROM bm QUALIFY rank <= 40""")
@@ -98,26 +109,36 @@ def fulltext_materials(spark, base):
 
 
 # the four channels, then fusion; ranks count from 1
-FUSED = f"""{CHUNKS}, {BM25}, {VECTORS},
+def fused_sql(languages: str | None = None) -> str:
+    """`languages`: those of the documents a reader may see; hidden ones leave before every channel's cut."""
+    hidden = f"WHERE lang IN ({languages})" if languages else ""
+    where = "WHERE id IN (SELECT id FROM visible)" if languages else ""
+    gwhere = "WHERE doc IN (SELECT doc FROM visible)" if languages else ""
+    return f"""{CHUNKS}, {BM25}, {VECTORS},
+visible AS MATERIALIZED (SELECT c.doc_id || ':' || c.seq AS id, c.doc_id AS doc FROM chunk c JOIN documents d ON d.doc_id::VARCHAR = c.doc_id {hidden}),
 ment AS (SELECT doc_id::VARCHAR AS doc, source AS key, n_chars AS cnt FROM documents
          UNION ALL SELECT doc_id::VARCHAR, lang, 1 FROM documents),
 cover AS (SELECT doc, count(DISTINCT key) AS matched, sum(cnt) AS weight FROM ment WHERE key IN ('src3', 'de')
           GROUP BY 1 HAVING count(DISTINCT key) >= 2),
-gdocs AS (SELECT doc, row_number() OVER (ORDER BY matched DESC, weight DESC, doc) AS r FROM cover QUALIFY r <= 15),
+gdocs AS (SELECT doc, row_number() OVER (ORDER BY matched DESC, weight DESC, doc) AS r FROM cover {gwhere} QUALIFY r <= 50),
 hits AS (SELECT doc_id || ':1' AS id, count(*) AS hits FROM labels WHERE toxic >= 1 GROUP BY 1),
+vis AS (SELECT vec_id || ':1' AS id, sim FROM sims),
 chan AS (
-  SELECT vec_id || ':1' AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') AS rank, 0 AS ch FROM sims QUALIFY rank <= 50
-  UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, 1 FROM bm QUALIFY rank <= 50
+  SELECT id, row_number() OVER (ORDER BY round(sim, 9) DESC, id) AS rank, 0 AS ch FROM vis {where} QUALIFY rank <= 50
+  UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, 1 FROM bm {where} QUALIFY rank <= 50
   UNION ALL SELECT doc || ':1', row_number() OVER (ORDER BY r, doc || ':1') AS rank, 2 FROM gdocs QUALIFY rank <= 50
-  UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank, 3 FROM hits QUALIFY rank <= 40),
+  UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank, 3 FROM hits {where} QUALIFY rank <= 50),
 fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((ch, rank)) AS first_seen,
                  bool_or(ch = 2) AS via_graph, bool_or(ch = 3) AS via_measure FROM chan GROUP BY 1),
 ranked AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY round(score, 12) DESC, first_seen, id))::INT AS position FROM fused)
 """
 
 
-def _measured(spark, base):
-    return measurement_candidates(text_measurements(spark, base), CONSTRAINTS)
+FUSED = fused_sql()
+
+
+def _measured(spark, base, size=50, within=None):
+    return measurement_candidates(text_measurements(spark, base), CONSTRAINTS, size, within)
 
 
 @query(f"""WITH {FUSED}
@@ -134,10 +155,11 @@ def rrf_fusion(spark, base):
 
 
 # the diversity pass as a walk along the positions
-GREEDY = f"""WITH {FUSED},
-sig AS (SELECT doc_id || ':' || seq AS id, doc_id AS doc, {SIGNATURE} AS s FROM chunk),
+def greedy_sql(languages: str) -> str:
+    return f"""WITH {fused_sql(languages)},
+sig AS (SELECT doc_id || ':' || seq AS id, doc_id AS doc, {WHOLE} AS s FROM chunk),
 cand AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY position))::INT AS i, id, doc, s, score, via_graph, via_measure
-         FROM ranked JOIN sig USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc WHERE lang IN ('en', 'de', 'fr')),
+         FROM ranked JOIN sig USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc WHERE lang IN ({languages})),
 greedy AS (
   SELECT 0 AS i, []::VARCHAR[] AS kept, []::VARCHAR[] AS docs, []::VARCHAR[] AS seen
   UNION ALL
@@ -150,12 +172,15 @@ final AS (SELECT unnest(kept) AS id, unnest(range(1, len(kept) + 1)) AS place FR
 """
 
 
-def _hybrid(spark, base):
+GREEDY = greedy_sql("'en', 'de', 'fr'")
+
+
+def _hybrid(spark, base, languages=("en", "de", "fr")):
     g = texts(spark, base)
-    # the reader may not see Spanish documents, told apart by category here
+    # what the reader may not see is told apart by language here, taken for the category
     g.nodes["Document"] = g.nodes["Document"].withColumn("category", F.col("language"))
-    return run_hybrid(g, QUESTION, query_vector(spark, base), k=10, entity_keys=KEYS, measured=_measured(spark, base),
-                      allowed_categories=["en", "de", "fr"], vectors=text_vectors(spark, base)), g
+    return run_hybrid(g, QUESTION, query_vector(spark, base), k=10, entity_keys=KEYS, measured=lambda n, within: _measured(spark, base, n, within),
+                      allowed_categories=list(languages), vectors=text_vectors(spark, base)), g
 
 
 @query(f"""{GREEDY}
@@ -167,6 +192,14 @@ def hybrid_search(spark, base):
     return hits.select("place", "chunk_id", "doc_id", "rrf_score", "via_graph", "via_measure", "display_title", "text")
 
 
+# most of the best hits of all texts are hidden from this reader, who gets k of the rest
+@query(f"""{greedy_sql("'es'")}
+SELECT place::INT AS place, id AS chunk_id, doc AS doc_id, round(score, 5) AS rrf_score FROM final JOIN cand USING (id)""")
+def hybrid_search_restricted(spark, base):
+    hits, _ = _hybrid(spark, base, ["es"])
+    return hits.select("place", "chunk_id", "doc_id", "rrf_score")
+
+
 @query(f"""{GREEDY}
 SELECT place::INT AS place, id AS chunk_id, 'Material:' || source || ':' || n_chars || '|Process:' || lang || ':1' AS entities
 FROM final JOIN cand USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc""")

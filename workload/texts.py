@@ -45,20 +45,30 @@ def lucene_escape(spark, base):
     return text_documents(spark, base).select("doc_id", F.md5(T.escape_query("text")).alias("escaped_md5"))
 
 
-SIGNATURE = f"left(trim({fold_sql(f'''regexp_replace(text, '[{WS}]+', ' ', 'g')''')}), 420)"
+FLAT = f"trim({fold_sql(f'''regexp_replace(text, '[{WS}]+', ' ', 'g')''')})"
+# a text's identity: all of it, or by request its first 420 characters
+WHOLE = f"CASE WHEN {FLAT} = '' THEN '' ELSE md5({FLAT}) END"
+BEGINNING = f"left({FLAT}, 420)"
 
 
-@query(f"SELECT doc_id::VARCHAR AS doc_id, {SIGNATURE} AS signature FROM documents")
+@query(f"SELECT doc_id::VARCHAR AS doc_id, {WHOLE} AS signature, {BEGINNING} AS beginning FROM documents")
 def text_signature(spark, base):
-    return text_documents(spark, base).select("doc_id", T.signature("text").alias("signature"))
+    return text_documents(spark, base).select(
+        "doc_id", T.signature("text").alias("signature"), T.signature("text", T.SIGNATURE_CHARS).alias("beginning"))
 
 
-@query(f"SELECT {SIGNATURE} AS signature, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+@query(f"SELECT {WHOLE} AS signature, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def first_per_signature(spark, base):
     docs = table(spark, base, "documents").select(T.signature("text").alias("signature"), "doc_id")
     return first_per_group(docs.withColumn("o", F.col("doc_id")), ["signature"], [F.col("o")]).drop("o")
 
 
+@query(f"SELECT {BEGINNING} AS signature, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def first_per_beginning(spark, base):
+    docs = table(spark, base, "documents").select(T.signature("text", T.SIGNATURE_CHARS).alias("signature"), "doc_id")
+    return first_per_group(docs.withColumn("o", F.col("doc_id")), ["signature"], [F.col("o")]).drop("o")
+
+
 @query(r"""
 SELECT doc_id::VARCHAR AS doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
        CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN 'unknown'
