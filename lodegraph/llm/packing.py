@@ -15,6 +15,7 @@ where partitions meet; a large source is dealt over all partitions.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from lodegraph.session import cut_lineage
 
 WINDOW, PACKET = 2048, 64
 TOKENS_A_PARTITION = 4_000_000
-REMEMBERED = 600_000
+WORDS_REMEMBERED, PIECES_REMEMBERED = 200_000, 1_200_000
 # rows of (source, block) totals, some 60 bytes each, up to which they are broadcast
 BROADCAST_ROWS = 200_000
 
@@ -66,7 +67,7 @@ class Encoder:
     def encode(self, pieces: list[str]) -> list[bytes]:
         """Identifiers of each piece; all pieces go to the library as one text, whose identifiers are parted at word ends."""
         kind = "<u4" if self.wide else "<u2"
-        ids = np.array(self.library.encode("\n".join(pieces), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.library.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(pieces):
             data, width = ids.astype(kind).tobytes(), int(kind[2])
@@ -75,6 +76,8 @@ class Encoder:
         return [np.array(x.ids, kind).tobytes() for x in found]
 
     def cut_up(self, word: str) -> list[str]:
+        if word[-1] in ".,;:!?" and word[:-1].isalpha() and "\u0130" not in word:
+            return [word[:-1], word[-1]]
         plain = word.isascii() or (unicodedata.is_normalized("NFC", word) and "\u0130" not in word)
         return self.cut(word) if plain and "<|" not in word else [word]
 
@@ -83,18 +86,21 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         new = words.difference(known)
-        parts = {w: self.cut_up(w) for w in new}
-        unseen = list({p for own in parts.values() for p in own}.difference(pieces))
+        whole = {w for w in new if w.isalpha()}  # one piece, as most are
+        parts = {w: self.cut_up(w) for w in new.difference(whole)}
+        unseen = list(whole.union(*parts.values()).difference(pieces))
         here = dict(zip(unseen, self.encode(unseen))) if unseen else {}
         # early comers are the frequent ones, so what is full stays as it is
-        if len(pieces) < REMEMBERED:
+        if len(pieces) < PIECES_REMEMBERED:
             pieces.update(here)
         found = {w: known[w] for w in words.difference(new)}
+        for w in whole:
+            found[w] = here[w] if w in here else pieces[w]
         for w, own in parts.items():
             found[w] = b"".join([here[p] if p in here else pieces[p] for p in own])
-        if len(known) < REMEMBERED:
+        if len(known) < WORDS_REMEMBERED:
             known.update({w: found[w] for w in new})
-        return [b"".join([found[w] for w in own]) for own in split]
+        return [b"".join(map(found.__getitem__, own)) for own in split]
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -109,7 +115,9 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         encoder, places, block = once(("encoder", path), lambda: Encoder(path)), {}, TaskContext.get().partitionId()
         last, width = (end.to_bytes(4, "little"), 4) if encoder.wide else (end.to_bytes(2, "little"), 2)
         for batch in rebatched(batches, "text", 4 << 20):
+            gc.disable()  # millions of short-lived strings and no cycles
             ids = [x + last for x in encoder.ids(batch.column("text").to_pylist())]
+            gc.enable()
             sizes, place = [len(x) // width for x in ids], []
             for source, n in zip(batch.column("source").to_pylist(), sizes):
                 place.append(places.get(source, 0))
