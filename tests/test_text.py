@@ -78,7 +78,7 @@ def test_query_and_signature(spark):
     assert values(spark, ['SO2 (газ) + "пыль"?'], T.escape_query("x")) == ["SO2  газ" + " " * 5 + "пыль"]
     same = values(spark, ["Один  текст\nдва", " один текст ДВА "], T.signature("x"))
     assert same[0] == same[1]
-    assert values(spark, ["я" * 1000], F.length(T.signature("x"))) == [420]
+    assert values(spark, ["я" * 1000], F.length(T.signature("x", T.SIGNATURE_CHARS))) == [420]
 
 
 def test_names_titles_years(spark):
