@@ -44,9 +44,11 @@ def once(key: tuple, make: Callable):
     """What `make` returns, made once for all tasks of a Python worker process.
 
     Functions travel by value, so a module's own globals do not outlive a task.
+    Only the last key is held: a task of another kind frees what it does not use.
     """
     made = sys.__dict__.setdefault("_made_once", {})
     if key not in made:
+        made.clear()
         made[key] = make()
     return made[key]
 
@@ -72,7 +74,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.union(edges.select(F.col("b"), F.col("a")))
-        chosen = cut_lineage(
+        chosen = (
             both.groupBy(F.col("a").alias("id"))
             .agg(F.min(order(F.col("b"))).alias("best"))
             .select("id", F.least("best", order(F.col("id")))["id"].alias("to"))

@@ -12,6 +12,7 @@ with the shortest code for the whole text wins.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import rebatched, texts
+from lodegraph.llm.common import once, rebatched
 
 UNKNOWN = "und"
 ORDER = 4
@@ -196,9 +197,10 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model.arrays())
     fields = [docs.schema[c] for c in keep]
+    stamp = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = Model.of(held.value)
+        trees = once(("language", stamp), lambda: Model.of(held.value))
         for batch in rebatched(batches, "text", 4 << 20):
             best, score = scored(trees, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import components, rebatched, texts
+from lodegraph.llm.common import components, once, rebatched, texts
 from lodegraph.session import cut_lineage
 
 TREES, DEPTH = 20, 4
@@ -74,7 +74,7 @@ def signature(items: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.n
 def _described(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, node (digest of the set, null if empty), signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips, factors = constants()
+        flips, factors = once(("minhash",), constants)
         for batch in rebatched(batches, "text", 4 << 20):
             sizes, nodes, signatures = [], [], []
             for text in batch.column("text").to_pylist():

@@ -31,7 +31,7 @@ from lodegraph.session import cut_lineage
 
 WINDOW, PACKET = 2048, 64
 TOKENS_A_PARTITION = 4_000_000
-WORDS_REMEMBERED, PIECES_REMEMBERED = 200_000, 1_200_000
+WORDS_REMEMBERED, PIECES_REMEMBERED = 150_000, 1_000_000
 # rows of (source, block) totals, some 60 bytes each, up to which they are broadcast
 BROADCAST_ROWS = 200_000
 
