@@ -23,29 +23,36 @@ def resolve_question(dictionary: DataFrame, question: str) -> DataFrame:
 def resolve_texts(dictionary: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, label, key, name): every entity found in every text.
 
-    All words of a variant have to occur, so it is enough to look where its
-    rarest word does. That word meets the texts in an equality join on stems;
-    only the survivors are checked in full.
+    All stems of a spelling have to occur, so it is enough to look where its
+    rarest one does: that stem meets the texts in an equality join, and for
+    the pairs found the spelling's stems are counted in the text by another.
+    Rows are pairs of ids and stems throughout; no list of words travels.
     """
     written = (
         dictionary.select("label", "key", "name", F.explode("variants").alias("variant"))
-        .select("label", "key", "name", F.sort_array(name_stems("variant")).alias("stems"))
+        .select("label", "key", "name", F.array_distinct(F.sort_array(name_stems("variant"))).alias("stems"))
         .where(F.size("stems") > 0)
+        .select("label", "key", "name", "stems", F.md5(F.array_join("stems", "\n")).alias("spelling"))
     )
     # many entities may share a spelling: texts are matched per spelling
-    variants = written.select("stems").distinct()
-    words = texts.select(F.col(id_col).alias("id"), F.array_distinct(tokens(text_col)).alias("words"))
-    reach = words.select("id", "words", F.explode(
-        F.array_distinct(F.flatten(F.transform("words", reachable_stems)))
-    ).alias("st"))
-    wanted = variants.select(F.explode("stems").alias("st")).distinct()
-    rarity = reach.select("st").join(wanted, "st", "left_semi").groupBy("st").agg(F.count(F.lit(1)).alias("n"))
-    per_word = variants.withColumn("st", F.explode("stems")).join(rarity, "st", "left")
+    spelled = written.groupBy("spelling").agg(F.any_value("stems").alias("stems"))
+    spelled = spelled.select("spelling", F.size("stems").alias("n_stems"), F.explode("stems").alias("st"))
+    words = F.array_distinct(tokens(text_col))
+    reach = texts.select(
+        F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.transform(words, reachable_stems)))).alias("st")
+    ).join(spelled.select("st").distinct(), "st", "left_semi")
+    reach = cut_lineage(reach)
+    rarity = reach.groupBy("st").agg(F.count(F.lit(1)).alias("n"))
     anchored = first_per_group(
-        per_word.select("stems", F.coalesce("n", F.lit(0)).alias("n"), "st"), ["stems"], [F.col("n"), F.col("st")],
+        spelled.join(rarity, "st", "left").select("spelling", F.coalesce("n", F.lit(0)).alias("n"), "st"),
+        ["spelling"], [F.col("n"), F.col("st")],
     ).where(F.col("n") > 0)
-    matched = reach.join(anchored, "st").where(contains_stems(F.col("words"), F.col("stems"))).select("id", "stems")
-    return matched.join(written, "stems").select("id", "label", "key", "name").distinct()
+    asked = reach.join(anchored.select("st", "spelling"), "st").select("id", "spelling").distinct()
+    matched = (
+        asked.join(spelled, "spelling").join(reach, ["id", "st"], "left_semi")
+        .groupBy("id", "spelling", "n_stems").agg(F.count(F.lit(1)).alias("met")).where("met = n_stems")
+    )
+    return matched.join(written, "spelling").select("id", "label", "key", "name").distinct()
 
 
 def variant_lookup(dictionary: DataFrame) -> DataFrame:

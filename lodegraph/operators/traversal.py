@@ -62,6 +62,15 @@ def entities_array(per_document: DataFrame) -> DataFrame:
     return per_document.groupBy("doc_id").agg(ordered_collect([F.col("rank")], item).alias("entities"))
 
 
+def mentioned(mentions: DataFrame, label: str, keys: DataFrame, name: str) -> DataFrame:
+    """(doc_id, `name`): the mentions of a label that are among `keys` (key)."""
+    return (
+        mentions.where(F.col("dst_label") == label)
+        .join(keys.select(F.col("key").alias("dst_id")), "dst_id", "left_semi")
+        .select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias(name))
+    )
+
+
 def comention_counts(mentions: DataFrame, left: DataFrame, right: DataFrame,
                      left_label: str, right_label: str) -> DataFrame:
     """(left_key, right_key, docs): documents mentioning both, by pair.
@@ -70,14 +79,7 @@ def comention_counts(mentions: DataFrame, left: DataFrame, right: DataFrame,
     so pairs are counted before they are shuffled; a document or an entity
     with very many edges is split by the skew join.
     """
-    def side(label: str, keys: DataFrame, name: str) -> DataFrame:
-        return (
-            mentions.where(F.col("dst_label") == label)
-            .join(keys.select(F.col("key").alias("dst_id")), "dst_id", "left_semi")
-            .select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias(name))
-        )
-
-    pairs = side(left_label, left, "left_key").join(side(right_label, right, "right_key"), "doc_id")
+    pairs = mentioned(mentions, left_label, left, "left_key").join(mentioned(mentions, right_label, right, "right_key"), "doc_id")
     return pairs.groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("docs"))
 
 

@@ -11,7 +11,7 @@ from lodegraph.functions.text import short_label
 from lodegraph.graph import CARD_LABELS, ENTITY_LABELS, Graph, column_or_null, is_verified, key_is
 from lodegraph.operators.pairs import coverage, gaps
 from lodegraph.operators.topn import top_per_group, top_rows
-from lodegraph.operators.traversal import comention_counts, neighbours
+from lodegraph.operators.traversal import comention_counts, mentioned, neighbours
 from lodegraph.session import cut_lineage
 
 
@@ -45,28 +45,32 @@ def knowledge_gaps(graph: Graph, left: str = "Material", right: str = "Process")
 def gap_pivot(graph: Graph, rows: int = 20, columns: int = 20) -> DataFrame:
     """(row_no, material_key, material, processes[], cells[]) of the most covered.
 
-    Totals come from the counted pairs; only the chosen rows x columns become
-    dense.
+    An entity's total is the number of entities of the other label over its
+    documents, so no pair is counted to choose rows and columns; only the
+    pairs of the chosen ones are.
     """
-    # read three times below
-    counts = cut_lineage(pair_counts(graph))
+    mentions, known_m, known_p = graph.mentions(), verified(graph, "Material"), verified(graph, "Process")
+    of_material = mentioned(mentions, "Material", known_m, "key")
+    of_process = mentioned(mentions, "Process", known_p, "key")
 
-    def busiest(label: str, key: str, n: int, rank: str) -> DataFrame:
-        totals = counts.groupBy(F.col(key).alias("key")).agg(F.sum("docs").alias("total"))
+    def busiest(known: DataFrame, own: DataFrame, other: DataFrame, n: int, rank: str) -> DataFrame:
+        others = other.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        totals = own.join(others, "doc_id").groupBy("key").agg(F.sum("n").alias("total"))
         return top_rows(
-            verified(graph, label).join(totals, "key", "left").withColumn("total", F.coalesce("total", F.lit(0))),
+            known.join(totals, "key", "left").withColumn("total", F.coalesce("total", F.lit(0))),
             [F.col("total").desc(), F.col("key").asc()], n, rank,
         )
 
-    materials = busiest("Material", "left_key", rows, "row_no").select(
-        F.col("key").alias("left_key"), F.col("name").alias("material"), "row_no")
-    processes = busiest("Process", "right_key", columns, "column_no").select(
-        F.col("key").alias("right_key"), F.col("name").alias("process"), "column_no")
-    # both lists are request parameters long
+    # both lists are request parameters long; each is read twice below
+    materials = cut_lineage(busiest(known_m, of_material, of_process, rows, "row_no").select(
+        F.col("key").alias("left_key"), F.col("name").alias("material"), "row_no"))
+    processes = cut_lineage(busiest(known_p, of_process, of_material, columns, "column_no").select(
+        F.col("key").alias("right_key"), F.col("name").alias("process"), "column_no"))
     header = processes.agg(F.sort_array(F.collect_list(F.struct("column_no", "right_key", "process"))).alias("header"))
+    left = of_material.withColumnRenamed("key", "left_key").join(F.broadcast(materials.select("left_key")), "left_key", "left_semi")
+    right = of_process.withColumnRenamed("key", "right_key").join(F.broadcast(processes.select("right_key")), "right_key", "left_semi")
     found = (
-        counts.join(F.broadcast(materials.select("left_key")), "left_key", "left_semi")
-        .join(F.broadcast(processes.select("right_key")), "right_key", "left_semi")
+        left.join(right, "doc_id").groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("docs"))
         .groupBy("left_key").agg(F.map_from_entries(F.collect_list(F.struct("right_key", "docs"))).alias("seen"))
     )
     listed = header.first()["header"]

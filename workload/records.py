@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodegraph.access import User, visible_documents
 from lodegraph.operators.traversal import covering_documents, document_entities, graph_candidates
 from lodegraph.plans import analytics as A
-from lodegraph.sources.roles import records
+from lodegraph.sources.roles import records, table
 from workload.registry import query
 
 # the role views, in SQL
@@ -293,22 +293,23 @@ def graph_nodes_around_entity(spark, base):
     return A.graph_view(g, A.edges_around_entity(g, "Process", "NATION_3"))[0]
 
 
-COVERING = f"""WITH {MENTIONS},
+def covering_sql(n: int) -> str:
+    return f"""WITH {MENTIONS},
 hit AS (SELECT doc, count(DISTINCT key) AS matched, sum(cnt)::BIGINT AS weight, list(DISTINCT source) AS sources
         FROM mentions WHERE label IN ('Material', 'Process', 'Equipment')
           AND key IN ('NATION_3', 'Brand#7', '17') GROUP BY doc HAVING count(DISTINCT key) >= 2),
-docs AS (SELECT *, row_number() OVER (ORDER BY matched DESC, weight DESC, doc) AS doc_rank FROM hit QUALIFY doc_rank <= 15)
+docs AS (SELECT *, row_number() OVER (ORDER BY matched DESC, weight DESC, doc) AS doc_rank FROM hit QUALIFY doc_rank <= {n})
 """
 KEYS = ["NATION_3", "Brand#7", "17"]
 
 
-@query(COVERING + "SELECT doc AS doc_id, matched, weight, doc_rank::INT AS doc_rank FROM docs")
+@query(covering_sql(15) + "SELECT doc AS doc_id, matched, weight, doc_rank::INT AS doc_rank FROM docs")
 def covering_docs(spark, base):
     g = records(spark, base)
-    return covering_documents(g.mentions("Material", "Process", "Equipment"), KEYS).drop("sources")
+    return covering_documents(g.mentions("Material", "Process", "Equipment"), KEYS, 15).drop("sources")
 
 
-@query(COVERING + """,
+@query(covering_sql(50) + """,
 listed AS (SELECT source AS chunk_id, min(doc_rank) AS doc_rank FROM (SELECT unnest(sources) AS source, doc_rank FROM docs) GROUP BY 1)
 SELECT chunk_id, (row_number() OVER (ORDER BY doc_rank, chunk_id))::INT AS rank FROM listed
 QUALIFY rank <= 50""", name="graph_candidates")
@@ -325,3 +326,17 @@ def rbac_documents(spark, base):
     priorities = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     partner = User("partner", "external", priorities, ("4-NOT SPECIFIED", "5-LOW"))
     return visible_documents(records(spark, base).node("Document"), partner)
+
+
+@query("""
+SELECT '7' AS id, event_type AS text, value AS confidence, 1 AS version,
+       coalesce((SELECT string_agg(event_id || ':' || event_type || ':' || round(value, 6), '|' ORDER BY event_id) FROM events WHERE user_id = 7), '') AS history
+FROM events WHERE event_id = 7""")
+def conclusion_history(spark, base):
+    g = records(spark, base)
+    g.nodes["ConclusionVersion"] = table(spark, base, "events").select(
+        F.col("user_id").cast("string").alias("conclusion_id"), F.col("event_id").alias("version"), F.col("event_type").alias("text"),
+        F.col("value").alias("confidence"), F.lit(None).cast("string").alias("geography"), F.lit("t").alias("archived_at"),
+        F.lit("m").alias("archived_by_model"))
+    shown = F.transform("history", lambda h: F.concat_ws(":", h["version"], h["text"], F.round(h["confidence"], 6)))
+    return A.conclusion_history(g, "7").select("id", "text", "confidence", "version", F.array_join(shown, "|").alias("history"))

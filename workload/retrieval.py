@@ -11,7 +11,7 @@ from lodegraph.operators.similarity import nearest
 from lodegraph.operators.traversal import graph_candidates
 from lodegraph.plans.search import hybrid_search as run_hybrid
 from lodegraph.plans.search import fulltext_fragments as fragments_of
-from lodegraph.plans.search import semantic_search, with_entities
+from lodegraph.plans.search import experts_for_topic, semantic_search, with_entities
 from lodegraph.sources.roles import table, text_measurements, text_vectors, texts
 from workload.registry import query
 from workload.texts import CHUNKS, WHOLE, stem_sql, tokens_sql
@@ -109,7 +109,7 @@ def fulltext_materials(spark, base):
 
 
 # the four channels, then fusion; ranks count from 1
-def fused_sql(languages: str | None = None) -> str:
+def fused_sql(languages: str | None = None, size: int = 50, text_only: bool = False) -> str:
     """`languages`: those of the documents a reader may see; hidden ones leave before every channel's cut."""
     hidden = f"WHERE lang IN ({languages})" if languages else ""
     where = "WHERE id IN (SELECT id FROM visible)" if languages else ""
@@ -124,8 +124,9 @@ gdocs AS (SELECT doc, row_number() OVER (ORDER BY matched DESC, weight DESC, doc
 hits AS (SELECT doc_id || ':1' AS id, count(*) AS hits FROM labels WHERE toxic >= 1 GROUP BY 1),
 vis AS (SELECT vec_id || ':1' AS id, sim FROM sims),
 chan AS (
+  SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, 1 AS ch FROM bm {where} QUALIFY rank <= {size}
+  {"),unused AS (" if text_only else "UNION ALL"}
   SELECT id, row_number() OVER (ORDER BY round(sim, 9) DESC, id) AS rank, 0 AS ch FROM vis {where} QUALIFY rank <= 50
-  UNION ALL SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, 1 FROM bm {where} QUALIFY rank <= 50
   UNION ALL SELECT doc || ':1', row_number() OVER (ORDER BY r, doc || ':1') AS rank, 2 FROM gdocs QUALIFY rank <= 50
   UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS rank, 3 FROM hits {where} QUALIFY rank <= 50),
 fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((ch, rank)) AS first_seen,
@@ -155,8 +156,8 @@ def rrf_fusion(spark, base):
 
 
 # the diversity pass as a walk along the positions
-def greedy_sql(languages: str) -> str:
-    return f"""WITH {fused_sql(languages)},
+def greedy_sql(languages: str, k: int = 10, text_only: bool = False) -> str:
+    return f"""WITH {fused_sql(languages, max(5 * k, 40), text_only)},
 sig AS (SELECT doc_id || ':' || seq AS id, doc_id AS doc, {WHOLE} AS s FROM chunk),
 cand AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY position))::INT AS i, id, doc, s, score, via_graph, via_measure
          FROM ranked JOIN sig USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc WHERE lang IN ({languages})),
@@ -165,7 +166,7 @@ greedy AS (
   UNION ALL
   SELECT c.i, CASE WHEN t THEN list_append(kept, c.id) ELSE kept END, CASE WHEN t THEN list_append(docs, c.doc) ELSE docs END,
          CASE WHEN t THEN list_append(seen, c.s) ELSE seen END
-  FROM (SELECT kept, docs, seen, c.*, len(kept) < 10 AND (s = '' OR NOT list_contains(seen, s))
+  FROM (SELECT kept, docs, seen, c.*, len(kept) < {k} AND (s = '' OR NOT list_contains(seen, s))
                AND len(list_filter(docs, lambda d: d = c.doc)) < 2 AS t
         FROM greedy g JOIN cand c ON c.i = g.i + 1) c),
 final AS (SELECT unnest(kept) AS id, unnest(range(1, len(kept) + 1)) AS place FROM (SELECT kept FROM greedy ORDER BY i DESC LIMIT 1))
@@ -207,3 +208,16 @@ def search_with_entities(spark, base):
     hits, g = _hybrid(spark, base)
     shown = F.transform("entities", lambda e: F.concat_ws(":", e["label"], e["name"], e["mentions"].cast("string")))
     return with_entities(g, hits).select("place", "chunk_id", F.array_join(shown, "|").alias("entities"))
+
+
+@query(f"""{greedy_sql("'en', 'de', 'fr', 'es'", 25, True)}
+SELECT source AS name, 'lab ' || length(source) AS lab, count(DISTINCT doc) AS docs,
+       array_to_string(list_sort(list(DISTINCT 'Document ' || doc))[1:5], '|') AS titles
+FROM final JOIN cand USING (id) JOIN documents d ON d.doc_id::VARCHAR = doc GROUP BY ALL
+ORDER BY docs DESC, name LIMIT 15""")
+def experts_by_topic(spark, base):
+    g = texts(spark, base)
+    docs = table(spark, base, "documents")
+    g.edges["AUTHORED_BY"] = docs.select(F.col("doc_id").cast("string").alias("src_id"), F.col("source").alias("dst_id"))
+    g.nodes["Person"] = docs.select(F.col("source").alias("id"), F.col("source").alias("name"), F.concat(F.lit("lab "), F.length("source")).alias("lab")).distinct()
+    return experts_for_topic(g, QUESTION).withColumn("titles", F.array_join("titles", "|"))

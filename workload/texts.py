@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
 from lodegraph.functions.ids import document_id, entity_id
-from lodegraph.operators.resolve import resolve_texts, variant_lookup
+from lodegraph.operators.resolve import resolve_mentions, resolve_texts, variant_lookup
 from lodegraph.operators.topn import first_per_group
 from lodegraph.plans.analytics import chunk_context as context_of
 from lodegraph.plans.analytics import document_sizes as sizes_of
@@ -153,6 +153,39 @@ def entity_resolver(spark, base):
     return resolve_texts(_dictionary(spark, base).distinct(), _questions(spark, base))
 
 
+# whole documents against the openings of the benchmark's passages, some of which they contain
+OPENING = "array_to_string(string_split(text, ' ')[1:4], ' ')"
+
+
+@query(f"""
+WITH q AS (SELECT doc_id AS id, list_distinct({tokens_sql('text')}) AS words FROM documents),
+v AS (SELECT item_id::VARCHAR AS key, {OPENING} AS name,
+             list_distinct(list_transform({tokens_sql(OPENING)}, lambda w: {stem_sql('w')})) AS stems FROM benchmark)
+SELECT id, 'Process' AS label, key, name FROM q, v
+WHERE len(stems) > 0 AND len(list_filter(stems, lambda st: len(list_filter(words, lambda w: starts_with(w, st) AND length(w) <= length(st) + 3)) > 0)) = len(stems)""")
+def entity_resolver_documents(spark, base):
+    opening = F.array_join(F.slice(F.split("text", " ", -1), 1, 4), " ")
+    dictionary = table(spark, base, "benchmark").select(
+        F.lit("Process").alias("label"), F.col("item_id").cast("string").alias("key"), opening.alias("name"), F.array(opening).alias("variants"))
+    return resolve_texts(dictionary, table(spark, base, "documents"), "doc_id")
+
+
+@query(f"""
+WITH entries AS (SELECT p_partkey::VARCHAR AS key, unnest([p_name, p_brand]) AS v FROM part),
+lookup AS (SELECT {norm_sql('v')} AS variant, max(key) AS key FROM entries GROUP BY 1)
+SELECT p_partkey, coalesce(n.key, e.key) AS key FROM part
+LEFT JOIN lookup n ON n.variant = {norm_sql("CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE 'no ' || p_type END")}
+LEFT JOIN lookup e ON e.variant = {norm_sql("replace(p_brand, '#', '# ')")}""")
+def mention_resolution(spark, base):
+    part = table(spark, base, "part")
+    entries = part.select(F.lit("Material").alias("label"), F.col("p_partkey").cast("string").alias("key"), F.array("p_name", "p_brand").alias("variants"))
+    mentions = part.select(
+        "p_partkey", F.lit("Material").alias("label"),
+        F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("no "), "p_type")).alias("name"),
+        F.replace("p_brand", F.lit("#"), F.lit("# ")).alias("name_en"))
+    return resolve_mentions(mentions, variant_lookup(entries)).select("p_partkey", "key")
+
+
 @query(f"""
 SELECT 'Material' AS label, {norm_sql('v')} AS variant, max(key) AS key
 FROM (SELECT p_partkey::VARCHAR AS key, unnest([p_name, p_brand]) AS v FROM part) GROUP BY 2""")
