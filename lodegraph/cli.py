@@ -17,7 +17,7 @@ from lodegraph.extraction.pipeline import embed_missing, extract
 from lodegraph.functions.vectors import hashing_encoder
 from lodegraph.plans import analytics
 from lodegraph.plans.search import check_request, hybrid_search
-from lodegraph.session import local_session
+from lodegraph.session import job_session
 from lodegraph.sinks.store import Store
 from lodegraph.sources import corpus, tabular
 
@@ -66,6 +66,11 @@ def ingest(store: Store, args) -> int:
     return int(rejected > 0)
 
 
+def index(store: Store, args) -> int:
+    store.index_chunks()
+    return 0
+
+
 def embed(store: Store, args) -> int:
     print(f"embedded: {embed_missing(store, lambda: hashing_encoder(args.dims), args.limit)}")
     return 0
@@ -88,7 +93,8 @@ def extract_facts(store: Store, args) -> int:
 def search(store: Store, args) -> int:
     check_request(args.query, args.k, 30, args.language, args.year_from)
     hits = hybrid_search(store.graph(), args.query, k=args.k, category=args.category, language=args.language,
-                         year_from=args.year_from, encoder=hashing_encoder(args.dims), lookup=True)
+                         year_from=args.year_from, encoder=hashing_encoder(args.dims), lookup=True,
+                         fulltext=store.fulltext(args.query))
     for h in hits.collect():
         print(f"[{h['rrf_score']:.4f}] {h['title']} ({h['category']}, {h['year'] or '—'}, {h['unit_kind']} {h['unit_no']})")
         print("        " + h["text"].replace("\n", " "))
@@ -132,6 +138,7 @@ def parser() -> argparse.ArgumentParser:
     verb("seed", seed, (["dir"], {}))
     verb("ingest", ingest, (["dir"], {}), limit, category, (["--resume"], {"action": "store_true"}))
     verb("embed", embed, limit, dims)
+    verb("index", index)
     verb("extract", extract_facts, limit, (["--doc"], {}), category,
          (["--workers"], {"type": int, "default": 1}), (["--force"], {"action": "store_true"}))
     verb("search", search, (["query"], {}), (["-k"], {"type": int, "default": 8}), category,
@@ -143,7 +150,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(Store(spark or local_session(), args.store), args)
+    return args.run(Store(spark or job_session(), args.store), args)
 
 
 if __name__ == "__main__":

@@ -185,9 +185,9 @@ def question_entities(graph: Graph, question: str) -> list[dict[str, Any]]:
 
 def experts_for_topic(graph: Graph, topic: str, vector: Sequence[float] | None = None, k: int = 25, n: int = 15,
                       titles: int = 5, allowed_categories: Sequence[str] | None = None,
-                      encoder: Encoder | None = None) -> DataFrame:
+                      encoder: Encoder | None = None, fulltext: Ranked | None = None) -> DataFrame:
     """(name, lab, docs, titles): authors of the documents found for a topic."""
-    hits = hybrid_search(graph, topic, vector, k=k, allowed_categories=allowed_categories, encoder=encoder)
+    hits = hybrid_search(graph, topic, vector, k=k, allowed_categories=allowed_categories, encoder=encoder, fulltext=fulltext)
     documents = F.broadcast(hits.select("doc_id", "title").distinct())
     people = graph.node("Person")
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that help at any size. Parallelism is deliberately absent: a cluster
@@ -41,6 +42,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def job_session(app: str = "lodegraph") -> SparkSession:
+    """The session of a submitted job: its cluster if one is named, else this machine."""
+    SparkContext._ensure_initialized()
+    if not SparkConf().contains("spark.master"):
+        return local_session(app=app)
+    builder = SparkSession.builder.appName(app)
+    for key, value in DEFAULTS.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a fresh local one only if unset."""
     sc = spark.sparkContext

@@ -1,0 +1,25 @@
+"""Numbered folders: writers take the next number, readers the last complete one."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted((int(c[2:]) for c in children(spark, folder) if c.startswith("v=")), reverse=True)
+
+
+def last(spark: SparkSession, folder: str, part: str = "") -> int | None:
+    """Number of the last snapshot whose `part`, the one written last, is complete."""
+    return next((n for n in _numbers(spark, folder) if "_SUCCESS" in children(spark, f"{folder}/v={n}{part}")), None)
+
+
+def following(spark: SparkSession, folder: str) -> str:
+    """Path of the snapshot to write next; unfinished ones keep their number."""
+    return f"{folder}/v={max(_numbers(spark, folder), default=0) + 1}"

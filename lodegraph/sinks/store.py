@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from lodegraph import model
 from lodegraph.access import User, visible_graph
 from lodegraph.graph import Frames, Graph, UnknownLabel
-from lodegraph.sinks import upsert
+from lodegraph.operators.fulltext import index_version, search_index, update_index, write_index
+from lodegraph.sinks import snapshots, upsert
 
 
 # large tables read by key: row groups without the key are skipped
@@ -36,15 +37,11 @@ class Store:
         self.root = root.rstrip("/")
 
     def _children(self, folder: str) -> list[str]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return snapshots.children(self.spark, folder)
 
     def snapshot(self, name: str) -> int | None:
         """Number of the last complete snapshot."""
-        numbers = sorted((int(c[2:]) for c in self._children(f"{self.root}/{name}") if c.startswith("v=")), reverse=True)
-        return next((n for n in numbers if "_SUCCESS" in self._children(f"{self.root}/{name}/v={n}")), None)
+        return snapshots.last(self.spark, f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
         """The table as readers see it: mentions with what a stream has counted."""
@@ -62,8 +59,7 @@ class Store:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Publishes a new snapshot and returns it."""
-        taken = [int(c[2:]) for c in self._children(f"{self.root}/{name}") if c.startswith("v=")]
-        target = f"{self.root}/{name}/v={max(taken, default=0) + 1}"
+        target = snapshots.following(self.spark, f"{self.root}/{name}")
         writer = conform(df, name).write.mode("errorifexists")
         for key in KEY_FILTERS.get(name, ()):
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
@@ -95,6 +91,20 @@ class Store:
         )
         return graph if user is None else visible_graph(graph, user)
 
+    @property
+    def index(self) -> str:
+        return f"{self.root}/_index"
+
+    def index_chunks(self) -> None:
+        """Builds the text index anew from all chunks."""
+        write_index(self.read("Chunk"), self.index)
+
+    def fulltext(self, query: str) -> Callable[[int, DataFrame | None], DataFrame] | None:
+        """The stored index as a search channel, None before the first `index_chunks`."""
+        if index_version(self.spark, self.index) is None:
+            return None
+        return lambda n, within: search_index(self.spark, self.index, query, n, within)
+
     def _merge(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Merges a batch into the rows it touches and copies the others.
 
@@ -121,4 +131,8 @@ class Store:
         return self._merge("MENTIONS", rows, keys, lambda old: upsert.counted_edges(old, rows, order=order))
 
     def merge_chunks(self, rows: DataFrame) -> DataFrame:
-        return self._merge("Chunk", rows, ["id"], lambda old: upsert.chunks(old, rows))
+        """Writes the chunks; the text index, if there is one, follows."""
+        merged = self._merge("Chunk", rows, ["id"], lambda old: upsert.chunks(old, rows))
+        if index_version(self.spark, self.index) is not None:
+            update_index(rows, self.index)
+        return merged
