@@ -202,7 +202,7 @@ def derive(graph: Graph, chunks: DataFrame, answers: DataFrame, model_name: str,
 
 
 def save(store: Store, facts: Facts) -> None:
-    """Nodes, then edges, the processed marker last: a run that dies is repeated."""
+    """Nodes, then edges, the processed marker last: a run that dies is repeated, which changes nothing it had written."""
     for label, rows in facts.entities.items():
         store.create_nodes(label, rows, ["name_en"], "position")
     store.create_nodes("Facility", facts.facilities, ["country"], "position")
@@ -213,9 +213,7 @@ def save(store: Store, facts: Facts) -> None:
     current, archived = apply_batch(store.read("Conclusion"), facts.conclusions)
     store.merge_nodes("ConclusionVersion", archived)
     store.write("Conclusion", current)
-    documents = store.read("Document").select(F.col("id").alias("src_id"))
-    mentions = facts.mentions.join(documents, "src_id", "left_semi").withColumn("loaded_at", F.lit(None).cast("string"))
-    store.count_mentions(mentions, "position")
+    store.replace_mentions(facts.mentions, facts.done, "position")
     for kind, rows in (("TAGGED", facts.tagged), ("AUTHORED_BY", facts.authorship), ("REPORTS", facts.reports),
                        ("DESCRIBED_IN", facts.described), ("ABOUT", facts.about)):
         store.merge_edges(kind, rows)

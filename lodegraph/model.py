@@ -42,6 +42,8 @@ EDGES = {
     "MENTIONS": f"src_id string, dst_label string, dst_id string, count bigint, {_PROV}",
     # counts of a stream, as they stand; read as part of MENTIONS
     "MENTIONS_STREAMED": f"src_id string, dst_label string, dst_id string, count bigint, {_PROV}",
+    # counts of the extraction, one row for each chunk an edge was found in; read as part of MENTIONS
+    "MENTIONS_EXTRACTED": f"src_id string, dst_label string, dst_id string, count bigint, {_PROV}",
     "DESCRIBED_IN": f"src_id string, dst_id string, fragment string, {_PROV}",
     "ABOUT": f"src_id string, dst_label string, dst_id string, {_PROV}",
     **{
@@ -50,12 +52,26 @@ EDGES = {
                      "YIELDS", "LEADS_TO", "SUPPORTS", "CONTRADICTS")
     },
 }
+# tables whose counts readers see added to those of MENTIONS
+MENTION_PARTS = ("MENTIONS_STREAMED", "MENTIONS_EXTRACTED")
 # edges that are columns of their child table
 DERIVED = {
     "HAS_CHUNK": ("Chunk", "doc_id", "id"),
     "HAD_VERSION": ("ConclusionVersion", "conclusion_id", "version"),
 }
 
+# --- fixed values: which labels an edge type joins (None: told by dst_label) ----
+ENDS = {
+    "HAS_CHUNK": ("Document", "Chunk"), "MENTIONS": ("Document", None), "REPORTS": ("Document", "Measurement"),
+    "OF_PROPERTY": ("Measurement", "Property"), "DESCRIBED_IN": ("Conclusion", "Document"), "ABOUT": ("Conclusion", None),
+    "TAGGED": ("Document", "TopicTag"), "AUTHORED_BY": ("Document", "Person"),
+    "HAD_VERSION": ("Conclusion", "ConclusionVersion"), "USES": ("Experiment", "Material"),
+    "APPLIES": ("Experiment", "Regime"), "ON_EQUIPMENT": ("Experiment", "Equipment"),
+    "YIELDS": ("Experiment", "Measurement"), "LEADS_TO": ("Experiment", "Conclusion"),
+    "SUPPORTS": ("Conclusion", "Conclusion"), "CONTRADICTS": ("Conclusion", "Conclusion"),
+}
+# -----------------------------------------------------------------------------
+
 
 def node_key(label: str) -> list[str]:
     return KEYS.get(label, ["id"])

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph import model
 from lodegraph.access import User
 from lodegraph.functions.text import strip
 from lodegraph.graph import REVIEWABLE_LABELS, Frames, Graph, column_or_null, first_present, key_is
@@ -82,21 +83,8 @@ def reject(graph: Graph, label: str, keys: DataFrame) -> tuple[DataFrame, Frames
     return nodes, Frames(edges)
 
 
-# --- fixed values: which labels an edge type joins (None: told by dst_label) ----
-ENDS = {
-    "HAS_CHUNK": ("Document", "Chunk"), "MENTIONS": ("Document", None), "REPORTS": ("Document", "Measurement"),
-    "OF_PROPERTY": ("Measurement", "Property"), "DESCRIBED_IN": ("Conclusion", "Document"), "ABOUT": ("Conclusion", None),
-    "TAGGED": ("Document", "TopicTag"), "AUTHORED_BY": ("Document", "Person"),
-    "HAD_VERSION": ("Conclusion", "ConclusionVersion"), "USES": ("Experiment", "Material"),
-    "APPLIES": ("Experiment", "Regime"), "ON_EQUIPMENT": ("Experiment", "Equipment"),
-    "YIELDS": ("Experiment", "Measurement"), "LEADS_TO": ("Experiment", "Conclusion"),
-    "SUPPORTS": ("Conclusion", "Conclusion"), "CONTRADICTS": ("Conclusion", "Conclusion"),
-}
-# -----------------------------------------------------------------------------
-
-
 def _detach(kind: str, edges: DataFrame, label: str, gone: DataFrame) -> DataFrame:
-    src, dst = ENDS[kind]
+    src, dst = model.ENDS[kind]
     if src == label:
         edges = edges.join(gone, F.col("src_id") == F.col("_gone"), "left_anti")
     if dst == label:

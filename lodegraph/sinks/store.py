@@ -44,10 +44,9 @@ class Store:
         return snapshots.last(self.spark, f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        """The table as readers see it: mentions with what a stream has counted."""
-        if name != "MENTIONS" or self.snapshot("MENTIONS_STREAMED") is None:
-            return self.stored(name)
-        return upsert.added_counts(self.stored(name), self.stored("MENTIONS_STREAMED"))
+        """The table as readers see it: mentions with what streams and extraction have counted."""
+        parts = [p for p in model.MENTION_PARTS if name == "MENTIONS" and self.snapshot(p) is not None]
+        return upsert.added_counts(self.stored(name), *map(self.stored, parts)) if parts else self.stored(name)
 
     def stored(self, name: str) -> DataFrame:
         if name not in model.NODES and name not in model.EDGES:
@@ -81,7 +80,7 @@ class Store:
 
     def graph(self, user: User | None = None) -> Graph:
         """All tables; with a user only what the user's role may read."""
-        edges = {kind: (lambda kind=kind: self.read(kind)) for kind in model.EDGES if kind != "MENTIONS_STREAMED"}
+        edges = {kind: (lambda kind=kind: self.read(kind)) for kind in model.EDGES if kind not in model.MENTION_PARTS}
         for kind, (label, src, dst) in model.DERIVED.items():
             edges[kind] = lambda label=label, src=src, dst=dst: self.read(label).select(
                 F.col(src).alias("src_id"), F.col(dst).cast("string").alias("dst_id"))
@@ -123,13 +122,32 @@ class Store:
         return self._merge(label, rows, keys, lambda old: upsert.create_only(old, rows, keys, list(fill), order))
 
     def merge_edges(self, kind: str, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """Writes edges; one whose ends are not both there is left out."""
         keys = model.edge_key(kind)
+        for column, label in zip(("src_id", "dst_id"), model.ENDS.get(kind, ())):
+            if label is not None:
+                known = self.stored(label).select(F.col(model.node_key(label)[0]).cast("string").alias(column))
+                rows = rows.join(known, column, "left_semi")
         return self._merge(kind, rows, keys, lambda old: upsert.overwrite(old, rows, keys, order))
 
     def count_mentions(self, rows: DataFrame, order: str) -> DataFrame:
         keys = model.edge_key("MENTIONS")
         return self._merge("MENTIONS", rows, keys, lambda old: upsert.counted_edges(old, rows, order=order))
 
+    def replace_mentions(self, rows: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
+        """Mentions found in `chunks` (id), instead of those found there before.
+
+        One row for each edge and chunk, so writing them again changes nothing.
+        """
+        keys = [*model.edge_key("MENTIONS"), "source"]
+        columns = [f.name for f in model.layout("MENTIONS_EXTRACTED").fields]
+        props = F.struct(*[F.col(c) for c in columns if c in rows.columns and c not in (*keys, "count")])
+        known = self.stored("Document").select(F.col("id").alias("src_id"))
+        found = rows.join(known, "src_id", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max_by(props, order).alias("p"))
+        kept = self.stored("MENTIONS_EXTRACTED").join(chunks.select(F.col("id").alias("source")), "source", "left_anti")
+        name = "MENTIONS_EXTRACTED"
+        return self.write(name, conform(kept, name).unionByName(conform(found.select(*keys, "count", "p.*"), name)))
+
     def merge_chunks(self, rows: DataFrame) -> DataFrame:
         """Writes the chunks; the text index, if there is one, follows."""
         merged = self._merge("Chunk", rows, ["id"], lambda old: upsert.chunks(old, rows))

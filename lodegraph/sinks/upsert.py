@@ -8,6 +8,7 @@ costs one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +88,11 @@ def counted_edges(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     return merged.select(*[F.col("_p")[c].alias(c) if c in props else F.col(c) for c in existing.columns])
 
 
-def added_counts(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("src_id", "dst_label", "dst_id")) -> DataFrame:
-    """Edges of both sides with their counts added; other properties are those last extracted or loaded."""
+def added_counts(left: DataFrame, *parts: DataFrame, keys: Sequence[str] = ("src_id", "dst_label", "dst_id")) -> DataFrame:
+    """Edges of all tables with their counts added; other properties are those last extracted or loaded."""
     props = [c for c in left.columns if c not in keys and c != "count"]
     stamp = F.struct(F.coalesce("extracted_at", "loaded_at", F.lit("")).alias("at"), F.coalesce("source", F.lit("")).alias("source"))
-    pooled = left.unionByName(right.select(left.columns))
+    pooled = reduce(DataFrame.unionByName, [p.select(left.columns) for p in parts], left)
     summed = pooled.groupBy(*keys).agg(F.sum("count").alias("count"), F.max_by(_pack(props), stamp).alias("_p"))
     return summed.select(*[F.col("_p")[c].alias(c) if c in props else F.col(c) for c in left.columns])
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 
 from lodegraph.extraction.client import ModelError, RetryingClient, RuleClient, complete_json
-from lodegraph.extraction.pipeline import extract
+from lodegraph.extraction.pipeline import extract, save
 from lodegraph.extraction.schema import Malformed, read_answer, read_object
 from lodegraph.plans.analytics import conclusion_history
 from lodegraph.operators.resolve import new_entities
@@ -96,6 +96,21 @@ def test_changed_conclusions_are_versioned(loaded):
     assert [(h["version"], h["confidence"], h["archived_by_model"]) for h in row["history"]] == [(1, 0.6, "m2")]
 
 
+def test_a_repeated_save_changes_nothing(loaded):
+    facts = extract(loaded, lambda: Fixed(ANSWER), "fixed-1", "t1")
+    state = lambda: {n: sorted(map(str, loaded.read(n).collect())) for n in ("MENTIONS", "Conclusion", "ConclusionVersion", "Measurement", "ABOUT", "REPORTS", "TAGGED")}
+    before = state()
+    save(loaded, facts)
+    assert state() == before
+    extract(loaded, lambda: Fixed(ANSWER), "fixed-1", "t1", force=True)
+    assert {k: len(v) for k, v in state().items()} == {k: len(v) for k, v in before.items()}
+
+
+def test_edges_without_ends_are_left_out(loaded, spark):
+    loaded.merge_edges("AUTHORED_BY", spark.createDataFrame([("D1", "nobody"), ("nothing", "P:x")], "src_id string, dst_id string"))
+    assert loaded.read("AUTHORED_BY").count() == 0
+
+
 def test_answers_are_read_leniently():
     assert read_object('Here: ```json\n{"a": {"b": 1}}``` done') == {"a": {"b": 1}}
     with pytest.raises(Malformed):
