@@ -16,6 +16,7 @@ where partitions meet; a large source is dealt over all partitions.
 from __future__ import annotations
 
 import gc
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -60,6 +61,7 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.signs = re.compile(r"[^\w\s][.,] |_[.,] ").search
         self.cut = regex.compile(self.PIECES).findall
         self.known: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
@@ -75,6 +77,19 @@ class Encoder:
         found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, kind).tobytes() for x in found]
 
+    def spaced(self, text: str) -> str:
+        """The text with stops and commas set apart and in lower case, where that changes no identifier.
+
+        Both only make words alike sooner. A sign before the stop would belong
+        to one run with it; a dotted I or a sigma has a lower case of its own.
+        """
+        text = text.replace("\n", " ")
+        if "<|" not in text and "\u0130" not in text and "\u03a3" not in text:
+            text = text.lower()
+            if not self.signs(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        return text
+
     def cut_up(self, word: str) -> list[str]:
         if word[-1] in ".,;:!?" and word[:-1].isalpha() and "\u0130" not in word:
             return [word[:-1], word[-1]]
@@ -83,7 +98,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known, pieces = self.known, self.pieces
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.spaced(t).split(" ") for t in texts]
         words = set().union(*split)
         new = words.difference(known)
         whole = {w for w in new if w.isalpha()}  # one piece, as most are
