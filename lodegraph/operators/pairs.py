@@ -1,9 +1,10 @@
 """Coverage of every material by every process.
 
-The dense matrix has |materials| x |processes| cells by definition. It is
-written out row by row: the processes come as arrays of bounded length, one
-per bucket, and each material meets each bucket through an equality join, so
-there is neither a cross join nor an array that grows with the data.
+The dense matrix has |materials| x |processes| cells by definition; the
+product to keep is the sparse table of counted pairs. Where cells or gaps are
+asked for, the processes come as arrays of bounded length, one per bucket: as
+a broadcast while they are few, beyond that in copies by a hash of the
+material, so that no bucket's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -12,41 +13,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_SIZE = 1024
+# keys, some 30 bytes each, up to which their arrays are broadcast; copies of an array beyond
+BROADCAST_KEYS, COPIES = 50_000, 64
 
 
-def bucketed_keys(keys: DataFrame, bucket_size: int = BUCKET_SIZE) -> tuple[DataFrame, int]:
-    """(bucket, keys[]) and the number of buckets, about `bucket_size` keys each."""
-    total = keys.count()
-    buckets = max(1, -(-total // bucket_size))
-    return keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")).agg(
-        F.sort_array(F.collect_set("key")).alias("keys")
-    ), buckets
-
-
-def _by_bucket(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int) -> DataFrame:
+def _by_bucket(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int,
+               broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(left_key, keys[], seen): per left key and bucket the counted right keys as a map."""
-    arrays, buckets = bucketed_keys(right, bucket_size)
-    seen = (
-        counts.groupBy("left_key", F.pmod(F.xxhash64("right_key"), F.lit(buckets)).cast("int").alias("bucket"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("right_key", "docs"))).alias("seen"))
-    )
+    total = right.count()
+    buckets = max(1, -(-total // bucket_size))
+    bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    arrays = right.groupBy(bucket("key")).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    seen = counts.groupBy("left_key", bucket("right_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("right_key", "docs"))).alias("seen"))
     rows = left.select(F.col("key").alias("left_key"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    return rows.join(seen, ["left_key", "bucket"], "left").join(arrays, "bucket")
+    rows = rows.join(seen, ["left_key", "bucket"], "left")
+    if total <= broadcast_keys:
+        return rows.join(F.broadcast(arrays), "bucket")
+    copies = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("copy", F.pmod(F.xxhash64("left_key"), F.lit(COPIES)).cast("int")).join(copies, ["bucket", "copy"])
 
 
-def coverage(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+def coverage(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int = BUCKET_SIZE,
+             broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(left_key, right_key, docs) for every pair, zero where nothing was counted."""
-    cells = _by_bucket(left, right, counts, bucket_size).select("left_key", "seen", F.explode("keys").alias("right_key"))
+    cells = _by_bucket(left, right, counts, bucket_size, broadcast_keys).select("left_key", "seen", F.explode("keys").alias("right_key"))
     return cells.select(
         "left_key", "right_key",
         F.coalesce(F.element_at("seen", F.col("right_key")), F.lit(0)).cast("long").alias("docs"),
     )
 
 
-def gaps(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int = BUCKET_SIZE) -> DataFrame:
+def gaps(left: DataFrame, right: DataFrame, counts: DataFrame, bucket_size: int = BUCKET_SIZE,
+             broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(left_key, right_key) of the pairs nothing was counted for.
 
     Only the missing keys leave the row, so the work follows the gaps found.
     """
     missing = F.array_except("keys", F.coalesce(F.map_keys("seen"), F.array().cast("array<string>")))
-    return _by_bucket(left, right, counts, bucket_size).select("left_key", F.explode(missing).alias("right_key"))
+    return _by_bucket(left, right, counts, bucket_size, broadcast_keys).select("left_key", F.explode(missing).alias("right_key"))

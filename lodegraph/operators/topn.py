@@ -38,12 +38,6 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def ordered_names(value: Column, limit: int | None = None, sep: str = "|") -> Column:
-    """Distinct values of a group as one sorted, delimited string."""
-    names = F.sort_array(F.collect_set(value))
-    return F.array_join(F.slice(names, 1, limit) if limit else names, sep)
-
-
 def ordered_collect(order: Sequence[Column], value: Column) -> Column:
     """Array of `value` in the given ascending order, for groups already cut to size."""
     packed = F.sort_array(F.collect_list(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.chunking import pieces_of
-from lodegraph.functions.ids import chunk_id, document_id, person_id
+from lodegraph.functions.chunking import numbered, pieces_of
+from lodegraph.functions.ids import document_id, person_id
 from lodegraph.functions.text import clean_title, detect_language, find_year, strip
 from lodegraph.sinks import upsert
 from lodegraph.sinks.store import Store
@@ -131,15 +131,7 @@ def plan(files: DataFrame, parsed: DataFrame, loaded_at: str) -> Corpus:
     documents = meta.join(facts, "doc_id").select(
         F.col("doc_id").alias("id"), F.coalesce(clean_title("title"), "stem").alias("title"), "category",
         F.col("category").alias("doc_type"), "journal", "conference", "year", "language", "rel_path", "units", "chars")
-    sizes = good.select("doc_id", "unit_no", F.size("pieces").alias("n")).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("unit_no", "n"))).alias("sizes"))
-    # the units of one file came out of one task; their sizes fit one row
-    before = F.aggregate(F.filter("sizes", lambda s: s["unit_no"] < F.col("unit_no")), F.lit(0), lambda a, s: a + s["n"])
-    chunks = (
-        good.join(sizes, "doc_id").withColumn("before", before)
-        .select("doc_id", "unit_no", "unit_kind", "before", F.posexplode("pieces").alias("pos", "text"))
-        .withColumn("seq", F.col("before") + F.col("pos") + 1)
-        .select(chunk_id("doc_id", "seq").alias("id"), "doc_id", "seq", "unit_no", "unit_kind", "text"))
+    chunks = numbered(good.select("doc_id", "unit_no", "unit_kind", "pieces"))
     written = meta.where(F.col("author").isNotNull()).join(facts.select("doc_id"), "doc_id", "left_semi")
     prov = F.concat(F.regexp_extract("rel_path", "([^/]*)$", 1), F.lit("#"), "doc_id")
     return Corpus(

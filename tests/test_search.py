@@ -181,10 +181,10 @@ def test_pairs_with_many_buckets(spark):
     right = spark.createDataFrame([(f"p{i}",) for i in range(11)], "key string")
     counts = spark.createDataFrame([(f"m{i}", f"p{j}", i + j) for i in range(7) for j in range(11) if (i * j) % 3 == 1], "left_key string, right_key string, docs int")
     known = {(r[0], r[1]): r[2] for r in counts.collect()}
-    for size in (2, 1024):
-        cells = {(r["left_key"], r["right_key"]): r["docs"] for r in coverage(left, right, counts, size).collect()}
+    for size, few in ((2, 50_000), (1024, 50_000), (4, 5)):
+        cells = {(r["left_key"], r["right_key"]): r["docs"] for r in coverage(left, right, counts, size, few).collect()}
         assert cells == {(f"m{i}", f"p{j}"): known.get((f"m{i}", f"p{j}"), 0) for i in range(7) for j in range(11)}
-        missing = {(r["left_key"], r["right_key"]) for r in gaps(left, right, counts, size).collect()}
+        missing = {(r["left_key"], r["right_key"]) for r in gaps(left, right, counts, size, few).collect()}
         assert missing == {pair for pair in cells if pair not in known}
 
 
