@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import rebatched, texts
+from lodegraph.llm.common import once, rebatched, texts
 
 # Fixed value: how byte-level vocabularies of this family cut text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 
 def byte_symbols() -> list[str]:
@@ -55,9 +55,7 @@ class Counter:
         n = self.pretokens.get(piece)
         if n is None:
             n = self.merged(piece)
-            if len(piece) <= 64:
-                if len(self.pretokens) > REMEMBERED:
-                    self.pretokens.clear()
+            if len(piece) <= 64 and len(self.pretokens) < REMEMBERED:
                 self.pretokens[piece] = n
         return n
 
@@ -105,18 +103,14 @@ class Counter:
             rest = [r if r[0] == "\n" else r[1:] for r in rest]
         else:
             head, *rest = text.replace("\n", " \n").split(" ")
-        known = self.known
-        try:
-            return self.stretch(head) + sum([known[r] for r in rest])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            total = self.stretch(head)
-            for r in rest:
-                if (n := known.get(r)) is None:
-                    n = known[r] = self.stretch(r if r[0] == "\n" else " " + r)
-                total += n
-            return total
+        known, total = self.known, self.stretch(head)
+        for r in rest:
+            if (n := known.get(r)) is None:
+                n = self.stretch(r if r[0] == "\n" else " " + r)
+                if len(known) < REMEMBERED:  # early comers are the frequent ones
+                    known[r] = n
+            total += n
+        return total
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +126,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = once(("tokens", path), lambda: Counter(path))
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array([counter.count(t) for t in batch.column("text").to_pylist()], pa.int64())],
