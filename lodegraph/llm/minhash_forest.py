@@ -148,7 +148,7 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tu
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning pairs of the classes that share a prefix and whose sketches agree."""
-    def region(keys: list, nodes: list, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    def region(nodes: list, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         def near(i: int, others: np.ndarray) -> np.ndarray:
             alike = (sketches[others] == sketches[i]).sum(axis=1) >= AGREE * SKETCH
             own, theirs = sizes[i], sizes[others]
@@ -167,7 +167,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = [0, m] if m <= DENSE else [0, *[i for i in range(1, m) if keys[i][:7] != keys[i - 1][:7]], m]
             for b, e in zip(edges, edges[1:]):
                 if e - b > 1:
-                    for x, y in region(keys[b:e], nodes[b:e], sizes[b:e], sketches[b:e]):
+                    for x, y in region(nodes[b:e], sizes[b:e], sketches[b:e]):
                         left.append(x)
                         right.append(y)
         if len(left) > ROOM:
