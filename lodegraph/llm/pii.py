@@ -2,18 +2,20 @@
 
 Base spans (e-mail, IP, card, phone) are found by pattern and checked. Each
 distinct value is a protected entity. The corpus then tells which other words
-give an entity away: for every word near an entity's mentions, the pointwise
+give an entity away: for every word in a document with the entity, the pointwise
 mutual information of word and entity, counted over all documents, is set
 against the information content of the entity itself,
 
-    PMI = log2(N * n(word near entity) / (n(word) * n(entity)))
+    PMI = log2(N * n(word and entity) / (n(word) * n(entity)))
     IC  = log2(N / n(entity)),     disclosure = PMI / IC,
 
-which is 1 when the word occurs with that entity only. Words at or above the
-`remove` threshold are removed near the entity, words at or above `generalise`
-are replaced by a placeholder. A word needs `support` different contexts of
-the entity in as many documents, so that one sentence copied many times and
-one document that repeats itself are no evidence.
+where n counts documents; it is 1 when the word occurs with that entity only.
+Words at or above the `remove` threshold are removed, words at or above
+`generalise` are replaced by a placeholder, wherever any text has them, with
+the entity beside them or without. A word needs `support` different contexts
+of the entity (what stands within `reach` characters of it) in as many
+documents, so that one sentence copied many times and one document that
+repeats itself are no evidence.
 """
 
 from __future__ import annotations
@@ -37,8 +39,12 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # what a text must contain for a pattern to be worth a search
 HINTS = (r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){13}", r"\+[0-9]")
-# a word between blanks with nothing but punctuation around its letters, no part of an address
-WORD = r"(?<!\S)[^\s\p{L}\p{N}@]*+\p{L}{3,}+[^\s\p{L}\p{N}@]*+(?!\S)"
+# what parts words: blanks and the punctuation around them; tried where a word ends only, so that a search is linear
+BETWEEN = r"(?<![^\p{L}\p{M}\p{N}])[^\s\p{Z}\p{L}\p{M}\p{N}]*+[\s\p{Z}][^\p{L}\p{M}\p{N}]*+"
+# put around the terms of a text to find their places; a text's own are read as the second character
+SIGN, OWN_SIGN = "\x01", "\x02"
+# terms up to which they are broadcast
+BROADCAST_ROWS = 100_000
 
 
 def _digits(value: Column) -> Column:
@@ -99,57 +105,78 @@ def base_spans(rows: DataFrame, reach: int = REACH) -> DataFrame:
     ).select("doc_id", "th", "kind", "value", "start", "end", "before", "after", "cut")
 
 
-def context_words(spans: DataFrame, reach: int = REACH) -> DataFrame:
-    """(doc_id, th, entity, context, word, start, end): the words within `reach` characters of each entity.
+def _framed(text: Column) -> Column:
+    """The text with a blank around it, so that its first and last word end like others."""
+    return F.concat(F.lit(" "), F.translate(text, SIGN, OWN_SIGN), F.lit(" "))
 
-    Words that the reach cuts are left out. Both windows are bounded, so their words are placed within the row.
+
+def _words(text: Column) -> Column:
+    """The distinct words of a text in lower case: from the first to the last letter or digit between two blanks.
+
+    Hyphens, apostrophes and digits belong to a word; what has an address sign within is an address and no word.
     """
+    every = F.transform(F.split(_framed(text), BETWEEN, -1), F.lower)
+    return F.array_distinct(F.filter(every, lambda w: (w != "") & ~F.contains(w, F.lit("@"))))
 
-    def words(text: Column, offset: Column) -> Column:
-        gaps, found = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
-        def place(token: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(
-                F.slice(found, 1, i), F.lit(0), lambda n, m: n + F.length(m)
-            )
-            letters = F.regexp_extract(token, r"\p{L}+", 0)
-            start = offset + before + F.length(F.regexp_extract(token, r"^[^\p{L}]*", 0))
-            return F.struct(F.lower(letters).alias("word"), start.alias("start"), (start + F.length(letters)).alias("end"))
+def _few(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
 
-        return F.transform(found, place)
 
-    begin = F.col("start") - F.length("before")
-    # an address sign joined to a word that the reach or the entity cuts keeps it from being one
-    before = F.when(F.length("before") == reach, F.concat(F.lit("@"), F.substring("before", 2, reach))).otherwise(F.col("before"))
-    after = F.when(F.col("cut"), F.concat(F.substring("after", 1, reach - 1), F.lit("@"))).otherwise(F.col("after"))
-    both = F.concat(words(F.concat(before, F.lit("@")), begin), words(F.concat(F.lit("@"), after), F.col("end") - 1))
-    return spans.select(
-        "doc_id", "th", F.concat_ws(":", F.col("kind"), F.lower("value")).alias("entity"),
-        F.xxhash64("before", "after").alias("context"), F.explode(both).alias("w"),
-    ).select("doc_id", "th", "entity", "context", "w.*")
+def _entity() -> Column:
+    return F.concat_ws(":", F.col("kind"), F.lower("value"))
 
 
-def disclosing(rows: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, word, disclosure) of the words that give an entity away, over all documents."""
-    text = F.col("text")
+def disclosing(rows: DataFrame, spans: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """(entity, word, disclosure) of the words that give an entity away, and (doc_id, th, word) of all texts that hold one of them."""
+    mentions = cut_lineage(spans.select("doc_id", "th", _entity().alias("entity"), F.xxhash64("before", "after").alias("context")).distinct())
+    # no pair can have more documents or contexts than its entity
+    entities = cut_lineage(
+        mentions.groupBy("entity")
+        .agg(F.count_distinct(F.struct("doc_id", "th")).alias("n_entity"), F.count_distinct("context").alias("contexts"))
+        .where((F.col("n_entity") >= support) & (F.col("contexts") >= support)).drop("contexts")
+    )
+    held = mentions.join(entities, "entity").groupBy("doc_id", "th").agg(F.collect_set("entity").alias("entities"))
+    # repeated rows count here, so that no text is shuffled for them: n_both is too large at most, and counted anew below
+    holders = _same(rows.where(F.col("text").rlike("|".join(HINTS))), held, "inner").select("entities", _words(F.col("text")).alias("words"))
     pairs = cut_lineage(
-        near.groupBy("entity", "word")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("doc_id", "th")).alias("n_both"))
-        .where((F.col("contexts") >= support) & (F.col("n_both") >= support))
+        holders.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("word"))
+        .groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
     )
-    entities = spans.select(F.concat_ws(":", F.col("kind"), F.lower("value")).alias("entity"), "doc_id", "th").distinct().groupBy(
-        "entity"
-    ).agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    every = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
+    every = rows.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
     n_all = F.lit(rows.count())
     content = F.log2(n_all / F.col("n_entity"))
     mutual = F.log2(n_all * F.col("n_both") / (F.greatest("n_word", "n_both") * F.col("n_entity")))
-    return (
-        pairs.join(every, "word").join(entities, "entity")
-        .select("entity", "word", F.when(content > 0, mutual / content).otherwise(F.lit(0.0)).alias("disclosure"))
-        .where(F.col("disclosure") >= generalise)
+    disclosure = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
+    likely = cut_lineage(pairs.join(every, "word").join(entities, "entity").where(disclosure >= generalise).drop("n_both"))
+    asked = cut_lineage(likely.select("word").distinct())
+    holding = cut_lineage(
+        rows.select("doc_id", "th", F.explode(_words(F.col("text"))).alias("word")).join(_few(asked), "word").distinct()
+    )
+    seen = holding.join(likely, "word").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("entity").alias("__entity"), "word", "n_word", "n_entity")
+    met = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("entity") == F.col("__entity"))
+    proven = mentions.join(seen, met).groupBy("entity", "word", "n_word", "n_entity").agg(
+        F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("doc_id", "th")).alias("n_both")
+    ).where((F.col("contexts") >= support) & (F.col("n_both") >= support))
+    return cut_lineage(proven.select("entity", "word", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)), holding
+
+
+def occurrences(rows: DataFrame, holding: DataFrame) -> DataFrame:
+    """(doc_id, th, word, start, end) of every occurrence in `rows` of the words (doc_id, th, word) that they hold."""
+    asked = holding.groupBy("doc_id", "th").agg(F.collect_set("word").alias("asked"))
+    framed = _framed(F.col("text"))
+    cut = _same(rows, asked, "inner").select(
+        "doc_id", "th", "asked", F.split(framed, BETWEEN, -1).alias("words"), F.regexp_extract_all(framed, F.lit(BETWEEN), F.lit(0)).alias("between")
     )
+    signed = F.transform("words", lambda w: F.when(F.array_contains("asked", F.lower(w)), F.concat(F.lit(SIGN), w, F.lit(SIGN))).otherwise(w))
+    # gap, word, gap, word, ..., gap
+    parts = F.split(F.array_join(F.zip_with(signed, "between", lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), ""), SIGN, -1)
+    each = cut.select("doc_id", "th", parts.alias("parts")).select("doc_id", "th", F.posexplode(
+        F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda i: F.struct(F.length(F.col("parts")[i - 1]).alias("gap"), F.col("parts")[i].alias("word")))
+    ).alias("no", "o")).select("doc_id", "th", "no", "o.*").distinct()  # repeated rows once
+    order = Window.partitionBy("doc_id", "th").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.length("word")).over(order) - 1  # less the blank of the frame
+    return each.withColumn("end", end).select("doc_id", "th", F.lower("word").alias("word"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT,
@@ -157,13 +184,21 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reac
     """The rows (doc_id, th, text) and their spans (doc_id, th, kind, start, end, disclosure)."""
     rows = texts(docs, doc_id=doc_id, text=text).withColumn("th", F.xxhash64("text"))
     spans = cut_lineage(base_spans(rows, reach))
-    near = cut_lineage(context_words(spans, reach))
-    given_away = disclosing(rows, spans, near, support, generalise)
-    terms = near.join(cut_lineage(given_away), ["entity", "word"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    given_away, holding = disclosing(rows, spans, support, generalise)
+    words = cut_lineage(given_away.groupBy("word").agg(F.max("disclosure").alias("disclosure")))
+    terms = occurrences(rows, holding.join(_few(words.select("word")), "word")).join(_few(words), "word")
     number = F.lit(len(KINDS))
-    return rows, spans.select("doc_id", "th", "kind", "start", "end", F.lit(1.0).alias("disclosure")).union(
+    both = spans.select("doc_id", "th", "kind", "start", "end", F.lit(1.0).alias("disclosure")).union(
         terms.select("doc_id", "th", number.alias("kind"), "start", "end", "disclosure")
     )
+    # a word within a base span (the parts of a card number) is no term of its own
+    order = Window.partitionBy("doc_id", "th").orderBy("start", "kind", "end")
+    base = F.col("kind") < number
+    before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("doc_id", "th").orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    covered = ~base & (F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))
+    return rows, cut_lineage(both.withColumn("covered", covered).where("not covered").drop("covered"))
 
 
 def _named(s: Column) -> Column:

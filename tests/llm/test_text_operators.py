@@ -290,6 +290,26 @@ def test_one_sentence_copied_is_no_evidence(docs):
     assert all("term" not in r.spans for r in pii.personal_data(docs(rows)).collect())
 
 
+def test_words_are_found_far_from_the_entity_and_without_it(docs):
+    rng = random.Random(12)
+    filler = lambda n: " ".join(rng.choice(["the", "report", "says", "that", "people"]) for _ in range(n))
+    terms = ["Zanzibari", "O'Dell-Ray", "K9", "xq"]
+    rows = [(i, filler(12)) for i in range(200)]
+    for i in range(200, 206):  # all terms stand far beyond the reach of the address
+        rows.append((i, f"{filler(3)} z.moss@corp.example {filler(80)} ({terms[0]}), {terms[1]} {terms[2]}; {terms[3]}. {filler(80)} {terms[0].upper()}!"))
+    rows += [(300, f"Named alone: {terms[0]}, and \x01{terms[1]}."), (None, f"{terms[2]} without an id"), (301, "Zanzibaris K99 xq@else.where")]
+    rows += rows[200:201]
+    source = {i: t for i, t in rows}
+    for r in pii.personal_data(docs(rows)).collect():
+        text = source[r.doc_id]
+        found = [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"]
+        want = [*terms, terms[0].upper()] if r.doc_id in range(200, 206) else {300: terms[:2], None: terms[2:3]}.get(r.doc_id, [])
+        assert [w for w in found if w not in ("Named", "alone")] == want, r.doc_id
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs(rows)).collect()}
+    assert not any(t.lower() in clean[i].lower().split() for i in (*range(200, 206), 300, None) for t in terms)
+    assert clean[301] == "Zanzibaris K99 [EMAIL]" and clean[0] == source[0]
+
+
 # --- rendering -------------------------------------------------------------
 
 
