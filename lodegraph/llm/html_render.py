@@ -23,7 +23,10 @@ from lodegraph.llm.common import rebatched
 # Fixed values of the HTML standard: element kinds, and which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
-HIDDEN = frozenset("script style head title meta link template noscript iframe object svg math datalist dialog audio video canvas select textarea".split())
+HIDDEN = frozenset("script style head title meta link template noscript iframe datalist audio video canvas".split())
+# what drawings and formulas hold beside what they show, and inputs whose value is not shown
+HIDDEN_WITHIN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
+NO_VALUE = frozenset("hidden password checkbox radio file range color image".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tr td th ul caption".split()
@@ -47,7 +50,8 @@ PARAGRAPH_LIMIT = frozenset({"button", "td", "th", "caption", "table"})
 TABLE_PARTS = frozenset({"td", "th", "tr", "tbody", "thead", "tfoot", "caption"})
 # tables within tables that are still aligned; what lies deeper is laid out as blocks
 NESTED = 12
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -56,16 +60,60 @@ class Node:
     name: str
     attributes: dict[str, str | None] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    within: str = ""  # svg or math, if inside one
 
     @property
     def seen(self) -> bool:
         own = self.attributes
         return not (
             self.name in HIDDEN or "hidden" in own or (own.get("aria-hidden") or "").lower() == "true"
-            or UNSEEN.search(own.get("style") or "")
-            or (self.name == "input")
+            or UNSEEN.search(own.get("style") or "") or self.name in HIDDEN_WITHIN.get(self.within, ())
+            or (self.name == "dialog" and "open" not in own)
         )
 
+    def shows(self, inherited: bool) -> bool:
+        """Whether its own text shows: visibility is inherited, and may be set anew."""
+        own = VISIBILITY.findall(self.attributes.get("style") or "")
+        word = own[-1].lower() if own else ""
+        return word == "visible" or (inherited and word not in ("hidden", "collapse"))
+
+
+def words_of(node: Node) -> str:
+    """All text below a node."""
+    out, work = [], [node]
+    while work:
+        node = work.pop()
+        if isinstance(node, str):
+            out.append(node)
+        else:
+            work.extend(reversed(node.children))
+    return "".join(out)
+
+
+def options(select: Node) -> list[str]:
+    """What a select shows: the chosen option, or in a list box all options and names of groups."""
+    found, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, str) or not node.seen:
+            continue
+        if node.name == "option":
+            found.append((node, node.attributes.get("label") or BLANKS.sub(" ", words_of(node)).strip()))
+            continue
+        if node.name == "optgroup":
+            found.append((node, node.attributes.get("label") or ""))
+        work.extend(reversed(node.children))
+    if "multiple" in select.attributes or whole(select.attributes.get("size"), 1, 1000) > 1:
+        return [text for _, text in found if text]
+    own = [(n, text) for n, text in found if n.name == "option"]
+    chosen = [text for n, text in own if "selected" in n.attributes][-1:] or [text for n, text in own if "disabled" not in n.attributes][:1]
+    return chosen
+
+
+def whole(value: str | None, default: int, most: int) -> int:
+    digits = re.match(r"\s*\+?0*(\d+)", value or "")
+    return min(int(digits[1][:9]), most) if digits else default
+
 
 class Builder(HTMLParser):
     """Builds the tree; never fails, whatever the tags."""
@@ -108,7 +156,7 @@ class Builder(HTMLParser):
                 self.cut(len(self.open) - 1)
         if tag in ("td", "th") and self.open[-1].name in ("table", "thead", "tbody", "tfoot"):
             self.handle_starttag("tr", [])
-        node = Node(tag, dict(reversed(attrs)))
+        node = Node(tag, dict(reversed(attrs)), within="svg" if self.held["svg"] else "math" if self.held["math"] else "")
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -184,25 +232,26 @@ class Renderer:
         return "\n".join(out)
 
 
-def rendered(children: list, pre: bool = False, depth: int = 0) -> list[str]:
+def rendered(children: list, pre: bool = False, depth: int = 0, shown: bool = True) -> list[str]:
     """Lines of a list of nodes. Depth is kept on a stack of its own, so deep pages cannot exhaust Python's."""
     page = Renderer()
-    # work: (what, node, pre); "in" enters a node, "out" leaves it
-    work: list[tuple] = [("in", c, pre) for c in reversed(children)]
+    # work: (what, node, pre, shown); "in" enters a node, "out" leaves it
+    work: list[tuple] = [("in", c, pre, shown) for c in reversed(children)]
     lists: list[list] = []
     while work:
-        what, node, pre = work.pop()
+        what, node, pre, shown = work.pop()
         if what == "out":
             if node.name in ("ul", "ol"):
                 lists.pop()
             page.block(node.name in SPACED and not (node.name in ("ul", "ol") and lists))
             continue
         if isinstance(node, str):
-            page.text(node, pre)
+            if shown:
+                page.text(node, pre)
             continue
         if not node.seen:
             continue
-        name = node.name
+        name, shown = node.name, node.shows(shown)
         if name == "br":
             page.end_line()
         elif name == "hr":
@@ -210,14 +259,29 @@ def rendered(children: list, pre: bool = False, depth: int = 0) -> list[str]:
         elif name == "wbr":
             pass
         elif name == "img":
-            if (alt := BLANKS.sub(" ", node.attributes.get("alt") or "").strip()):
+            if shown and (alt := BLANKS.sub(" ", node.attributes.get("alt") or "").strip()):
                 page.text(alt, False)
+        elif name == "input":
+            kind = (node.attributes.get("type") or "").strip().lower()
+            value = node.attributes.get("alt" if kind == "image" else "value") or ""
+            if shown and value.strip() and (kind == "image" or kind not in NO_VALUE):
+                page.text(f" {value} ", False)
+        elif name == "textarea":
+            if shown and (value := words_of(node).removeprefix("\n")).strip():
+                page.block(False)
+                page.text(value, True)
+                page.block(False)
+        elif name == "select":
+            for k, value in enumerate(options(node) if shown else []):
+                if k:
+                    page.end_line()
+                page.text(f" {value} ", False)
         elif name == "table" and depth < NESTED:
             page.block(True)
-            page.lines.extend(table_lines(node, depth + 1))
+            page.lines.extend(table_lines(node, depth + 1, shown))
             page.block(True)
         else:
-            if name in BLOCKS:
+            if name in BLOCKS or (name == "text" and node.within == "svg"):
                 page.block(name in SPACED and not (name in ("ul", "ol") and lists))
                 if name in ("ul", "ol"):
                     start = node.attributes.get("start") or ""
@@ -227,54 +291,75 @@ def rendered(children: list, pre: bool = False, depth: int = 0) -> list[str]:
                     if lists and lists[-1][0] == "ol":
                         mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
-                    page.line = ["  " * max(0, len(lists) - 1) + mark]
+                    page.line = ["  " * max(0, len(lists) - 1) + mark] if shown else []
                 elif name == "dd":
                     page.line = ["  "]
-                work.append(("out", node, pre))
+                work.append(("out", node, pre, shown))
             inner = pre or name == "pre"
-            work.extend(("in", c, inner) for c in reversed(node.children))
+            work.extend(("in", c, inner, shown) for c in reversed(node.children))
     return page.done().split("\n")
 
 
-def cells(table: Node) -> Iterator[tuple[str, list[Node]]]:
-    """("caption", [node]) and ("row", cell nodes) of a table, its groups opened."""
-    work = list(reversed(table.children))
+def cells(table: Node, shown: bool = True) -> Iterator[tuple[str, list, bool]]:
+    """("text", nodes, shown), ("row", cell nodes, shown) and ("group", [], shown) where a group of rows begins or ends."""
+    work: list = [(c, shown) for c in reversed(table.children)]
     while work:
-        node = work.pop()
+        node, shown = work.pop()
+        if node is None:
+            yield "group", [], shown
+            continue
         if isinstance(node, str):
             if node.strip():
-                yield "text", [node]
-        elif not node.seen:
+                yield "text", [node], shown
+            continue
+        if not node.seen:
+            continue
+        if node.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "caption"):
+            yield "text", [node], shown
             continue
-        elif node.name == "tr":
-            yield "row", [c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and c.seen]
+        shown = node.shows(shown)
+        if node.name == "tr":
+            yield "row", [c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and c.seen], shown
             stray = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.name not in ("td", "th")]
             if stray:
-                yield "text", stray
-        elif node.name in ("thead", "tbody", "tfoot", "colgroup"):
-            work.extend(reversed(node.children))
+                yield "text", stray, shown
         elif node.name == "caption":
-            yield "text", node.children
+            yield "text", node.children, shown
         else:
-            yield "text", [node]
+            work.extend([(None, shown), *((c, shown) for c in reversed(node.children)), (None, shown)])
 
 
-def span(cell: Node, name: str) -> int:
-    value = cell.attributes.get(name) or ""
-    return min(max(int(value), 1), 100) if re.fullmatch(r"\d{1,5}", value) else 1
+# the largest spans of the HTML standard
+COLUMNS, ROWS = 1000, 65534
 
 
-def table_lines(table: Node, depth: int = 0) -> list[str]:
-    """Rows with cells aligned in columns; a cell of several lines takes several lines."""
+def table_lines(table: Node, depth: int = 0, shown: bool = True) -> list[str]:
+    """Rows with cells aligned in columns; a cell of several lines takes several lines.
+
+    A cell over several rows stands in the first; its columns are left free in the others, up to the end of their group.
+    """
     before, rows = [], []
-    for kind, nodes in cells(table):
+    until: list[float] = []  # per column, the number of the row from which on it is free
+    at = 0
+    for kind, nodes, seen in cells(table, shown):
         if kind == "text":
-            before.extend(line for line in rendered(nodes, False, depth) if line)
+            before.extend(line for line in rendered(nodes, False, depth, seen) if line)
+            continue
+        if kind == "group":
+            until = []
             continue
-        row = []
+        row: list[list[str]] = []
         for cell in nodes:
-            row.append([line for line in rendered(cell.children, False, depth) if line] or [""])
-            row.extend([[""]] * (span(cell, "colspan") - 1))
+            while len(row) < len(until) and until[len(row)] > at:
+                row.append([""])
+            down = whole(cell.attributes.get("rowspan"), 1, ROWS)
+            lines = [line for line in rendered(cell.children, False, depth, cell.shows(seen)) if line] or [""]
+            for k in range(max(1, whole(cell.attributes.get("colspan"), 1, COLUMNS))):
+                if len(row) == len(until):
+                    until.append(0)
+                until[len(row)] = max(until[len(row)], at + down if down else float("inf"))
+                row.append([""] if k else lines)
+        at += 1
         if any(any(c) for c in row):
             rows.append(row)
     width: list[int] = []

@@ -327,6 +327,43 @@ def test_rendering(html, want):
     assert html_render.render(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"), ("<svg><title>no</title><defs><text>no</text></defs><text>a</text><text>b</text></svg>", "a\nb"),
+    ("<textarea>\na\n  b</textarea>c", "a\n  b\nc"), ("<select><option>a<option selected>b<option>c</select>", "b"), ("<select><option disabled>a<option>b</select>", "b"),
+    ("<select multiple><option>a<option label=B>c</select>", "a\nB"), ("<dialog open>yes</dialog><dialog>no</dialog>", "yes"), ("<object data=x><p>fallback</object>", "fallback"),
+    ("x<input type=submit value=Send><input type=hidden value=no>", "x Send"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i>too</i></b>no</div>", "yestoo"), ("<ol style='visibility:hidden'><li>a<li style='visibility:visible'>b</ol>", "2. b"),
+    ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", " | b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a | b | c\nd |   | e\nf |   | g"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"), ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>", "a |  | b\n  |  | c"),
+])
+def test_what_browsers_show(html, want):
+    assert html_render.render(html) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_spans_place_cells_as_on_a_grid(seed):
+    rng = random.Random(seed)
+    grid, pages, n = {}, [], rng.randint(1, 6)
+    for y in range(n):
+        cells = []
+        for k in range(rng.randint(1, 4)):
+            x = next(x for x in range(99) if (x, y) not in grid)
+            wide, down = rng.randint(1, 3), rng.randint(1, 3)
+            if any((x + i, y) in grid for i in range(wide)):
+                wide = 1
+            for i in range(wide):
+                for j in range(down):
+                    grid.setdefault((x + i, y + j), f"{y}x{k}" if i == j == 0 else "")
+            cells.append(f"<td colspan={wide} rowspan={down}>{y}x{k}")
+        pages.append("<tr>" + "".join(cells))
+    got = html_render.render("<table>" + "".join(pages) + "</table>").split("\n")
+    for y, line in enumerate(got):
+        want = [grid.get((x, y), "") for x in range(99)]
+        have = [c.strip() for c in line.split("|")]
+        assert have + [""] * (99 - len(have)) == want
+
+
 def visible_words(html):
     """What is left when tags are simply struck out of pages without hidden parts."""
     import html as h
