@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import (
+    divergence,
     exact_dedup,
+    host_rules,
     html_render,
     language_id,
     line_dedup,
@@ -18,6 +20,7 @@ from lodegraph.llm import (
     packing,
     pii,
     token_counts,
+    va_file,
     vector_graph,
 )
 from lodegraph.llm.common import table
@@ -84,3 +87,18 @@ def op3_vector_graph(spark, base):
 @query()
 def op6_html_rendering(spark, base):
     return html_render.extract(table(spark, base, "pages"))
+
+
+@query(host_rules.SQL)
+def op11_host_rules(spark, base):
+    return host_rules.document_rules(table(spark, base, "documents"))
+
+
+@query(va_file.SQL)
+def op12_va_file(spark, base):
+    return va_file.clusters(table(spark, base, "embeddings"))
+
+
+@query(divergence.SQL)
+def op13_source_divergence(spark, base):
+    return divergence.divergence(table(spark, base, "documents"))
