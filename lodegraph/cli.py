@@ -68,6 +68,7 @@ def ingest(store: Store, args) -> int:
 
 def index(store: Store, args) -> int:
     store.index_chunks()
+    store.index_vectors()
     return 0
 
 
@@ -92,9 +93,9 @@ def extract_facts(store: Store, args) -> int:
 
 def search(store: Store, args) -> int:
     check_request(args.query, args.k, 30, args.language, args.year_from)
-    hits = hybrid_search(store.graph(), args.query, k=args.k, category=args.category, language=args.language,
-                         year_from=args.year_from, encoder=hashing_encoder(args.dims), lookup=True,
-                         fulltext=store.fulltext(args.query))
+    vector = hashing_encoder(args.dims)([args.query])[0]
+    hits = hybrid_search(store.graph(), args.query, vector, k=args.k, category=args.category, language=args.language,
+                         year_from=args.year_from, lookup=True, fulltext=store.fulltext(args.query), vectors=store.vectors(vector))
     for h in hits.collect():
         print(f"[{h['rrf_score']:.4f}] {h['title']} ({h['category']}, {h['year'] or '—'}, {h['unit_kind']} {h['unit_no']})")
         print("        " + h["text"].replace("\n", " "))

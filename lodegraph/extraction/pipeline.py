@@ -21,7 +21,9 @@ from lodegraph.graph import CANONICAL_LABELS, Graph
 from lodegraph.operators.resolve import new_entities, resolve_mentions, variant_lookup
 from lodegraph.operators.sampling import stride_sample
 from lodegraph.operators.versioning import apply_batch
-from lodegraph.sinks.store import Store
+from lodegraph.session import cut_lineage
+from lodegraph.sinks.manifests import children
+from lodegraph.sinks.store import Store, conform
 
 # --- fixed values -----------------------------------------------------------
 EXTRACTED_CONFIDENCE = 0.8
@@ -30,6 +32,8 @@ UNCLASSIFIED = "не классифицировано"
 JOURNAL_CATEGORY = "журнальная статья"
 CATEGORY_ORDER = ("обзор", "статья", "доклад", "материалы конференции", "журнальная статья")
 # -----------------------------------------------------------------------------
+# chunks in a wave of questions, buckets of chunks in a wave of vectors
+WAVE, BUCKETS_A_WAVE = 5000, 16
 
 
 def pending_chunks(graph: Graph, doc_id: str | None = None, category: str | None = None, force: bool = False,
@@ -210,9 +214,9 @@ def save(store: Store, facts: Facts) -> None:
     store.create_nodes("Person", facts.people)
     store.create_nodes("Property", facts.properties)
     store.merge_nodes("Measurement", facts.measurements)
-    current, archived = apply_batch(store.read("Conclusion"), facts.conclusions)
-    store.merge_nodes("ConclusionVersion", archived)
-    store.write("Conclusion", current)
+    stored = store.table("Conclusion").lookup(facts.conclusions)
+    store.merge_nodes("ConclusionVersion", apply_batch(stored, facts.conclusions)[1])
+    store.table("Conclusion").merge(facts.conclusions, lambda old, new: conform(apply_batch(old, new)[0], "Conclusion"))
     store.replace_mentions(facts.mentions, facts.done, "position")
     for kind, rows in (("TAGGED", facts.tagged), ("AUTHORED_BY", facts.authorship), ("REPORTS", facts.reports),
                        ("DESCRIBED_IN", facts.described), ("ABOUT", facts.about)):
@@ -222,35 +226,96 @@ def save(store: Store, facts: Facts) -> None:
     store.merge_nodes("ChunkState", facts.done)
 
 
+class Ledger:
+    """Every answer a model has given, by what it was asked; appended wave by wave.
+
+    A wave is a folder that Spark's commit marker completes, so of a run that
+    dies only the wave it was in is lost.
+    """
+
+    def __init__(self, store: Store):
+        self.spark, self.root = store.spark, f"{store.root}/_ledger"
+
+    def _waves(self) -> list[int]:
+        found = [int(c[5:]) for c in children(self.spark, self.root) if c.startswith("wave=")]
+        return sorted(n for n in found if "_SUCCESS" in children(self.spark, f"{self.root}/wave={n}"))
+
+    def following(self) -> int:
+        return max((int(c[5:]) for c in children(self.spark, self.root) if c.startswith("wave=")), default=0) + 1
+
+    def answers(self, since: int = 0) -> DataFrame:
+        """(asked, wave, answer columns) of the complete waves from `since` on."""
+        paths = [f"{self.root}/wave={n}" for n in self._waves() if n >= since]
+        schema = f"asked string, wave int, {RESULT}"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def append(self, answers: DataFrame) -> None:
+        number = self.following()
+        answers.withColumn("wave", F.lit(number)).select("asked", "wave", *[c for c in answers.columns if c != "asked"]) \
+            .write.parquet(f"{self.root}/wave={number}")
+
+
+def asked_of(model_name: str) -> Column:
+    """Digest of all a chunk's answer depends on: the prompt, what is filled in and the model."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "category", "year", "unit_kind", "unit_no", "text")]
+    return F.sha2(F.concat_ws("\x1f", F.lit(EXTRACT_PROMPT), F.lit(FRAGMENT_TEMPLATE), F.lit(model_name), "id", *parts), 256)
+
+
 def extract(store: Store, make_client: Callable[[], Client], model_name: str, now: str, workers: int = 1,
-            partitions: int | None = None, review_below: float = REVIEW_BELOW, **selection) -> Facts:
-    """Extracts pending chunks into the store. Answers are kept as a table of
-    their own, so that no later step or retry asks the model twice."""
-    chunks = pending_chunks(store.graph(), done=store.read("ChunkState"), **selection)
-    folder = f"{store.root}/_answers"
+            partitions: int | None = None, review_below: float = REVIEW_BELOW, wave: int = WAVE, **selection) -> Facts:
+    """Extracts pending chunks into the store, asking the model in waves of about `wave` chunks.
+
+    What the ledger holds an answer to is not asked again, so a run that dies
+    costs the wave it was in; failed calls are asked again by the next run.
+    With `force` everything is asked anew.
+    """
+    chunks = pending_chunks(store.graph(), done=store.read("ChunkState"), **selection).withColumn("asked", asked_of(model_name))
+    folder = f"{store.root}/_asked"
     number = max((int(c[4:]) for c in store._children(folder)), default=0) + 1
-    asked = f"{folder}/run={number}"
-    chunks.write.parquet(f"{asked}/chunks")
-    chunks = store.spark.read.parquet(f"{asked}/chunks")
-    call_model(chunks, make_client, workers, partitions).write.parquet(f"{asked}/answers")
-    answers = store.spark.read.parquet(f"{asked}/answers")
-    facts = derive(store.graph(), chunks, answers, model_name, now, review_below)
+    chunks.write.parquet(f"{folder}/run={number}")
+    chunks = store.spark.read.parquet(f"{folder}/run={number}")
+    ledger = Ledger(store)
+    since = ledger.following() if selection.get("force") else 0
+    begun = ledger.following()
+    waves = max(1, -(-chunks.count() // wave))
+    for k in range(waves):
+        known = ledger.answers(since).where("error is null").select("asked")
+        todo = chunks.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k).join(known, "asked", "left_anti")
+        answered = call_model(todo, make_client, workers, partitions)
+        ledger.append(answered.join(chunks.select(F.col("id").alias("chunk_id"), "asked"), "chunk_id"))
+    # the last good answer to each question; failures only of this run
+    given = ledger.answers(since).where(F.col("error").isNull() | (F.col("wave") >= begun)).join(chunks.select("asked"), "asked", "left_semi")
+    row = F.struct(*[c for c in given.columns if c != "asked"])
+    answers = cut_lineage(given.groupBy("asked").agg(F.max_by(row, F.struct(F.col("error").isNull(), "wave")).alias("r")).select("r.*").drop("wave"))
+    facts = derive(store.graph(), chunks.drop("asked"), answers, model_name, now, review_below)
     save(store, facts)
     return facts
 
 
-def embed_missing(store: Store, make_encoder: Callable[[], Encoder], limit: int | None = None, batch: int = 200) -> int:
-    """Gives chunks without an embedding one; journal volumes come last."""
-    chunks = store.read("Chunk")
-    missing = chunks.where("embedding is null")
+def embed(store: Store, chunks: DataFrame, make_encoder: Callable[[], Encoder], batch: int = 200) -> int:
+    """Gives stored chunks (id, doc_id, digest, text) a vector; texts that have one are left alone."""
+    chunks = chunks.select("id", "doc_id", "digest", "text")
+    known = store.table("ChunkVector").lookup(chunks).select("id", "digest")
+    missing = chunks.join(known, ["id", "digest"], "left_anti")
+    encoded = cut_lineage(missing.select("id", "doc_id", "digest", encode_column(make_encoder, batch)("text").alias("embedding")))
+    made = encoded.count()
+    if made:
+        store.merge_vectors(encoded)
+    return made
+
+
+def embed_missing(store: Store, make_encoder: Callable[[], Encoder], limit: int | None = None, batch: int = 200,
+                  buckets: int = BUCKETS_A_WAVE) -> int:
+    """Gives chunks without a vector one; with a limit journal volumes come last.
+
+    Works through the chunk table some buckets at a time; a run that dies
+    keeps the vectors of the buckets before. No text is rewritten.
+    """
     if limit is not None:
         documents = store.read("Document").select(F.col("id").alias("doc_id"), "category")
         late = F.coalesce(F.col("category") == JOURNAL_CATEGORY, F.lit(False)).cast("int")
-        missing = missing.join(documents, "doc_id", "left").orderBy(late, "id").limit(limit)
-    encoded = missing.select("id", encode_column(make_encoder, batch)("text").alias("_vector"))
-    folder = f"{store.root}/_vectors"
-    number = max((int(c[4:]) for c in store._children(folder)), default=0) + 1
-    encoded.write.parquet(f"{folder}/run={number}")
-    vectors = store.spark.read.parquet(f"{folder}/run={number}")
-    store.write("Chunk", chunks.join(vectors, "id", "left").withColumn("embedding", F.coalesce("embedding", "_vector")))
-    return vectors.count()
+        chosen = store.unembedded().select("id", "doc_id").join(documents, "doc_id", "left").orderBy(late, "id").limit(limit)
+        return embed(store, store.read("Chunk").join(chosen.select("id"), "id", "left_semi"), make_encoder, batch)
+    found = store.table("Chunk").state()
+    parts = sorted(int(b) for b in found[1]["parts"]) if found else []
+    return sum(embed(store, store.unembedded(parts[i:i + buckets]), make_encoder, batch) for i in range(0, len(parts), buckets))

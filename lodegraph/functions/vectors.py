@@ -9,18 +9,26 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """The rows of a matrix at length one; rows without a length stay."""
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return np.divide(m, length, out=m.copy(), where=length > 0)
+
+
 def cosine_to(vector: Sequence[float]) -> Callable[[Column | str], Column]:
     """A similarity function to one fixed vector.
 
     The column is read batch-wise as one flat Arrow buffer, so a batch costs a
-    single matrix product. A null vector and one of no or no finite length get
-    a null score, as does everything if the fixed vector is such a one.
+    single matrix product. A null vector, one of no or no finite length and one
+    of another number of components get a null score, as does everything if
+    the fixed vector is such a one.
     """
     q = np.asarray(vector, dtype=np.float64)
     length = np.linalg.norm(q)
@@ -29,8 +37,9 @@ def cosine_to(vector: Sequence[float]) -> Callable[[Column | str], Column]:
     @F.arrow_udf("double")
     def cosine(column: pa.Array) -> pa.Array:
         scores = np.zeros(len(column))
-        valid = column.is_valid().to_numpy(zero_copy_only=False)
-        flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = pa.compute.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+        valid = sizes == q.size
+        flat = column.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if flat.size:
             m = flat.reshape(-1, q.size)
             with np.errstate(divide="ignore", invalid="ignore"):

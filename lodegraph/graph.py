@@ -89,6 +89,8 @@ class Frames(MutableMapping):
 class Graph:
     nodes: Frames = field(default_factory=Frames)
     edges: Frames = field(default_factory=Frames)
+    # the chunks' vectors where they are a table of their own: (id, doc_id, embedding)
+    vectors: Callable[[], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         self.nodes = self.nodes if isinstance(self.nodes, Frames) else Frames(self.nodes)
@@ -106,6 +108,11 @@ class Graph:
         df = self.edges["MENTIONS"]
         return df.where(F.col("dst_label").isin(*labels)) if labels else df
 
+    def chunk_vectors(self) -> DataFrame:
+        """(id, doc_id, embedding) of the chunks that have a vector."""
+        found = self.vectors() if self.vectors is not None else self.nodes["Chunk"]
+        return found.select("id", "doc_id", "embedding").where("embedding is not null")
+
     def all_nodes(self, labels: Sequence[str] | None = None) -> DataFrame:
         """Every node with the columns cross-label reads need."""
         frames = []

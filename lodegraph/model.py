@@ -19,7 +19,9 @@ NODES = {
     "Document": "id string, title string, category string, doc_type string, journal string, conference string, "
                 "year int, date date, language string, rel_path string, units int, chars bigint",
     "Chunk": "id string, doc_id string, seq int, unit_no int, unit_kind string, text string, "
-             "embedding array<float>",
+             "digest bigint",
+    # vectors of the texts with that digest, apart from the texts: making one rewrites no text
+    "ChunkVector": "id string, doc_id string, digest bigint, embedding array<float>",
     # which chunks were extracted: kept apart, so that marking rewrites no text
     "ChunkState": "id string, extracted_at string",
     "Property": "name string, category string" + _REVIEW,

@@ -80,7 +80,7 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
                   year_from: int | None = None, year_to: int | None = None, rrf_k: int = RRF_K,
                   entity_keys: Sequence[str] | None = None, measured: Ranked | None = None,
                   allowed_categories: Sequence[str] | None = None, encoder: Encoder | None = None,
-                  fulltext: Ranked | None = None, vectors: DataFrame | None = None,
+                  fulltext: Ranked | None = None, vectors: Ranked | None = None,
                   lookup: bool = False) -> DataFrame:
     """The k best chunks for a query, one row each, ordered by `place`.
 
@@ -90,7 +90,7 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
     stored index, say): each is a function of (size, within) that ranks chunks
     of `within` only, or a ready (chunk_id, rank) frame, whose visible rows
     move up. `vectors` names a separate (id, embedding) table where chunks
-    carry none. With `lookup` the fused ids (a few hundred by construction)
+    carry none, or is such a function over a stored index. With `lookup` the fused ids (a few hundred by construction)
     become a literal filter, so that a stored chunk table is read only where
     its row groups may hold one.
     """
@@ -108,11 +108,14 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
         vector = encoder([query])[0]
     channels = []
     if vector is not None:
-        if vectors is None:
-            vectors = seen
-        elif filtered:
-            vectors = vectors.join(within.withColumnRenamed("chunk_id", "id"), "id", "left_semi")
-        channels.append(channel(nearest(vectors, vector, size), "vector"))
+        if callable(vectors):
+            found = vectors(size, within)
+        else:
+            vectors = graph.chunk_vectors() if vectors is None else vectors
+            if filtered:
+                vectors = vectors.join(within.withColumnRenamed("chunk_id", "id"), "id", "left_semi")
+            found = nearest(vectors, vector, size)
+        channels.append(channel(found, "vector"))
     if fulltext is None:
         fulltext = lambda n, among: search_texts(chunks, query, n, within=among)
     channels.append(channel(_ranked(fulltext, size, within), "fulltext"))
@@ -156,7 +159,7 @@ def semantic_search(graph: Graph, vector: Sequence[float], k: int = 8, category:
                     allowed_categories: Sequence[str] | None = None) -> DataFrame:
     """Vector search alone; the filters act before the cut."""
     documents = document_filter(_documents(graph), category, language, year_from, allowed_categories=allowed_categories)
-    seen = graph.node("Chunk")
+    seen = graph.chunk_vectors()
     if any(x is not None for x in (category, language, year_from, allowed_categories)):
         seen = seen.join(documents.select("doc_id"), "doc_id", "left_semi")
     found = nearest(seen, vector, k)

@@ -1,13 +1,12 @@
-"""The graph as Parquet snapshots.
+"""The graph as keyed tables of Parquet files.
 
-Each table is a folder of numbered snapshots. A write goes to the next number
-while readers stay on the last complete one, which Spark's own commit marker
-(_SUCCESS) tells apart; a failed job leaves nothing behind that anyone reads.
+Every table lies in hash buckets under a manifest (`buckets`): a batch costs
+the buckets it touches, and readers keep the state they began with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +15,18 @@ from lodegraph import model
 from lodegraph.access import User, visible_graph
 from lodegraph.graph import Frames, Graph, UnknownLabel
 from lodegraph.operators.fulltext import index_version, search_index, update_index, write_index
-from lodegraph.sinks import snapshots, upsert
+from lodegraph.operators.vector_index import VectorIndex
+from lodegraph.session import cut_lineage
+from lodegraph.sinks import manifests, upsert
+from lodegraph.sinks.buckets import ROWS_A_BUCKET, Buckets
 
 
 # large tables read by key: row groups without the key are skipped
 KEY_FILTERS = {"Chunk": ("id", "doc_id"), "MENTIONS": ("src_id", "dst_id")}
+# tables whose batches replace all rows of one value of a column
+BUCKETED_BY = {"MENTIONS_EXTRACTED": ["source"]}
+# never nodes of the graph: what is kept beside the chunks
+BESIDE_CHUNKS = ("ChunkState", "ChunkVector")
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -31,17 +37,31 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     ])
 
 
+def digest_of(text: str = "text") -> F.Column:
+    """What tells whether a text has changed since something was made of it."""
+    return F.xxhash64(text)
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, rows_a_bucket: int = ROWS_A_BUCKET, keep_hours: float = manifests.KEEP_HOURS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.rows_a_bucket, self.keep_hours = rows_a_bucket, keep_hours
 
     def _children(self, folder: str) -> list[str]:
-        return snapshots.children(self.spark, folder)
+        return manifests.children(self.spark, folder)
+
+    def table(self, name: str) -> Buckets:
+        if name not in model.NODES and name not in model.EDGES:
+            raise UnknownLabel(name)
+        key = model.node_key(name) if name in model.NODES else model.edge_key(name)
+        filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in KEY_FILTERS.get(name, ())}
+        return Buckets(self.spark, f"{self.root}/{name}", model.layout(name), BUCKETED_BY.get(name, key),
+                       self.rows_a_bucket, filters, keep_hours=self.keep_hours)
 
     def snapshot(self, name: str) -> int | None:
-        """Number of the last complete snapshot."""
-        return snapshots.last(self.spark, f"{self.root}/{name}")
+        """Number of the table's last manifest."""
+        return self.table(name).version()
 
     def read(self, name: str) -> DataFrame:
         """The table as readers see it: mentions with what streams and extraction have counted."""
@@ -49,20 +69,11 @@ class Store:
         return upsert.added_counts(self.stored(name), *map(self.stored, parts)) if parts else self.stored(name)
 
     def stored(self, name: str) -> DataFrame:
-        if name not in model.NODES and name not in model.EDGES:
-            raise UnknownLabel(name)
-        number = self.snapshot(name)
-        if number is None:
-            return self.spark.createDataFrame([], model.layout(name))
-        return self.spark.read.schema(model.layout(name)).parquet(f"{self.root}/{name}/v={number}")
+        return self.table(name).read()
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Publishes a new snapshot and returns it."""
-        target = snapshots.following(self.spark, f"{self.root}/{name}")
-        writer = conform(df, name).write.mode("errorifexists")
-        for key in KEY_FILTERS.get(name, ()):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
-        writer.parquet(target)
+        """Replaces the table and returns it."""
+        self.table(name).write(conform(df, name))
         return self.stored(name)
 
     def create(self) -> list[str]:
@@ -85,8 +96,8 @@ class Store:
             edges[kind] = lambda label=label, src=src, dst=dst: self.read(label).select(
                 F.col(src).alias("src_id"), F.col(dst).cast("string").alias("dst_id"))
         graph = Graph(
-            nodes=Frames({label: (lambda label=label: self.read(label)) for label in model.NODES if label != "ChunkState"}),
-            edges=Frames(edges),
+            nodes=Frames({label: (lambda label=label: self.read(label)) for label in model.NODES if label not in BESIDE_CHUNKS}),
+            edges=Frames(edges), vectors=lambda: self.stored("ChunkVector"),
         )
         return graph if user is None else visible_graph(graph, user)
 
@@ -104,22 +115,31 @@ class Store:
             return None
         return lambda n, within: search_index(self.spark, self.index, query, n, within)
 
-    def _merge(self, name: str, rows: DataFrame, keys: list[str], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Merges a batch into the rows it touches and copies the others.
+    @property
+    def vector_index(self) -> VectorIndex:
+        return VectorIndex(self.spark, f"{self.root}/_vectors")
 
-        With a batch small enough to broadcast, the stored table is scanned
-        and rewritten but never shuffled.
-        """
-        touched, untouched = upsert.split(self.stored(name), rows, keys)
-        return self.write(name, conform(merged(touched), name).unionByName(untouched))
+    def index_vectors(self) -> None:
+        """Builds the vector index anew from all chunks' vectors."""
+        self.vector_index.build(self.stored("ChunkVector"))
+
+    def vectors(self, query: Sequence[float]) -> Callable[[int, DataFrame | None], DataFrame] | None:
+        """The stored vector index as a search channel, None before the first `index_vectors`."""
+        if self.vector_index.version() is None:
+            return None
+        return lambda n, within: self.vector_index.search(query, n, within)
+
+    def _merge(self, name: str, rows: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        self.table(name).merge(rows, lambda old, batch: conform(merged(old, batch), name))
+        return self.stored(name)
 
     def merge_nodes(self, label: str, rows: DataFrame, order: str | None = None) -> DataFrame:
         keys = model.node_key(label)
-        return self._merge(label, rows, keys, lambda old: upsert.overwrite(old, rows, keys, order))
+        return self._merge(label, rows, lambda old, new: upsert.overwrite(old, new, keys, order))
 
     def create_nodes(self, label: str, rows: DataFrame, fill: Iterable[str] = (), order: str | None = None) -> DataFrame:
         keys = model.node_key(label)
-        return self._merge(label, rows, keys, lambda old: upsert.create_only(old, rows, keys, list(fill), order))
+        return self._merge(label, rows, lambda old, new: upsert.create_only(old, new, keys, list(fill), order))
 
     def merge_edges(self, kind: str, rows: DataFrame, order: str | None = None) -> DataFrame:
         """Writes edges; one whose ends are not both there is left out."""
@@ -128,29 +148,59 @@ class Store:
             if label is not None:
                 known = self.stored(label).select(F.col(model.node_key(label)[0]).cast("string").alias(column))
                 rows = rows.join(known, column, "left_semi")
-        return self._merge(kind, rows, keys, lambda old: upsert.overwrite(old, rows, keys, order))
+        return self._merge(kind, rows, lambda old, new: upsert.overwrite(old, new, keys, order))
 
     def count_mentions(self, rows: DataFrame, order: str) -> DataFrame:
-        keys = model.edge_key("MENTIONS")
-        return self._merge("MENTIONS", rows, keys, lambda old: upsert.counted_edges(old, rows, order=order))
+        return self._merge("MENTIONS", rows, lambda old, new: upsert.counted_edges(old, new, order=order))
 
     def replace_mentions(self, rows: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
         """Mentions found in `chunks` (id), instead of those found there before.
 
         One row for each edge and chunk, so writing them again changes nothing.
         """
+        name = "MENTIONS_EXTRACTED"
         keys = [*model.edge_key("MENTIONS"), "source"]
-        columns = [f.name for f in model.layout("MENTIONS_EXTRACTED").fields]
+        columns = [f.name for f in model.layout(name).fields]
         props = F.struct(*[F.col(c) for c in columns if c in rows.columns and c not in (*keys, "count")])
         known = self.stored("Document").select(F.col("id").alias("src_id"))
         found = rows.join(known, "src_id", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max_by(props, order).alias("p"))
-        kept = self.stored("MENTIONS_EXTRACTED").join(chunks.select(F.col("id").alias("source")), "source", "left_anti")
-        name = "MENTIONS_EXTRACTED"
-        return self.write(name, conform(kept, name).unionByName(conform(found.select(*keys, "count", "p.*"), name)))
+        batch = chunks.select(F.col("id").alias("source"), F.lit(True).alias("_asked")).unionByName(
+            conform(found.select(*keys, "count", "p.*"), name), allowMissingColumns=True)
+
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            asked = new.where("_asked").select("source").distinct()
+            return old.join(asked, "source", "left_anti").unionByName(new.where("_asked is null").select(*old.columns))
+
+        return self._merge(name, batch, merged)
 
     def merge_chunks(self, rows: DataFrame) -> DataFrame:
-        """Writes the chunks; the text index, if there is one, follows."""
-        merged = self._merge("Chunk", rows, ["id"], lambda old: upsert.chunks(old, rows))
+        """Writes the chunks; vectors of texts that have changed go, and the text index, if there is one, follows.
+
+        The vectors go first: a run that dies in between has lost some, which
+        are made again, and keeps none of another text.
+        """
+        given = [f.name for f in model.layout("Chunk").fields if f.name in (*rows.columns, "digest")]
+        rows = cut_lineage(conform(rows.withColumn("digest", digest_of()), "Chunk").select(*given))
+        vectors = self.table("ChunkVector")
+        if vectors.rows():
+            new = rows.select("id", F.col("digest").alias("_digest"))
+            stale = vectors.lookup(new).join(new, "id").where("digest <> _digest").select("id")
+            stale = cut_lineage(stale)
+            vectors.delete(stale)
+            if self.vector_index.version() is not None:
+                self.vector_index.delete(stale)
+        merged = self._merge("Chunk", rows, lambda old, new: upsert.overwrite(old, new, ["id"]))
         if index_version(self.spark, self.index) is not None:
             update_index(rows, self.index)
         return merged
+
+    def unembedded(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Chunks whose text has no vector yet, of all or of some of the chunk table's buckets."""
+        chunks = self.table("Chunk").read(buckets)
+        return chunks.join(self.stored("ChunkVector").select("id", "digest"), ["id", "digest"], "left_anti")
+
+    def merge_vectors(self, rows: DataFrame) -> None:
+        """Writes (id, doc_id, digest, embedding); writing them again changes nothing. The vector index follows."""
+        if self.vector_index.version() is not None:
+            self.vector_index.update(rows)
+        self._merge("ChunkVector", rows, lambda old, new: upsert.overwrite(old, new, ["id"]))

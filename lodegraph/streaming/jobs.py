@@ -9,13 +9,18 @@ a batch changes no result: rows of one key are taken in the order they arrived.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodegraph.extraction.pipeline import embed
+from lodegraph.functions.vectors import Encoder
 from lodegraph.operators.versioning import apply_changes
+from lodegraph.session import cut_lineage
 from lodegraph.sinks import audit
-from lodegraph.sinks.store import Store
+from lodegraph.sinks.store import Store, conform, digest_of
 
 
 def _run(stream: DataFrame, checkpoint: str, mode: str, each) -> StreamingQuery:
@@ -46,15 +51,32 @@ def chunk_upserts(store: Store, chunks: DataFrame, checkpoint: str) -> Streaming
     return _run(chunks, checkpoint, "append", each)
 
 
+def embeddings(store: Store, chunks: DataFrame, checkpoint: str, make_encoder: Callable[[], Encoder], batch: int = 200) -> StreamingQuery:
+    """Vectors of chunks as they arrive and are stored.
+
+    A vector is kept by chunk and text digest: what has one is not encoded
+    again, whether a batch is repeated or a second stream sees the same chunk.
+    Texts that are no longer the stored ones are passed over.
+    """
+
+    def each(arrived: DataFrame, _: int) -> None:
+        rows = arrived.select("id", digest_of().alias("digest")).distinct()
+        embed(store, store.table("Chunk").lookup(rows).join(rows, ["id", "digest"], "left_semi"), make_encoder, batch)
+
+    return _run(chunks, checkpoint, "append", each)
+
+
 def versioned_conclusions(store: Store, conclusions: DataFrame, checkpoint: str) -> StreamingQuery:
     """Conclusions with archive. The archive is written first and by key, so a
     repeated batch finds its changes already applied or applies them once."""
 
     def each(batch: DataFrame, _: int) -> None:
         order = F.struct("now", F.col(ARRIVED)["file_modification_time"].cast("string"), F.col(ARRIVED)["file_path"], F.col(ARRIVED)["row_index"])
-        current, archived = apply_changes(store.read("Conclusion"), batch, order)
-        store.merge_nodes("ConclusionVersion", archived)
-        store.write("Conclusion", current)
+        # only the buckets of the batch's conclusions are read and written
+        batch = cut_lineage(batch.withColumn("_order", order))
+        stored = store.table("Conclusion").lookup(batch)
+        store.merge_nodes("ConclusionVersion", apply_changes(stored, batch, F.col("_order"))[1])
+        store.table("Conclusion").merge(batch, lambda old, new: conform(apply_changes(old, new, F.col("_order"))[0], "Conclusion"))
 
     return _run(conclusions, checkpoint, "append", each)
 

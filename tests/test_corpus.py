@@ -134,7 +134,7 @@ def test_reingest_and_embeddings(store, tree):
     with open(f"{tree}/выгрузка/{corpus.ROOT_FOLDER}/Доклады/Доклад_Иванов_И.И..pptx", "wb") as f:
         f.write(pptx(["Другой доклад"]))
     corpus.ingest(store, tree, "later", category="доклад")
-    stale = store.read("Chunk").where("embedding is null").collect()
+    stale = store.unembedded().collect()
     assert [c["text"] for c in stale] == ["Другой доклад"]
     assert store.read("Document").count() == 4
     again = corpus.ingest(store, tree, "later", resume=True)
