@@ -15,6 +15,7 @@ where partitions meet; a large source is dealt over all partitions.
 
 from __future__ import annotations
 
+import functools
 import gc
 import re
 import unicodedata
@@ -31,6 +32,7 @@ from lodegraph.llm.common import once, rebatched
 from lodegraph.session import cut_lineage
 
 WINDOW, PACKET = 2048, 64
+composed = functools.partial(unicodedata.is_normalized, "NFC")
 TOKENS_A_PARTITION = 4_000_000
 WORDS_REMEMBERED, PIECES_REMEMBERED = 150_000, 1_000_000
 # rows of (source, block) totals, some 60 bytes each, up to which they are broadcast
@@ -42,12 +44,15 @@ class Encoder:
 
     Words between blanks do not influence each other under such a file, nor do
     a word's runs of letters, digits and signs, so every distinct one is
-    encoded once by the library and remembered. A word whose characters could
-    change class when normalised is handed to the library whole.
+    encoded once by the library and remembered. A word is handed to the library
+    whole where it might be cut otherwise there: where it is not in composed
+    form, has characters of no known class, or may hold a special string.
     """
 
     # Fixed value: how word-end vocabularies of this family cut words into pieces.
     PIECES = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    # letters and digits that are letters and digits to everyone; a stop after anything else is left where it is
+    PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c1\u0410-\u044f\u4e00-\u9fa5 \n\r\t"
 
     def __init__(self, path: str):
         import os
@@ -58,43 +63,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.wide = self.library.get_vocab_size() > 1 << 16
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.signs = re.compile(r"[^\w\s][.,] |_[.,] ").search
+        self.kind = "<u4" if self.wide else "<u2"
+        self.signs = re.compile(rf"[^{self.PLAIN}][.,] ").search
         self.cut = regex.compile(self.PIECES).findall
         self.known: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        """Identifiers of each piece; all pieces go to the library as one text, whose identifiers are parted at word ends."""
-        kind = "<u4" if self.wide else "<u2"
-        ids = np.array(self.library.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(pieces):
-            data, width = ids.astype(kind).tobytes(), int(kind[2])
-            return [data[b:e] for b, e in zip([0, *(stops[:-1] * width).tolist()], (stops * width).tolist())]
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, kind).tobytes() for x in found]
+        """Identifiers of each piece.
+
+        Pieces go to the library as one text, a line each, and every identifier
+        belongs to the piece in whose line it begins. Special strings take
+        blanks around them along, so pieces that may hold one go alone.
+        """
+        found: dict[int, bytes] = {}
+        alone = [i for i, p in enumerate(pieces) if "<|" in p or "\n" in p]
+        for i, x in zip(alone, self.library.encode_batch([pieces[i] for i in alone], add_special_tokens=False) if alone else ()):
+            found[i] = np.array(x.ids, self.kind).tobytes()
+        lines = [i for i in range(len(pieces)) if i not in found]
+        if lines:
+            whole = self.library.encode("\n".join([pieces[i] for i in lines]), add_special_tokens=False)
+            ids, width = np.array(whole.ids, self.kind), int(self.kind[2])
+            starts = np.cumsum([0] + [len(pieces[i]) + 1 for i in lines])
+            at = np.searchsorted(np.array([x[0] for x in whole.offsets], np.int64), starts) * width
+            data = ids.tobytes()
+            found.update(zip(lines, [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]))
+        return [found[i] for i in range(len(pieces))]
 
     def spaced(self, text: str) -> str:
         """The text with stops and commas set apart and in lower case, where that changes no identifier.
 
-        Both only make words alike sooner. A sign before the stop would belong
-        to one run with it; a dotted I or a sigma has a lower case of its own.
+        Both only make words alike sooner. A sign or a mark before the stop
+        would belong to one run with it; a text that is not in composed form,
+        before or after, keeps its case, as the library composes first.
         """
         text = text.replace("\n", " ")
         if "<|" not in text and "\u0130" not in text and "\u03a3" not in text:
-            text = text.lower()
+            lower = text.lower()
+            if text.isascii() or composed(text) and composed(lower):
+                text = lower
             if not self.signs(text):
                 text = text.replace(". ", " . ").replace(", ", " , ")
         return text
 
     def cut_up(self, word: str) -> list[str]:
-        if word[-1] in ".,;:!?" and word[:-1].isalpha() and "\u0130" not in word:
+        # (what is not printable includes what only some versions of Unicode assign)
+        if not word.isascii() and ("'" in word or "\u0130" in word or not word.isprintable() or not composed(word)) or "<|" in word:
+            return [word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
             return [word[:-1], word[-1]]
-        plain = word.isascii() or (unicodedata.is_normalized("NFC", word) and "\u0130" not in word)
-        return self.cut(word) if plain and "<|" not in word else [word]
+        return self.cut(word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known, pieces = self.known, self.pieces
@@ -122,7 +140,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     """Rows (doc_id, source, ids, n, block, place): place counts the tokens of
     the source before the row within its block, the task that made it."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -143,7 +161,8 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
                 ["doc_id", "source", "ids", "n", "width", "block", "place"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, source string, ids binary, n long, width int, block int, place long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, ids binary, n long, width int, block int, place long")
 
 
 def round_robin(queues: list[int], quanta: list[float], deficits: list[float], packet: int = PACKET) -> Iterator[tuple[int, int]]:
@@ -271,9 +290,11 @@ def pack(
             out[3][k] = zlib.crc32(memoryview(words[i])[own : own + 4 * n])
         out[5] = [(part << 32) + s for s in out[5]]
         out[7] = [source[i] for i in out[7]]
-        kinds = [pa.int64()] * 7 + [pa.string()]
+        kinds = [group.schema.field("doc_id").type] + [pa.int64()] * 6 + [pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    return ranged.groupBy("part").applyInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # as many tasks as parts, so that what a task reads does not grow with the input
+    return ranged.repartition(parts, "part").groupBy("part").applyInArrow(
+        run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     )
