@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.session import checkpoint_dir
@@ -65,6 +65,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_left(docs: DataFrame, digest: Column, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of `docs` that (doc_id, digest) in `gone` do not name, and one each of those that `again` names.
+
+    An id alone names no row: texts may share one, and rows may have none.
+    Only what stands in `again` is grouped; copies fold within each task.
+    """
+    rows, keys = docs.withColumn("__digest", digest), ("doc_id", "__digest")
+    names = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__named"))
+    met = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__digest"] == F.col("__named"))
+    left = rows.join(names(gone), met, "left_anti")
+    if not again.isEmpty():
+        single = left.join(names(again), met, "left_anti")
+        left = single.unionByName(left.join(names(again), met, "left_semi").dropDuplicates(keys))
+    return left.drop("__digest")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): rows (id, component_id).
 

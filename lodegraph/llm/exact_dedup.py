@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import texts
+from lodegraph.llm.common import rows_left, texts
 from lodegraph.session import cut_lineage
 
 SHORTEST, LONGEST = 512, 4096
@@ -94,9 +94,17 @@ def _told_apart(source, dictionary, shared, rows, chunks) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = groups(docs).where("not kept and keep_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each distinct text, with all its columns: that with the largest doc_id.
+
+    Decisions go back by id and text, so rows that share an id are judged each
+    by their own text. Rows that repeat both stay once, as does a text whose
+    rows have no id at all; a row without an id goes where another has one.
+    """
+    found = cut_lineage(groups(docs).select("doc_id", "keep_id", F.col("text_sha256").alias("digest")))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = found.where(~stays).select("doc_id", "digest").distinct()
+    again = cut_lineage(found.where(stays).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return rows_left(docs, F.sha2(F.coalesce("text", F.lit("")), 256), gone, again)
 
 
 SQL = """

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import components, once, rebatched, texts
+from lodegraph.llm.common import components, once, rebatched, rows_left, texts
 from lodegraph.session import cut_lineage
 
 TREES, DEPTH = 20, 4
@@ -247,6 +247,17 @@ def near_copies(docs: DataFrame, words: int = 2, doc_id: str = "doc_id", text: s
     * very long texts: whole, in bounded memory; empty table: no rows;
     * a similarity of exactly 0.8 links; further columns are ignored.
     """
+    row = _grouped(docs, words, doc_id, text)
+    first = cut_lineage(row.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    out = row.join(first, "root", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("root").isNull().alias("blank"),
+    )
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("blank") | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+
+
+def _grouped(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, tk, n, root) of every row: root names the texts that links reach, null without shingles."""
     source = texts(docs, doc_id=doc_id, text=text).withColumn("tk", F.xxhash64("text"))
     described = cut_lineage(_described(source, words))
     nodes = cut_lineage(
@@ -266,13 +277,7 @@ def near_copies(docs: DataFrame, words: int = 2, doc_id: str = "doc_id", text: s
         links = _tiled(members, large, exact)
     groups = components(links)
     row = described.join(groups.withColumnRenamed("component_id", "root"), F.col("node") == F.col("id"), "left")
-    row = cut_lineage(row.select("doc_id", "n", F.coalesce("root", "node").alias("root")))
-    first = cut_lineage(row.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    out = row.join(first, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("root").isNull().alias("blank"),
-    )
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("blank") | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+    return cut_lineage(row.select("doc_id", "tk", "n", F.coalesce("root", "node").alias("root")))
 
 
 def _tiled(members: DataFrame, large: DataFrame, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -296,6 +301,17 @@ def _tiled(members: DataFrame, large: DataFrame, exact: Callable[[DataFrame], Da
 
 
 def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group of near copies, with all its columns; documents without an id stay."""
-    gone = near_copies(docs, words).where("not kept and component_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near copies, with all its columns: that with the smallest doc_id.
+
+    Decisions go back by id and text, so rows that share an id are judged each
+    by their own text; of rows with the group's smallest id one stays. A row
+    without an id stays only if no row of its group has one. Texts without a
+    word are in no group, and all their rows stay.
+    """
+    rows = _grouped(docs, words, "doc_id", "text").where("root is not null").select("doc_id", F.col("tk").alias("digest"), "root")
+    known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = cut_lineage(rows.groupBy("root").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n")))
+    found = cut_lineage(rows.join(first.where("n > 1"), "root").select("doc_id", "digest", (known == F.col("first")).alias("stays")))
+    gone = found.where("not stays").select("doc_id", "digest").distinct()
+    again = cut_lineage(found.where("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return rows_left(docs, F.xxhash64(F.coalesce("text", F.lit(""))), gone, again)
