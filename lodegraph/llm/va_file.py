@@ -33,7 +33,7 @@ BITS = 4
 BROADCAST_ROWS = 500_000
 # components up to which sums and squares of a batch stay within 64 bits; larger ones are worked with as Python integers
 SMALL = 1 << 24
-LARGEST = (1 << 63) - 1
+LARGEST, FAR = (1 << 63) - 1, 10**308
 
 
 def usable(vectors: DataFrame, dims: int, vec_id: str, vector: str) -> DataFrame:
@@ -81,10 +81,12 @@ def tables(edges: list[list[float]], centroids: list[list[int]]) -> tuple[np.nda
     edge j to edge j + 1. Rounded outwards by more than the sums can lose.
     """
     low, high = np.array([e[:-1] for e in edges]), np.array([e[1:] for e in edges])
-    c = np.array(centroids, float).T[:, :, None]
-    below, above = low[:, None, :] - c, c - high[:, None, :]
-    least = np.maximum(np.maximum(below, above), 0.0) ** 2
-    greatest = np.maximum(np.abs(below), np.abs(above)) ** 2
+    # what no double can hold counts as very far; such intervals overlap and are compared exactly
+    c = np.array([[float(min(max(x, -FAR), FAR)) for x in row] for row in centroids]).T[:, :, None]
+    with np.errstate(over="ignore"):
+        below, above = low[:, None, :] - c, c - high[:, None, :]
+        least = np.maximum(np.maximum(below, above), 0.0) ** 2
+        greatest = np.maximum(np.abs(below), np.abs(above)) ** 2
     return least * (1 - 1e-9), greatest * (1 + 1e-9)
 
 
@@ -179,7 +181,8 @@ class Clustering:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = rows_of(batch.column("v"), dims).astype(float)
+                with np.errstate(over="ignore"):
+                    x = np.floor(batch.column("v").flatten().to_numpy(zero_copy_only=False) * SCALE).reshape(-1, dims)
                 cells = np.stack([np.searchsorted(inner[d], x[:, d], "right") for d in range(dims)], axis=1)
                 yield batch.append_column("cells", pa.array(packed(cells, bits), pa.binary()))
 
