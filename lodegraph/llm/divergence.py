@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,10 +155,12 @@ def _pairs_of_tile(key, table):
     groups, empty = number[is_group], weight[is_group]
     order = np.argsort(groups)
     groups, empty = groups[order], empty[order]
+    # terms that only groups of other blocks have count as well
+    terms = pa.compute.max(table.column("of_block")).as_py() or 0
     cells = table.filter(pa.array(~is_group))
     columns = cells.column("term").combine_chunks().dictionary_encode()
     rows = np.searchsorted(groups, number[~is_group])
-    sums = joint_walk(rows, columns.indices.to_numpy(zero_copy_only=False).astype(np.int64), weight[~is_group], empty, len(columns.dictionary))
+    sums = joint_walk(rows, columns.indices.to_numpy(zero_copy_only=False).astype(np.int64), weight[~is_group], empty, terms)
     block = groups // BLOCK_GROUPS
     a, b = np.nonzero((block[:, None] == first) & (block[None, :] == second) | (block[:, None] == second) & (block[None, :] == first))
     a, b = a[a != b], b[a != b]
@@ -167,7 +170,7 @@ def _pairs_of_tile(key, table):
 class Matrix:
     """The counts of all groups and kept terms, as stored tables.
 
-    cells: lang, source, term, n (over 0), lang_n; groups: lang, source,
+    cells: lang, source, term, n (over 0), lang_n, leads; groups: lang, source,
     number (from 0 within the language), total, terms, lang_total, of_lang
     (groups of the language), empty (p of a count of 0).
     """
@@ -180,9 +183,10 @@ class Matrix:
             folded.where("term is not null").repartition("lang", "term")
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
             .withColumn("lang_n", F.sum("n").over(of_term)).withColumn("lang_df", F.sum("df").over(of_term))
+            .withColumn("leads", F.col("source") == F.min("source").over(of_term))  # one cell of each term
             .where(F.col("lang_df") >= least_docs).drop("df", "lang_df")
         )
-        langs = self.cells.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_distinct("term").alias("terms"))
+        langs = self.cells.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("leads").alias("terms"))
         totals = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         in_order = Window.partitionBy("lang").orderBy("source")
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -205,12 +209,15 @@ class Matrix:
         # a tile holds two blocks of groups; (i, j) and (j, i) are one
         tiles = F.expr(f"""transform(sequence(0, (of_lang - 1) DIV {BLOCK_GROUPS}), j -> named_struct(
             'first', least(j, number DIV {BLOCK_GROUPS}), 'second', greatest(j, number DIV {BLOCK_GROUPS})))""")
-        cells = self.weighted().select("lang", "number", "term", "p", F.expr(f"pmod(xxhash64(term), {blocks})").alias("block"), F.explode(tiles).alias("t"))
+        block = F.expr(f"pmod(xxhash64(term), {blocks})").alias("block")
+        cells = self.weighted().select("lang", "number", "term", "p", block, F.explode(tiles).alias("t"), F.lit(None).cast("long").alias("of_block"))
+        sizes = self.cells.where("leads").join(_shared(self.groups.select("lang", "terms").distinct()), "lang") \
+            .groupBy("lang", block).agg(F.count(F.lit(1)).alias("of_block"))
         rows = self.groups.select("lang", "number", F.lit(None).cast("string").alias("term"), F.coalesce("empty", F.lit(1).cast("long")).alias("p"),
                                   F.explode(F.expr(f"sequence(cast(0 AS bigint), {blocks} - 1)")).alias("block"), tiles.alias("t"))
-        rows = rows.withColumn("t", F.explode("t"))
+        rows = rows.withColumn("t", F.explode("t")).join(sizes, ["lang", "block"], "left")
         sums = (
-            cells.unionByName(rows).select("lang", "block", "t.first", "t.second", "number", "term", "p")
+            cells.unionByName(rows).select("lang", "block", "t.first", "t.second", "number", "term", "p", "of_block")
             .groupBy("lang", "block", "first", "second")
             .applyInArrow(_pairs_of_tile, "lang string, number long, other long, value long")
             .groupBy("lang", "number", "other").agg(F.sum("value").alias("value"))
