@@ -4,7 +4,8 @@ Every document is measured on its own; the failures of each rule are then
 counted by host and every host's rate is shrunk towards what all hosts show:
 a beta prior is fitted by moments to the hosts' rates, so that a host with few
 documents is judged mostly by the prior and one with many mostly by its own.
-The verdict on a host goes back to its documents.
+That a document fails any rule counts as one more
+rule. The verdict on a host goes back to its documents.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RULES = {
     "symbols": "10 * n_symbols > n_words",
     "lines": "10 * n_dup_lines > 3 * n_lines",
 }
+# a host may fail by one rule, or by some here and some there
+RULES["total"] = " or ".join(RULES.values())
 BASE_RULES = ("short", "repeated")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SYMBOLS, _CONTINUATION = b"#*$%&|<>", bytes(range(0x80, 0xC0))
