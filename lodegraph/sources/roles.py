@@ -122,7 +122,9 @@ def records(spark: SparkSession, base: str) -> Graph:
 
 
 def text_documents(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").select(_text("doc_id").alias("doc_id"), "text", "lang", "source", "n_chars")
+    """Dealt by id: the work on texts spreads over all tasks however few files hold them."""
+    docs = table(spark, base, "documents").select(_text("doc_id").alias("doc_id"), "text", "lang", "source", "n_chars")
+    return docs.repartition("doc_id")
 
 
 def text_vectors(spark: SparkSession, base: str) -> DataFrame:

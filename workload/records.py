@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.access import User, visible_documents
+from lodegraph.graph import Graph
 from lodegraph.operators.traversal import covering_documents, document_entities, graph_candidates
 from lodegraph.plans import analytics as A
+from lodegraph.plans.kept import Kept
+from lodegraph.session import checkpoint_dir
 from lodegraph.sources.roles import records, table
 from workload.registry import query
 
@@ -205,6 +212,69 @@ def dashboard_coverage(spark, base):
     return A.topic_coverage(records(spark, base))
 
 
+def _kept(spark, base):
+    """Aggregates kept over a part of the orders, then brought up to date by two batches.
+
+    The first load lacks every third order, takes all materials as verified
+    and still has conclusions of orders that go; the batches put that right.
+    """
+    whole, held = records(spark, base), Kept(spark, f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}", 50_000)
+    third = lambda c: F.pmod(F.col(c).cast("long"), F.lit(3)) == 0
+    of = {"MENTIONS": "src_id", "REPORTS": "src_id", "TAGGED": "src_id", "AUTHORED_BY": "src_id"}
+    first = Graph(
+        nodes=whole.nodes.with_tables(
+            Document=whole.node("Document").where(~third("id")),
+            Material=whole.node("Material").withColumn("needs_review", F.lit(None).cast("boolean"))),
+        edges=whole.edges.with_tables(**{kind: whole.edge(kind).where(~third(column)) for kind, column in of.items()}))
+    held.rebuild(first)
+    flagged = whole.node("Material").where("needs_review").select(F.lit("Material").alias("label"), F.col("id").alias("key"))
+    none = whole.node("Document").where(F.lit(False))
+    between = Graph(nodes=first.nodes.with_tables(Material=whole.node("Material")), edges=first.edges)
+    held.update(first, between, none.select("id"), flagged, "flags")
+    new = whole.node("Document").where(third("id"))
+    for _ in range(2):  # a repeated batch changes nothing
+        held.update(between, whole, new.select("id"), new.select(F.lit("Document").alias("label"), F.col("id").alias("key")), "rest")
+    return held
+
+
+@query(f"""WITH {PAIRS}, {TAGGED}, {NODE_COUNTS}, {REVIEW},
+con AS (SELECT event_id AS doc, count(*) AS c FROM events GROUP BY 1),
+rep AS (SELECT l_orderkey AS doc, count(*) AS m FROM lineitem GROUP BY 1),
+risks AS (SELECT m.name || ':' || m.key AS left_key, p.key AS right_key, docs FROM pairs JOIN vmat m ON mk = m.key JOIN vproc p ON pk = p.key
+          WHERE docs <= 3 ORDER BY docs, m.name, m.key, p.key LIMIT 24),
+best AS (SELECT c_name AS name, count(DISTINCT o_orderkey) AS docs FROM orders JOIN customer ON o_custkey = c_custkey
+         GROUP BY 1 ORDER BY docs DESC, name LIMIT 12)
+SELECT 'coverage' AS part, topic AS left_key, '' AS right_key, count(*) AS a, coalesce(sum(c), 0)::BIGINT AS b, coalesce(sum(m), 0)::BIGINT AS c
+FROM tagged LEFT JOIN con USING (doc) LEFT JOIN rep USING (doc) GROUP BY ALL
+UNION ALL SELECT 'risk', left_key, right_key, docs, 0, 0 FROM risks
+UNION ALL SELECT 'expert', name, '', docs, 0, 0 FROM best
+UNION ALL SELECT 'review', label, '', count(*), 0, 0 FROM review GROUP BY ALL
+UNION ALL SELECT 'documents', '', '', sum(n) FILTER (label = 'Document')::BIGINT, sum(n) FILTER (label = 'Conclusion')::BIGINT,
+       sum(n) FILTER (label = 'Measurement')::BIGINT FROM node_counts
+UNION ALL SELECT 'entities', '', '', sum(n) FILTER (label IN ('Material', 'Process', 'Equipment', 'Facility'))::BIGINT,
+       (SELECT count(*) FROM review), 0 FROM node_counts""")
+def kept_dashboard(spark, base):
+    shown = _kept(spark, base).dashboard(1000)
+    row = lambda df, part, left, right, *values: df.select(
+        F.lit(part).alias("part"), left.alias("left_key"), right.alias("right_key"),
+        *[v.cast("long").alias(n) for v, n in zip([*values, F.lit(0), F.lit(0)], "abc")])
+    empty, col = F.lit(""), F.col
+    parts = [
+        row(shown["coverage"], "coverage", col("topic"), empty, col("docs"), col("conclusions"), col("measurements")),
+        row(shown["risk_pairs"], "risk", F.concat("material", F.lit(":"), "material_key"), col("process_key"), col("docs")),
+        row(shown["experts"], "expert", col("name"), empty, col("docs")), row(shown["review_by_label"], "review", col("label"), empty, col("n")),
+        row(shown["totals"], "documents", empty, empty, col("documents"), col("conclusions"), col("measurements")),
+        row(shown["totals"], "entities", empty, empty, col("entities"), col("needs_review"), col("reviewed")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH {REVIEW} SELECT label, CASE label WHEN 'Conclusion' THEN key ELSE name END AS name, NULL::VARCHAR AS created_at
+FROM review ORDER BY label, 2, key LIMIT 150""")
+def newly_met(spark, base):
+    return A.newly_met(records(spark, base), 150)
+
+
 @query("""
 SELECT c_name AS name, count(DISTINCT o_orderkey) AS docs FROM orders JOIN customer ON o_custkey = c_custkey
 GROUP BY 1 ORDER BY docs DESC, name LIMIT 12""")

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators.fulltext import search_index, search_texts, update_index, write_index
+from lodegraph.operators.fulltext import delete_from_index, search_index, search_texts, update_index, write_index
 from lodegraph.operators.fusion import channel, fuse
 from lodegraph.operators.measurements import measurement_candidates
 from lodegraph.operators.similarity import nearest
 from lodegraph.operators.traversal import graph_candidates
+from lodegraph.operators.vector_index import VectorIndex
 from lodegraph.plans.search import hybrid_search as run_hybrid
 from lodegraph.plans.search import fulltext_fragments as fragments_of
 from lodegraph.plans.search import experts_for_topic, semantic_search, with_entities
@@ -57,6 +58,21 @@ def vector_topk(spark, base):
     return nearest(text_vectors(spark, base), query_vector(spark, base), 20).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {VECTORS}
+SELECT vec_id || ':1' AS chunk_id, round(sim, 6) AS score, (row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1'))::INT AS rank
+FROM sims QUALIFY rank <= 20""")
+def vector_index_topk(spark, base):
+    """The same from the stored index, after a load with wrong, missing and surplus vectors, a batch and a deletion."""
+    vectors = text_vectors(spark, base)
+    index = VectorIndex(spark, f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}", rows_a_band=32)
+    part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3))
+    ghosts = vectors.where(part == 0).select(F.concat(F.lit("ghost-"), "id").alias("id"), "embedding")
+    index.build(vectors.where(part == 0).unionByName(vectors.where(part == 1).withColumn("embedding", F.reverse("embedding"))).unionByName(ghosts))
+    index.update(vectors.where(part != 0))
+    index.delete(ghosts.select("id"))
+    return index.search(query_vector(spark, base), 20).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {VECTORS},
 top AS (SELECT vec_id, sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id || ':1') AS r FROM sims
         WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY r <= 8)
@@ -94,9 +110,14 @@ def _stored(spark, base):
     g.node("Chunk").write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{folder}/chunks")
     g.nodes["Chunk"] = spark.read.parquet(f"{folder}/chunks")
     half = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2)) == 0
-    # in two steps: a first load, then a batch that brings the rest and some texts again
-    write_index(g.node("Chunk").where(half), f"{folder}/index")
-    update_index(g.node("Chunk").where(~half | (F.col("seq") == 1)), f"{folder}/index")
+    # in three steps: a first load with texts that do not stay as they are, a batch that brings the rest and the
+    # changed ones, and a deletion
+    chunks = g.node("Chunk")
+    first = chunks.where(half).withColumn("text", F.when(F.col("seq") == 1, F.reverse("text")).otherwise(F.col("text")))
+    ghosts = chunks.where(half & (F.col("seq") == 2)).withColumn("id", F.concat(F.lit("ghost-"), "id"))
+    write_index(first.unionByName(ghosts), f"{folder}/index")
+    update_index(chunks.where(~half | (F.col("seq") == 1)), f"{folder}/index")
+    delete_from_index(ghosts.select("id"), f"{folder}/index")
     return g, f"{folder}/index"
 
 
