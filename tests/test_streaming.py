@@ -1,6 +1,7 @@
 import pytest
 
 from lodegraph import cli
+from lodegraph.sinks import audit
 from lodegraph.streaming import jobs
 
 CHUNK = "id string, doc_id string, seq int, unit_no int, unit_kind string, text string"
@@ -52,7 +53,7 @@ def test_conclusions_are_versioned_batch_by_batch(spark, store, folder):
 def test_audit_stream(spark, folder):
     land(spark, f"{folder}/in", [("t1", "u", None)], "ts string, user string, q string")
     work_off(jobs.audit_log(jobs.arriving(spark, f"{folder}/in", "ts string, user string, q string"), f"{folder}/log", f"{folder}/cp"))
-    assert [r["value"] for r in spark.read.text(f"{folder}/log").collect()] == ['{"ts":"t1","user":"u"}']
+    assert [r["record"] for r in audit.tail(spark, f"{folder}/log").collect()] == ['{"ts":"t1","user":"u"}']
 
 
 def test_command_line(spark, folder, capsys):

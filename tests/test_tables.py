@@ -110,17 +110,17 @@ def test_index_after_inserts_changes_and_deletes(spark, folder, monkeypatch):
     texts, path = {f"d{i}": text() for i in range(60)}, f"{folder}/index"
     write_index(frame(texts), path)
     sizes = []
-    for step in range(7):
+    for step in range(5):
         batch = {f"d{rng.randint(0, 80)}": text() for _ in range(6)} | ({"empty": ""} if step == 2 else {})
         before = files(path)
         update_index(frame(batch), path)
         texts |= batch
-        if step in (3, 5):
+        if step == 3:
             gone = rng.sample(sorted(texts), 5) + ["nobody"]
             delete_from_index(spark.createDataFrame([(g,) for g in gone], "id string"), path)
             texts = {k: v for k, v in texts.items() if k not in gone}
         sizes.append(len(files(path) - before))
-        for query in ("w1x w2x", f"w{step}x", "w7x w7x nothing", "?"):
+        for query in ("w1x w2x", "?") if step == 2 else ("w7x w7x nothing",):
             assert ranked(search_index(spark, path, query, 12)) == ranked(search_texts(frame(texts), query, 12)), (step, query)
     state = manifests.load(spark, path)[1]
     assert len(state["segments"]) <= 4  # merged on the way
@@ -187,7 +187,7 @@ def test_vector_index_follows_batches(spark, cloud, folder, monkeypatch):
     held = {k: rows[k] for k in list(rows)[:300]}
     index = VectorIndex(spark, f"{folder}/vectors", rows_a_band=20)
     index.build(vectors_of(spark, held))
-    for step in range(6):
+    for step in range(5):
         batch = {f"v{rng.integers(0, 400)}": rng.normal(size=12).tolist() for _ in range(12)}
         batch |= {"v1": [0.0] * 12} if step == 1 else {}
         before = files(f"{folder}/vectors/rows")
@@ -195,7 +195,7 @@ def test_vector_index_follows_batches(spark, cloud, folder, monkeypatch):
         held |= batch
         if step == 0:
             assert before <= files(f"{folder}/vectors/rows")
-        if step == 4:
+        if step == 3:
             index.delete(spark.createDataFrame([("v2",), ("v3",)], "id string"))
             held = {k: v for k, v in held.items() if k not in ("v2", "v3")}
         q = rng.normal(size=12).tolist()

@@ -152,6 +152,45 @@ def fulltext_materials(spark, base):
     return search_texts(nodes, MATERIAL_QUERY, 25, "p_partkey", "shown").withColumn("score", F.round("score", 6))
 
 
+# one index over nodes of several labels: names, grades and texts are fields with weights
+NODES = """
+fields AS (SELECT 'M' || p_partkey AS id, 'name' AS field, p_name AS text FROM part
+           UNION ALL SELECT 'M' || p_partkey, 'grade', p_brand || ' ' || p_type FROM part
+           UNION ALL SELECT 'C' || event_id, 'text', 'the red ' || event_type || ' of ' || props FROM events
+           UNION ALL SELECT 'D' || o_orderkey, 'name', 'Order ' || o_orderpriority FROM orders)
+"""
+NODE_QUERY = "red widgets of economy Brand#7: urgent clicks"
+FIELD_WEIGHTS = {"name": 2.0, "grade": 1.0, "text": 0.25}
+
+
+@query(f"""WITH {NODES},
+terms AS (SELECT DISTINCT {stem_sql('w')} AS term FROM (SELECT unnest({tokens_sql(f"'{NODE_QUERY}'")}) AS w)),
+words AS (SELECT id, field, unnest({tokens_sql('text')}) AS w FROM fields),
+lens AS (SELECT id, field, len({tokens_sql('text')}) AS dl FROM fields),
+tf AS (SELECT id, field, term, count(*) AS tf FROM (SELECT id, field, {stem_sql('w')} AS term FROM words) JOIN terms USING (term) GROUP BY ALL),
+dfs AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+tot AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY 1),
+scored AS (SELECT id, sum(CASE field WHEN 'name' THEN 2.0 WHEN 'grade' THEN 1.0 ELSE 0.25 END
+                * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+           FROM tf JOIN dfs USING (field, term) JOIN lens USING (id, field) JOIN tot USING (field) GROUP BY 1)
+SELECT id AS chunk_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, id))::INT AS rank FROM scored QUALIFY rank <= 30""")
+def fulltext_fields(spark, base):
+    text = lambda column: F.col(column).cast("string")
+    nodes = table(spark, base, "part").select(
+        F.concat(F.lit("M"), text("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("grade"))
+    nodes = nodes.unionByName(table(spark, base, "events").select(
+        F.concat(F.lit("C"), text("event_id")).alias("id"), F.concat(F.lit("the red "), "event_type", F.lit(" of "), "props").alias("text")), allowMissingColumns=True)
+    nodes = nodes.unionByName(table(spark, base, "orders").select(
+        F.concat(F.lit("D"), text("o_orderkey")).alias("id"), F.concat(F.lit("Order "), "o_orderpriority").alias("name")), allowMissingColumns=True)
+    path = f"{checkpoint_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    fields = {f: f for f in FIELD_WEIGHTS}
+    half = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2)) == 0
+    # a first load with names and texts changed about, then a batch that puts them right and brings the rest
+    write_index(nodes.where(half).select("id", F.col("text").alias("name"), "grade", F.col("name").alias("text")), path, "id", fields)
+    update_index(nodes, path, "id", fields)
+    return search_index(spark, path, NODE_QUERY, 30, weights=FIELD_WEIGHTS).withColumn("score", F.round("score", 6))
+
+
 # the four channels, then fusion; ranks count from 1
 def fused_sql(languages: str | None = None, size: int = 50, text_only: bool = False) -> str:
     """`languages`: those of the documents a reader may see; hidden ones leave before every channel's cut."""
