@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import once, rebatched
 
 UNKNOWN = "und"
 ORDER = 4
-# the training sample: documents a language, characters a document, languages
-DOCS_A_LANGUAGE, LONGEST_SAMPLE, LANGUAGES = 300, 16_000, 32
+# the training sample: documents a language and all together, but LEAST of each language at least; characters an excerpt
+DOCS_A_LANGUAGE, DOCS_IN_ALL, LEAST_A_LANGUAGE, EXCERPT = 300, 9_600, 20, 16_000
+# a text that takes more than this under every language is explained by none: uniform bytes take as much
+BITS_A_BYTE = 8.0
 # start of every text, so that its first bytes have a full context too
 PAD = b"\n" * ORDER
 SCORED_AT_ONCE = 1 << 20
@@ -135,30 +137,36 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return Model(languages, codes, escapes)
 
 
-def sample(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, longest: int = LONGEST_SAMPLE,
-           languages: int = LANGUAGES) -> dict[str, list[str]]:
-    """The training texts: a bounded sample of the labelled rows (doc_id, text, lang).
+def sample(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, docs_in_all: int = DOCS_IN_ALL,
+           least: int = LEAST_A_LANGUAGE, excerpt: int = EXCERPT) -> dict[str, list[str]]:
+    """The training texts by label: a bounded sample of the labelled rows (doc_id, text, lang).
 
-    Of each of the `languages` most frequent labels, about `docs_a_language`
-    non-empty texts of up to `longest` characters, chosen by a hash of their
-    id and text. The driver holds no more than that.
+    Every label is learned. Of each the `docs_a_language` distinct texts with
+    the least hash of id and text are taken, fewer where there are so many
+    labels that they would exceed `docs_in_all`, but never under `least`. Of a
+    text above `excerpt` characters a part of that length counts, from a place
+    that its hash chooses. The driver holds no more than that.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.length("text").between(1, longest))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") >= 1))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
+    each = max(least, min(docs_a_language, docs_in_all // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.5 * docs_a_language / n)])
-    drawn = usable.select("lang", "text", draw.alias("u")).where(F.col("u") < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.5 * each / n)])
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
+    drawn = usable.select("lang", F.substring("text", begin, F.lit(excerpt)).alias("text"), draw.alias("u")).where(F.col("u") < share[F.col("lang")])
+    # repeated rows draw alike, so they fold before the cut, which acts in every task first
+    best = Window.partitionBy("lang").orderBy("u", "text")
     found: dict[str, list[str]] = {}
-    for r in sorted(drawn.limit(4 * docs_a_language * len(counts)).collect(), key=lambda r: (r["lang"], r["u"])):
+    for r in drawn.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= each).orderBy("lang", "place").collect():
         found.setdefault(r["lang"], []).append(r["text"])
-    return {lang: own[:docs_a_language] for lang, own in found.items()}
+    return found
 
 
-def scored(model: Model, batch_texts: list[str]) -> tuple[list[str], list[float]]:
-    """Predicted language and posterior of each text."""
-    best, score = [UNKNOWN] * len(batch_texts), [0.0] * len(batch_texts)
+def scored(model: Model, batch_texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """Predicted language of each text, its posterior and the bits a byte takes under it."""
+    best, score, cost = [UNKNOWN] * len(batch_texts), [0.0] * len(batch_texts), [0.0] * len(batch_texts)
     asked = [i for i, t in enumerate(batch_texts) if t and any(map(str.isalpha, t))] if model.languages else []
     begin = 0
     while begin < len(asked):
@@ -179,16 +187,17 @@ def scored(model: Model, batch_texts: list[str]) -> tuple[list[str], list[float]
             edges = np.stack([starts, stops], 1).ravel()
             edges = edges[:-1] if edges[-1] >= len(lengths) else edges
             bits = np.add.reduceat(lengths, edges, axis=0, dtype=np.float64)[::2]
-        for i, row in zip(asked[begin:end], bits):
+        for i, row, part in zip(asked[begin:end], bits, parts):
             at = int(np.argmin(row))
+            cost[i] = float(row[at]) / len(part)
             best[i] = model.languages[at]
             score[i] = float(1.0 / np.exp2(np.minimum(row[at] - row, 0)).sum())
         begin = end
-    return best, score
+    return best, score, cost
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """Adds lang_pred and score to the columns `keep` of `docs`, whose text is column `text`.
+    """Adds lang_pred, score and bits (a byte) to the columns `keep` of `docs`, whose text is column `text`.
 
     * null text or text without a letter (empty too): `und`, score 0;
     * a model without languages (no labelled rows): every text is `und`;
@@ -202,14 +211,14 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = once(("language", stamp), lambda: Model.of(held.value))
         for batch in rebatched(batches, "text", 4 << 20):
-            best, score = scored(trees, batch.column("text").to_pylist())
+            best, score, bits = scored(trees, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                [*keep, "lang_pred", "score"],
+                [batch.column(c) for c in keep] + [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
+                [*keep, "lang_pred", "score", "bits"],
             )
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{names}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{names}, lang_pred string, score double, bits double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -231,12 +240,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     model = train(docs)
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return predict(rows, model, "doc_id", "held_out")
+    return predict(rows, model, "doc_id", "held_out").drop("bits")
 
 
-def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised: not `und`, with a posterior of `least` or more."""
+def recognised(docs: DataFrame, least: float = 0.5, most: float = BITS_A_BYTE) -> DataFrame:
+    """The documents whose language is recognised: not `und`, with a posterior of `least` or more, and explained by it.
+
+    The posterior tells languages apart only; text of none of them, or no text
+    at all, takes more than `most` bits a byte under each, at any length.
+    """
     clash = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(c).alias(clash[c]) for c in docs.columns], F.col("text"))
-    kept = predict(inner, train(docs), *clash.values()).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & (F.col("bits") <= most)
+    kept = predict(inner, train(docs), *clash.values()).where(known)
     return kept.select(*[F.col(inside).alias(c) for c, inside in clash.items()])

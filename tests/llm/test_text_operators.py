@@ -202,6 +202,29 @@ def test_code_lengths_equal_the_plain_trees():
         assert np.allclose(got, [want[x] for x in model.languages], rtol=1e-4)
 
 
+def test_every_label_is_learned(docs):
+    rng = random.Random(13)
+    letters = [chr(0x430 + i) for i in range(32)] + [chr(0x3B1 + i) for i in range(16)]
+    rows = []
+    for k in range(40):  # more labels than a list of frequent ones would hold, each with syllables of its own
+        own = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(6)]
+        rows += [(1000 * k + i, " ".join(rng.choice(own) for _ in range(40)), f"l{k:02d}", "s") for i in range(9)]
+    long_ones = [(90_000 + i, spoken(rng, "bb", 7000), "long", "s") for i in range(12)]
+    copies = [(95_000, "same text of a label " * 3, "hot", "s")] * 500 + [(95_001 + i, f"{spoken(rng, 'cc', 30)}", "hot", "s") for i in range(9)]
+    got = {r.doc_id: r for r in language_id.identify(docs(rows + long_ones + copies)).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang, _ in rows + long_ones if got[i].held_out]
+    assert len({lang for _, lang in held}) >= 35 and all(a == b for a, b in held)
+    assert any(lang == "long" for _, lang in held)
+
+
+def test_text_of_no_language_goes_at_any_length(docs):
+    rng = random.Random(14)
+    noise = [(2000 + n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) + "q", None, "s") for n in (12, 40, 300, 20_000)]
+    noise += [(3000, "плавка меди и никеля", None, "s"), (3001, "日本語の文章", None, "s")]
+    kept = {r.doc_id for r in language_id.recognised(docs(language_rows() + noise)).collect()}
+    assert kept == set(range(240))
+
+
 def test_recognised_drops_only_rejects(docs):
     rows = language_rows() + [(1000, None, "aa", "s"), (1002, "12", "bb", "s")]
     table = docs(rows)
