@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 from lodegraph.extraction.client import EXTRACT_PROMPT, FRAGMENT_TEMPLATE, Client, complete_json
-from lodegraph.extraction.schema import RESULT, read_answer
+from lodegraph.extraction.schema import read_answers
 from lodegraph.functions.ids import person_id
 from lodegraph.functions.text import fold, strip
 from lodegraph.functions.vectors import Encoder, encode_column
@@ -64,34 +65,41 @@ def breadth_sample(graph: Graph, per_document: int = 20, done: DataFrame | None
     return stride_sample(pending, per_document, F.floor(F.col("seq") / 1000)).select("id")
 
 
+ANSWERED = "chunk_id string, error string, raw string"
+
+
 def call_model(chunks: DataFrame, make_client: Callable[[], Client], workers: int = 1,
                partitions: int | None = None) -> DataFrame:
-    """One row per chunk: the answer's lists, or `error`.
+    """One row per chunk: the answer's JSON as it came, or `error`.
 
     A failing chunk never fails the task. The number of partitions bounds the
     concurrent calls, `workers` those within a task.
     """
-    fields = ("materials", "processes", "equipment", "facilities", "measurements", "conclusions", "topics", "authors")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
 
-        def ask(row) -> dict:
+        def ask(row) -> tuple:
             try:
                 year = f", {int(row.year)}" if pd.notna(row.year) and row.year else ""
                 prompt = FRAGMENT_TEMPLATE.format(title=row.title, category=row.category, year=year,
                                                   unit_kind=row.unit_kind, unit_no=row.unit_no, text=row.text)
-                return {"chunk_id": row.id, "error": None, **read_answer(complete_json(client, EXTRACT_PROMPT, prompt))}
+                return row.id, None, json.dumps(complete_json(client, EXTRACT_PROMPT, prompt), ensure_ascii=False)
             except Exception as problem:  # noqa: BLE001
-                return {"chunk_id": row.id, "error": f"{type(problem).__name__}: {problem}", **dict.fromkeys(fields)}
+                return row.id, f"{type(problem).__name__}: {problem}", None
 
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
-                answers = list(pool.map(ask, batch.itertuples(index=False)))
-                yield pd.DataFrame(answers, columns=["chunk_id", "error", *fields])
+                yield pd.DataFrame(list(pool.map(ask, batch.itertuples(index=False))), columns=["chunk_id", "error", "raw"])
 
     spread = chunks.repartition(partitions) if partitions else chunks
-    return spread.select("id", "title", "category", "year", "unit_kind", "unit_no", "text").mapInPandas(run, RESULT)
+    return spread.select("id", "title", "category", "year", "unit_kind", "unit_no", "text").mapInPandas(run, ANSWERED)
+
+
+def answers_of(answered: DataFrame) -> DataFrame:
+    """The answers with their lists in the place of `raw`; `error` also tells what could not be read."""
+    read = read_answers(answered)
+    # a call that failed has no answer to find fault with
+    return read.withColumn("error", F.coalesce("error", "problem")).drop("problem")
 
 
 @dataclass
@@ -244,10 +252,10 @@ class Ledger:
         return max((int(c[5:]) for c in children(self.spark, self.root) if c.startswith("wave=")), default=0) + 1
 
     def answers(self, since: int = 0) -> DataFrame:
-        """(asked, wave, answer columns) of the complete waves from `since` on."""
+        """(asked, wave, answer columns) of the complete waves from `since` on, read anew from what the model wrote."""
         paths = [f"{self.root}/wave={n}" for n in self._waves() if n >= since]
-        schema = f"asked string, wave int, {RESULT}"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema = f"asked string, wave int, {ANSWERED}"
+        return answers_of(self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema))
 
     def append(self, answers: DataFrame) -> None:
         number = self.following()

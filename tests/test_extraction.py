@@ -4,9 +4,9 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from lodegraph.extraction.client import ModelError, RetryingClient, RuleClient, complete_json
+from lodegraph.extraction.client import ModelError, RetryingClient, RuleClient, complete_json, object_in
 from lodegraph.extraction.pipeline import extract, save
-from lodegraph.extraction.schema import Malformed, read_answer, read_object
+from lodegraph.extraction.schema import read_answers
 from lodegraph.plans.analytics import conclusion_history
 from lodegraph.operators.resolve import new_entities
 
@@ -111,16 +111,40 @@ def test_edges_without_ends_are_left_out(loaded, spark):
     assert loaded.read("AUTHORED_BY").count() == 0
 
 
-def test_answers_are_read_leniently():
-    assert read_object('Here: ```json\n{"a": {"b": 1}}``` done') == {"a": {"b": 1}}
-    with pytest.raises(Malformed):
-        read_object("nothing")
-    kept = read_answer({"measurements": [{"property": "p", "value": "1-2", "value_max": None}]})["measurements"][0]
-    assert kept["value_max"] is None  # a key that is there wins, even when null
-    with pytest.raises(Malformed):
-        read_answer({"conclusions": [{"text": "x", "confidence": 2}]})
-    with pytest.raises(Malformed):
-        read_answer({"materials": [{"name": " "}]})
+def read(spark, *answers):
+    rows = [(a if isinstance(a, str) else json.dumps(a),) for a in answers]
+    return [r.asDict(True) for r in spark.createDataFrame(rows, "raw string").coalesce(1).transform(read_answers).withColumnRenamed("problem", "error").collect()]
+
+
+def test_answers_are_read_leniently(spark):
+    good = {"topics": ["a", 5], "authors": [{"name": "B"}, {"x": 1}, "C"], "facilities": ["Nikkelverk (Норвегия)", {"name": " N ", "country": "РФ"}, "x (y"]}
+    found = read(spark, f"Here: ```json\n{json.dumps(good)}``` done", "nothing", '{"a": 1', {}, {"materials": None}, {"materials": [" "]}, {"processes": [3]})
+    assert found[0]["error"] is None and found[0]["topics"] == ["a", "5"] and found[0]["authors"] == ["B", "", "C"]
+    assert [(f["name"], f["country"]) for f in found[0]["facilities"]] == [("Nikkelverk", "Норвегия"), ("N", "РФ"), ("x (y", None)]
+    assert [f["error"] is None for f in found[1:]] == [False, False, True, False, False, False]
+    assert found[3]["materials"] == [] and found[4]["topics"] is None
+
+
+def test_numbers_of_an_answer(spark):
+    condition = lambda **c: {"measurements": [{"property": "p", "value": 1, "conditions": [{"parameter": "t", **c}]}]}
+    cases = [
+        ({"value": "1-2"}, ("range", 1.0, 2.0, None, None)), ({"value": "1-2", "value_max": None, "op": "<="}, ("<=", 1.0, None, None, None)),
+        ({"value": "60 °C", "unit": ""}, ("=", 60.0, None, "°C", None)), ({"value": "60 °C", "unit": "K"}, ("=", 60.0, None, "K", None)),
+        ({"value": "warm"}, ("=", None, None, None, "warm")), ({"value": 5, "value_max": "7"}, ("=", 5.0, 7.0, None, None)), ({}, ("=", None, None, None, None)),
+    ]
+    for (_, want), got in zip(cases, read(spark, *[condition(**c) for c, _ in cases])):
+        row = got["measurements"][0]["conditions"][0]
+        assert (row["op"], row["value"], row["value_max"], row["unit"], row["raw"]) == want
+    bad = [condition(op=None), condition(value=[1]), condition(value_max="x"), condition(unit=3), {"measurements": [5]}, {"measurements": [{"value": 1}]},
+           {"conclusions": [{"text": "x", "confidence": 2}]}, {"conclusions": [{"text": "x", "confidence": None}]}, {"conclusions": [{"confidence": 0.5}]}]
+    assert all(r["error"] for r in read(spark, *bad))
+    measured = {"measurements": [
+        {"property": "a", "value": "1-2", "value_max": None}, {"property": "b", "value": "x"}, {"property": "c"}, {"value": "none at all"}, {"property": "d", "value": True},
+        {"property": "e", "value": 3, "value_max": "4-6 %"}, {"property": "f", "value": "-0,25 В", "value_max": "?", "conditions": None}]}
+    rows = read(spark, measured)[0]["measurements"]
+    assert [(m["property"], m["value"], m["value_max"], m["unit"]) for m in rows] == [("a", 1.0, None, None), ("e", 3.0, 6.0, None), ("f", -0.25, None, "В")]
+    sure = read(spark, {"conclusions": ["plain", {"text": "t", "confidence": "0.4", "materials": ["a", 1]}]})[0]["conclusions"]
+    assert [(c["text"], c["confidence"], c["materials"]) for c in sure] == [("plain", 0.7, []), ("t", 0.4, ["a", "1"])]
 
 
 def test_calls_are_retried_and_asked_again():
@@ -140,9 +164,16 @@ def test_calls_are_retried_and_asked_again():
     assert pauses == [1, 2]
 
 
-def test_rule_client_finds_names_and_numbers():
+def test_objects_in_prose():
+    assert object_in('Here: ```json\n{"a": {"b": 1}}``` done {x}') == {"a": {"b": 1}}
+    for text in ("nothing", '{"a": 1', "{x}"):
+        with pytest.raises(ValueError):
+            object_in(text)
+
+
+def test_rule_client_finds_names_and_numbers(spark):
     client = RuleClient({"materials": ["медь"], "processes": ["обжиг"]})
-    found = read_answer(complete_json(client, "", "Document: x\n\nОбжиг дал извлечение = 95,5 % и медь"))
+    found = read(spark, complete_json(client, "", "Document: x\n\nОбжиг дал извлечение = 95,5 % и медь"))[0]
     assert [m["name"] for m in found["materials"]] == ["медь"] and found["measurements"][0]["value"] == 95.5
 
 

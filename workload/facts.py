@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodegraph.extraction.schema import read_answers
 from lodegraph.functions.numeric import parse_numeric
 from lodegraph.operators.measurements import measurement_candidates
 from lodegraph.operators.sampling import stride_sample
@@ -63,6 +64,39 @@ def conditions_json(spark, base):
         "event_id", "c.value", "c.parameter", "c.op")
 
 
+# model answers with fences, ranges, numbers as text, unreadable numbers and, every seventh line, a missing end
+@query("""
+SELECT l_orderkey::VARCHAR AS doc_id, l_linenumber AS line, k = 7 AS failed, CASE WHEN k <> 7 THEN 'm' || l_partkey END AS material,
+       CASE WHEN k % 4 <> 2 AND k <> 7 THEN l_quantity END AS value, CASE WHEN k % 4 = 0 THEN l_quantity + 5 END AS value_max,
+       CASE WHEN k = 7 THEN NULL WHEN k % 4 = 3 THEN 'kg' WHEN k % 4 <> 2 THEN l_linestatus END AS unit,
+       CASE WHEN k = 7 THEN NULL WHEN k % 4 = 0 THEN 'range' WHEN k % 4 = 3 THEN '<=' END AS op,
+       CASE WHEN k % 4 = 0 THEN l_discount END AS low, CASE WHEN k % 4 = 0 THEN l_discount + 1 END AS high,
+       CASE WHEN k % 4 = 3 AND k <> 7 THEN 'warm' END AS raw,
+       CASE WHEN k = 7 THEN NULL WHEN k % 2 = 0 THEN 0.7 ELSE 0.5 END::DOUBLE AS sure
+FROM (SELECT *, l_linenumber AS k FROM lineitem)""")
+def answers_lenient(spark, base):
+    k, text = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
+    measured = (
+        F.when(k % 4 == 0, F.concat(F.lit('"value": "'), text("l_quantity"), F.lit("–"), (F.col("l_quantity") + 5).cast("string"), F.lit(" "), "l_linestatus",
+                                    F.lit('", "conditions": [{"parameter": "d", "value": "'), text("l_discount"), F.lit("-"), (F.col("l_discount") + 1).cast("string"), F.lit('"}]')))
+        .when(k % 4 == 1, F.concat(F.lit('"value": '), text("l_quantity"), F.lit(', "conditions": null, "unit": "'), "l_linestatus", F.lit('"')))
+        .when(k % 4 == 2, F.lit('"value": "not measured"'))
+        .otherwise(F.concat(F.lit('"value": "'), text("l_quantity"), F.lit(' kg.", "value_max": null, "unit": "", "conditions": [{"parameter": "d", "op": "<=", "value": "warm"}]')))
+    )
+    name = F.concat(F.lit("m"), text("l_partkey"))
+    material = F.when(k % 2 == 0, F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.concat(F.lit('{"name": " '), name, F.lit(' "}')))
+    conclusion = F.when(k % 2 == 0, F.lit('"it works"')).otherwise(F.lit('{"text": "it works", "confidence": "0.5"}'))
+    raw = F.concat(F.lit('As asked:\n```json\n{"materials": ['), material, F.lit('], "measurements": [{"property": "p", '), measured,
+                   F.lit('}], "conclusions": ['), conclusion, F.when(k == 7, F.lit("]")).otherwise(F.lit("]}\n```")))
+    read = read_answers(table(spark, base, "lineitem").select(text("l_orderkey").alias("doc_id"), k.alias("line"), raw.alias("raw")))
+    one = F.get(F.col("measurements"), F.lit(0))
+    held = F.get(one["conditions"], F.lit(0))
+    return read.select(
+        "doc_id", "line", F.col("problem").isNotNull().alias("failed"), F.get(F.col("materials"), F.lit(0))["name"].alias("material"),
+        one["value"].alias("value"), one["value_max"].alias("value_max"), one["unit"].alias("unit"), held["op"].alias("op"),
+        held["value"].alias("low"), held["value_max"].alias("high"), held["raw"].alias("raw"), F.get(F.col("conclusions"), F.lit(0))["confidence"].alias("sure"))
+
+
 # --- versions -----------------------------------------------------------------
 
 VERSIONED = """
