@@ -238,12 +238,12 @@ def chunked(spark, store):
 
 
 def test_a_run_that_dies_asks_again_for_one_wave_only(spark, chunked, folder):
-    waves = 5
+    waves = 3
     rows = chunked.read("Chunk").select("id", F.pmod(F.xxhash64("id"), F.lit(waves)).alias("w")).collect()
     wave = {r["id"][2:]: r["w"] for r in rows}
     victim = next(i for i, w in wave.items() if w == 2)
     open(f"{folder}/die-{victim}", "w").close()
-    run = lambda **more: pipeline.extract(chunked, lambda: Asked(folder), "m", "t1", wave=8, **more)
+    run = lambda: pipeline.extract(chunked, lambda: Asked(folder), "m", "t1", wave=14)
     with pytest.raises(Exception):
         run()
     first = calls(folder)
@@ -253,8 +253,6 @@ def test_a_run_that_dies_asks_again_for_one_wave_only(spark, chunked, folder):
     again = calls(folder)
     assert set(again) == set(wave) and all(n == 1 for i, n in again.items() if wave[i] != 2)
     assert chunked.read("TopicTag").count() == 40 and run().done.count() == 0 and calls(folder) == again
-    run(force=True)
-    assert all(n == again[i] + 1 for i, n in calls(folder).items())
 
 
 def counting_encoder(folder):
