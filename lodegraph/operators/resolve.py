@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import contains_stems, name_stems, normalize_name, reachable_stems, tokens
+from lodegraph.operators.components import connected
 from lodegraph.operators.topn import first_per_group
 from lodegraph.session import cut_lineage
 
@@ -84,40 +86,80 @@ def resolve_mentions(mentions: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def new_entities(unknown: DataFrame) -> DataFrame:
+# rounds in which names nobody else can claim are settled at once, before the rest is walked group by group
+ROUNDS = 3
+
+
+def new_entities(unknown: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(label, variant, key, name, name_en): the nodes a run has to create.
 
     Mentions are taken in order: the first to bring an unseen name creates a
     node and reserves its name and its English name; a later mention with
-    either of them belongs to that node and reserves nothing. Every round
-    settles all mentions that no unsettled earlier one can claim, so a few
-    rounds over the distinct unknown names do. One row per reserved variant.
-    Needs (label, name, name_en, position), position being total.
+    either of them belongs to that node and reserves nothing. One row per
+    reserved variant. Needs (label, name, name_en, position), position being
+    total; mentions without any name create nothing.
+
+    A round settles all mentions that no unsettled earlier one can claim.
+    Long chains, where each name waits for the one before, would take a round
+    a link, so after a fixed number of rounds what is left is grouped by the
+    names that hang together (see `connected`) and each group is walked in
+    order by one task, which holds the reserved names of one group.
     """
     names = first_per_group(
-        unknown.select("label", normalize_name("name").alias("n"), F.coalesce(normalize_name("name_en"), F.lit("")).alias("e"),
-                       "name", "name_en", "position"),
+        unknown.select("label", F.coalesce(normalize_name("name"), F.lit("")).alias("n"),
+                       F.coalesce(normalize_name("name_en"), F.lit("")).alias("e"), "name", "name_en", "position"),
         ["label", "n", "e"], [F.col("position")],
     )
-    open_names = cut_lineage(names)
-    settled = None
-    while True:
+    open_names = cut_lineage(names.where("n <> '' or e <> ''"))
+    settled = _reserved(open_names.limit(0))
+    for _ in range(rounds):
+        if open_names.isEmpty():
+            return settled
         variants = open_names.select("label", "position", F.explode(F.array_distinct(F.array("n", "e"))).alias("variant")) \
             .where(F.col("variant") != "")
         firsts = variants.groupBy("label", "variant").agg(F.min("position").alias("first"))
         mine = variants.join(firsts, ["label", "variant"])
         leading = mine.groupBy("label", "position").agg(F.bool_and(F.col("first") == F.col("position")).alias("lead"))
-        fresh = open_names.join(leading.where("lead").drop("lead"), ["label", "position"])
-        reserved = cut_lineage(fresh.select(
-            "label", F.explode(F.array_distinct(F.array("n", "e"))).alias("variant"),
-            F.concat(F.substring("label", 1, 1), F.lit(":"), F.col("n")).alias("key"), "name", "name_en", "position",
-        ).where(F.col("variant") != ""))
-        settled = reserved if settled is None else settled.unionByName(reserved)
+        reserved = cut_lineage(_reserved(open_names.join(leading.where("lead").drop("lead"), ["label", "position"])))
+        settled = settled.unionByName(reserved)
         taken = reserved.select("label", "variant")
-        rest = (
+        open_names = cut_lineage(
             open_names.join(taken.withColumnRenamed("variant", "n"), ["label", "n"], "left_anti")
             .join(taken.withColumnRenamed("variant", "e"), ["label", "e"], "left_anti")
         )
-        open_names = cut_lineage(rest)
-        if open_names.isEmpty():
-            return settled
+    return settled if open_names.isEmpty() else settled.unionByName(cut_lineage(_reserved(_walked(open_names))))
+
+
+def _reserved(fresh: DataFrame) -> DataFrame:
+    key = F.concat(F.substring("label", 1, 1), F.lit(":"), F.coalesce(F.nullif("n", F.lit("")), "e"))
+    return fresh.select(
+        "label", F.explode(F.array_distinct(F.array("n", "e"))).alias("variant"), key.alias("key"), "name", "name_en", "position",
+    ).where(F.col("variant") != "")
+
+
+def _walked(names: DataFrame) -> DataFrame:
+    """Those of `names` that create a node, by the plain rule inside each connected group.
+
+    Two variants whose hashes collide only put their groups together.
+    """
+    both = names.withColumn("_a", F.xxhash64("label", F.when(F.col("n") == "", F.col("e")).otherwise(F.col("n")))) \
+        .withColumn("_b", F.when(F.col("e") == "", F.col("_a")).otherwise(F.xxhash64("label", "e")))
+    roots = connected(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    grouped = both.join(roots.toDF("_a", "_root"), "_a").drop("_a", "_b")
+
+    def walk(batches):
+        group, taken = None, set()
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "label", "n", "e")]
+            fresh = []
+            for root, label, *forms in zip(*columns):
+                if root != group:
+                    group, taken = root, set()
+                own = {(label, form) for form in forms if form}
+                fresh.append(taken.isdisjoint(own))
+                if fresh[-1]:
+                    taken |= own
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    ordered = grouped.repartition("_root").sortWithinPartitions("_root", "position")
+    return ordered.mapInArrow(walk, grouped.schema).drop("_root")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back.
+
+    For rounds: unlike a checkpoint it hands no constraints of its plan on to the next.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

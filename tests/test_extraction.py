@@ -1,4 +1,5 @@
 import json
+import random
 import sys
 
 import pytest
@@ -177,17 +178,47 @@ def test_rule_client_finds_names_and_numbers(spark):
     assert [m["name"] for m in found["materials"]] == ["медь"] and found["measurements"][0]["value"] == 95.5
 
 
+def in_order(rows):
+    """(label, key) of the nodes created when mentions are taken one by one."""
+    taken, created = set(), set()
+    for label, name, english, _ in sorted(rows, key=lambda r: r[3]):
+        forms = [f.lower() for f in (name, english) if f]
+        if forms and taken.isdisjoint((label, f) for f in forms):
+            created.add((label, f"{label[0]}:{forms[0]}"))
+            taken.update((label, f) for f in forms)
+    return created
+
+
+MENTIONED = "label string, name string, name_en string, position int"
+
+
+def created_from(spark, rows, **more):
+    got = new_entities(spark.createDataFrame(rows, MENTIONED), **more).collect()
+    assert len({(r["label"], r["variant"]) for r in got}) == len(got)
+    return {(r["label"], r["key"]) for r in got}
+
+
 def test_new_names_follow_the_order_of_mentions(spark):
-    rows = [("Process", "x", "y", 1), ("Process", "y", "z", 2), ("Process", "z", None, 3), ("Process", "X", None, 4), ("Material", "x", None, 5)]
-
-    def sequential():
-        keys, created = {}, set()
-        for label, name, english, _ in rows:
-            forms = [f.lower() for f in (name, english) if f]
-            if not any((label, f) in keys for f in forms):
-                created.add((label, f"{label[0]}:{forms[0]}"))
-                keys.update({(label, f): forms[0] for f in forms})
-        return created
-
-    got = new_entities(spark.createDataFrame(rows, "label string, name string, name_en string, position int"))
-    assert {(r["label"], r["key"]) for r in got.collect()} == sequential()
+    rows = [("Process", "x", "y", 1), ("Process", "y", "z", 2), ("Process", "z", None, 3), ("Process", "X", None, 4), ("Material", "x", None, 5),
+            ("Material", None, "q", 6), ("Material", "", "", 7), ("Material", None, None, 8), ("Material", "Q", "r", 9)]
+    for rounds in (0, 1, 3):
+        assert created_from(spark, rows, rounds=rounds) == in_order(rows)
+    assert created_from(spark, []) == set()
+
+
+def test_long_chains_of_names_take_few_rounds(spark, monkeypatch):
+    from lodegraph.operators import components
+
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, plain=components.written: tables.append(1) or plain(df))
+    rows = [("Process", f"n{i}", f"n{i + 1}", i) for i in range(10_000)] + [("Material", f"n{i}", f"n{i // 2}", i + 20_000) for i in range(300)]
+    assert created_from(spark, rows) == in_order(rows)
+    # four tables a round: some ten rounds for ten thousand links
+    assert len(tables) < 4 * 14
+
+
+def test_names_at_random_follow_the_order_of_mentions(spark):
+    dice = random.Random(5)
+    rows = [(dice.choice(["Process", "Material"]), f"v{dice.randrange(60)}", dice.choice([None, f"v{dice.randrange(60)}"]), i) for i in range(150)]
+    for rounds in (0, 2):
+        assert created_from(spark, rows, rounds=rounds) == in_order(rows)
