@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -109,24 +110,36 @@ def plain_cells(rows):
     return keys, tokens, {k: n for k, n in cells.items() if n}
 
 
+def filled(wanted, bounds, total):
+    """`wanted` scaled to `total` within `bounds`: the factor found by halving an interval."""
+    if sum(bounds.values()) <= total * (1 + 1e-12):
+        return dict(bounds)
+    low, high = 0.0, 1.0
+    while sum(min(bounds[k], high * w) for k, w in wanted.items()) < total:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(bounds[k], mid * w) for k, w in wanted.items()) < total else (low, mid)
+    return {k: min(bounds[k], high * w) for k, w in wanted.items()}
+
+
 def test_sampling_equals_plain_fitting(docs):
     rows = mixing_rows()
     keys, tokens, cells = plain_cells(rows)
+    whole = sum(cells.values())
+    bounds = {k: n / (mixing.BUDGET * whole) for k, n in cells.items()}
     goals = []
     for d, name in enumerate(mixing.DIMENSIONS):
-        own = {}
+        own, held = Counter(), Counter()
         for k, n in cells.items():
-            own[k[d]] = own.get(k[d], 0) + n
-        own = {v: n ** mixing.POWERS[name] for v, n in own.items()}
-        goals.append({v: n / sum(own.values()) for v, n in own.items()})
+            own[k[d]] += n
+            held[k[d]] += bounds[k]
+        goals.append(filled({v: n ** mixing.POWERS[name] for v, n in own.items()}, held, 1.0))
     weight = {k: float(n) for k, n in cells.items()}
     for _ in range(mixing.SWEEPS):
         for d in range(3):
-            total = {}
-            for k, w in weight.items():
-                total[k[d]] = total.get(k[d], 0) + w
-            weight = {k: w * goals[d][k[d]] / total[k[d]] for k, w in weight.items()}
-    whole = sum(cells.values())
+            for v, goal in goals[d].items():
+                weight |= filled({k: w for k, w in weight.items() if k[d] == v}, {k: b for k, b in bounds.items() if k[d] == v}, goal)
     want = []
     for (doc_id, *_), k, n in zip(rows, keys, tokens):
         p = min(1.0, mixing.BUDGET * weight[k] * whole / cells[k]) if k in cells else mixing.BUDGET
@@ -147,5 +160,20 @@ def test_marginals_meet_their_targets(docs):
     assert all(abs(share - goal) < 1e-3 for share, goal in shares.values())
 
 
+def test_what_cannot_be_met_goes_to_the_others(docs):
+    """A hot source, two small ones wanted for far more than they hold: the budget is spent all the same."""
+    rows = [(i, "alpha beta gamma delta", ("en", "de")[i % 2], "hot" if i >= 90 else "mid" if i >= 10 else "small") for i in range(3000)]
+    targets = {"source": {"small": 0.3, "mid": 0.3}}
+    cells = mixing.cells(mixing.described(docs(rows)))
+    shares = {r.value: r for r in mixing.marginals(mixing.raked(cells, targets, budget=0.5)).collect() if r.dimension == "source"}
+    assert [round(shares[v].wanted, 9) for v in ("small", "mid", "hot")] == [0.3, 0.3, 0.4]
+    for value, held in (("small", 10 / 1500), ("mid", 80 / 1500), ("hot", 1410 / 1500)):
+        assert abs(shares[value].share - held) < 1e-9 and abs(shares[value].goal - held) < 1e-9
+    chances = {r.source: r.probability for r in mixing.sampled(docs(rows), targets=targets).collect()}
+    assert chances["small"] == chances["mid"] == 1.0 and abs(chances["hot"] - 1410 / 2910) < 1e-9
+    none = mixing.sampled(docs(rows), targets={"source": {"small": 0.0}}).collect()
+    assert not any(r.kept for r in none if r.source == "small") and any(r.kept for r in none if r.source == "hot")
+
+
 def test_mixing_empty_table(docs):
     assert mixing.sampled(docs([])).collect() == []
