@@ -29,6 +29,8 @@ def resolve_texts(dictionary: DataFrame, texts: DataFrame, id_col: str = "id", t
     rarest one does: that stem meets the texts in an equality join, and for
     the pairs found the spelling's stems are counted in the text by another.
     Rows are pairs of ids and stems throughout; no list of words travels.
+    Those rows are many more than their texts, whose size is all that is known
+    of them, so both of their joins are merges: neither may become a broadcast.
     """
     written = (
         dictionary.select("label", "key", "name", F.explode("variants").alias("variant"))
@@ -43,7 +45,7 @@ def resolve_texts(dictionary: DataFrame, texts: DataFrame, id_col: str = "id", t
     reach = texts.select(
         F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.transform(words, reachable_stems)))).alias("st")
     ).join(spelled.select("st").distinct(), "st", "left_semi")
-    reach = cut_lineage(reach)
+    reach = cut_lineage(reach).hint("merge")
     rarity = reach.groupBy("st").agg(F.count(F.lit(1)).alias("n"))
     anchored = first_per_group(
         spelled.join(rarity, "st", "left").select("spelling", F.coalesce("n", F.lit(0)).alias("n"), "st"),

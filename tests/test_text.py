@@ -50,6 +50,12 @@ def test_many_texts_resolve_like_single_questions(spark, dictionary):
     assert found == {(i, k) for i, keys in enumerate(QUESTIONS.values()) for k in keys}
 
 
+def test_words_of_texts_are_never_broadcast(spark, dictionary):
+    texts = spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, text string")
+    plan = resolve_texts(dictionary, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [st#" in plan and "SortMergeJoin [id#" in plan
+
+
 def test_stems_of_texts_are_those_of_their_words(spark):
     words = ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "Мёд", "медь", "Плавка", "плавки", "x1y2z3", "ß", "naïve"]
     texts = [*words, " ".join(words), "-".join(words), "", None]
