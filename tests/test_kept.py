@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodegraph.graph import Graph
 from lodegraph.plans import analytics
 from lodegraph.plans.kept import Kept
@@ -110,3 +112,20 @@ def test_an_empty_graph(spark, folder):
     for name, got, want in dashboards(kept, graph):
         assert got == want, name
     assert kept.applied() is None
+
+
+def test_tests_of_one_labels_ids_meet_no_other_keys(spark, folder):
+    rows = {name: [] for name in SCHEMAS}
+    rows["Document"], rows["Process"] = [(str(i), f"doc {i}") for i in range(9)], [("P#1", "proc 1", None)]
+    rows["MENTIONS"] = [(str(i), "Process", "P#1", 1) for i in range(9)]
+    whole, third = graph_of(spark, rows), "cast(id as bigint) % 3 = 0"
+    before = Graph(nodes=whole.nodes.with_tables(Document=whole.node("Document").where(f"not ({third})")), edges=whole.edges)
+    kept = Kept(spark, f"{folder}/kept")
+    kept.rebuild(before)
+    new = whole.node("Document").where(third)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept.update(before, whole, new.select("id"), new.select(F.lit("Document").alias("label"), F.col("id").alias("key")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept.totals().first()["documents"] == 9

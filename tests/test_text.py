@@ -50,8 +50,9 @@ def test_many_texts_resolve_like_single_questions(spark, dictionary):
     assert found == {(i, k) for i, keys in enumerate(QUESTIONS.values()) for k in keys}
 
 
-def test_words_of_texts_are_never_broadcast(spark, dictionary):
-    texts = spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, text string")
+def test_words_of_texts_are_never_broadcast(spark, dictionary, tmp_path):
+    spark.createDataFrame(list(enumerate(QUESTIONS)), "id int, text string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
     plan = resolve_texts(dictionary, texts)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [st#" in plan and "SortMergeJoin [id#" in plan
 
