@@ -17,6 +17,7 @@ from lodegraph.operators.resolve import resolve_question
 from lodegraph.operators.similarity import nearest
 from lodegraph.operators.topn import top_rows
 from lodegraph.operators.traversal import document_entities, entities_array, graph_candidates
+from lodegraph.session import cut_lineage, written
 
 DOCUMENT_COLUMNS = ("title", "category", "journal", "conference", "language", "rel_path")
 
@@ -102,7 +103,8 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
     seen, within = chunks, None
     if filtered:
         seen = chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
-        within = seen.select(F.col("id").alias("chunk_id"))
+        # every channel asks for these ids; the texts are not cut anew for each
+        within = written(seen.select(F.col("id").alias("chunk_id")))
         mentions = mentions.join(documents.select(F.col("doc_id").alias("src_id")), "src_id", "left_semi")
     if vector is None and encoder is not None:
         vector = encoder([query])[0]
@@ -147,6 +149,7 @@ def hybrid_search(graph: Graph, query: str, vector: Sequence[float] | None = Non
 
 def with_entities(graph: Graph, hits: DataFrame) -> DataFrame:
     """Adds `entities`: the top entities of each hit's document, empty if none."""
+    hits = cut_lineage(hits)  # k rows; the search is not run again for each of its two uses
     wanted = hits.select(F.col("doc_id").alias("src_id")).distinct()
     edges = graph.mentions().join(F.broadcast(wanted), "src_id", "left_semi")
     arrays = entities_array(document_entities(edges, graph.entities()))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodegraph.functions.chunking import chunk_single_units
 from lodegraph.functions.vectors import hashing_encoder
 from lodegraph.graph import Graph, UnknownLabel
 from lodegraph.operators.fulltext import search_index, search_texts, write_index
@@ -225,3 +226,33 @@ def test_first_of_each_group(spark):
 def test_unknown_labels_are_refused(corpus):
     with pytest.raises(UnknownLabel):
         corpus.node("Planet")
+
+
+@pytest.fixture
+def cut_graph(spark):
+    """Documents whose chunks are cut when they are asked for."""
+    docs = spark.createDataFrame([(f"D{i}", "медь плавка шлак. " * (90 * i), "ru" if i % 2 else "en") for i in range(6)], "doc_id string, text string, language string")
+    return Graph(nodes={"Document": docs.select(F.col("doc_id").alias("id"), F.lit("t").alias("title"), "language"), "Chunk": chunk_single_units(docs),
+                        "Material": spark.createDataFrame([("M:медь", "медь")], "id string, name string")},
+                 edges={"MENTIONS": spark.createDataFrame([("D1", "Material", "M:медь", 1, "D1:1")], "src_id string, dst_label string, dst_id string, count bigint, source string")})
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_in_small_batches(cut_graph):
+    assert "BatchEvalPython" in plan_of(cut_graph.node("Chunk")) and "ArrowEvalPython" not in plan_of(cut_graph.node("Chunk"))
+
+
+def test_texts_are_analysed_once(cut_graph):
+    found = search_texts(cut_graph.node("Chunk"), "плавка", 3)
+    assert "split(" not in plan_of(found) and "regexp" not in plan_of(found) and found.count() == 3
+
+
+def test_filtered_channels_do_not_cut_the_texts_anew(spark, cut_graph):
+    vectors = spark.createDataFrame([("D1:1", [1.0, 0.0]), ("D2:1", [0.0, 1.0])], "id string, embedding array<double>")
+    hits = hybrid_search(cut_graph, "плавка", [1.0, 0.5], language="ru", vectors=vectors, entity_keys=["M:медь"])
+    assert plan_of(hits).count("EvalPython [split(") == 1
+    assert {r["doc_id"] for r in hits.collect()} <= {"D1", "D3", "D5"}
+    assert "split(" not in plan_of(with_entities(cut_graph, hits))
