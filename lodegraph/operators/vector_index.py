@@ -34,6 +34,8 @@ from lodegraph.sinks.segments import Segments
 MOST_LISTS, SAMPLE_A_LIST, ROUNDS = 16_384, 64, 8
 RECALL, JUDGES, JUDGED = 0.98, 128, 10
 ROWS_A_BAND = 50_000
+# cells of the tables of likeness a task holds at a time, 8 bytes each
+CELLS = 1 << 18
 # more than what a score or an angle loses in double precision
 SLACK = 1e-7
 
@@ -56,12 +58,20 @@ def _fitted(rows: DataFrame, count: int, lists: int) -> np.ndarray:
     return unit_rows(np.array(model.clusterCenters()))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _placed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds list and angle: the nearest centroid's number and the angle to it."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # lists grow with the index: as many rows at a time as the table of their likeness has room for
+        for batch in sliced(batches, max(1, CELLS // len(centroids))):
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             likeness = unit_rows(flat.reshape(-1, centroids.shape[1])) @ centroids.T
             best = likeness.argmax(axis=1)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lodegraph.operators.sampling import stride_sample
 from lodegraph.operators.segmented import running_rank
 from lodegraph.operators.similarity import nearest
 from lodegraph.operators.topn import first_per_group
+from lodegraph.operators.vector_index import sliced
 from lodegraph.operators.versioning import replay
 from lodegraph.plans.answer import answer_question, fragments, parse_question
 from lodegraph.plans.search import check_request, document_filter, hybrid_search, semantic_search, with_entities
@@ -256,3 +258,8 @@ def test_filtered_channels_do_not_cut_the_texts_anew(spark, cut_graph):
     assert plan_of(hits).count("EvalPython [split(") == 1
     assert {r["doc_id"] for r in hits.collect()} <= {"D1", "D3", "D5"}
     assert "split(" not in plan_of(with_entities(cut_graph, hits))
+
+
+def test_batches_are_placed_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["x"])
+    assert [b.column(0).to_pylist() for b in sliced(iter([batch, batch.slice(0, 0)]), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
