@@ -12,7 +12,7 @@ from lodegraph.graph import CARD_LABELS, ENTITY_LABELS, Graph, column_or_null, i
 from lodegraph.operators.pairs import coverage, gaps
 from lodegraph.operators.topn import top_per_group, top_rows
 from lodegraph.operators.traversal import comention_counts, mentioned, neighbours
-from lodegraph.session import cut_lineage
+from lodegraph.session import cut_lineage, side, written
 
 
 def verified(graph: Graph, label: str) -> DataFrame:
@@ -367,7 +367,8 @@ def conclusions_about(graph: Graph, processes: Sequence[str]) -> DataFrame:
 
 def measurement_report(graph: Graph) -> DataFrame:
     """Every measurement with its property, document and place."""
-    properties = graph.node("Property").select(F.col("name").alias("property"))
+    # few properties have most measurements: dealt by property, these would meet in a few tasks
+    properties = side(written(graph.node("Property").select(F.col("name").alias("property")).distinct()))
     titles = graph.node("Document").select(F.col("id").alias("doc_id"), "title")
     found = graph.node("Measurement").select("doc_id", "property", "value", "value_max", "unit", "conditions", "place")
     return found.join(properties, "property", "left_semi").join(titles, "doc_id")

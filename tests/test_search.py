@@ -16,6 +16,7 @@ from lodegraph.operators.similarity import nearest
 from lodegraph.operators.topn import first_per_group
 from lodegraph.operators.vector_index import sliced
 from lodegraph.operators.versioning import replay
+from lodegraph.plans.analytics import measurement_report
 from lodegraph.plans.answer import answer_question, fragments, parse_question
 from lodegraph.plans.search import check_request, document_filter, hybrid_search, semantic_search, with_entities
 
@@ -263,3 +264,14 @@ def test_filtered_channels_do_not_cut_the_texts_anew(spark, cut_graph):
 def test_batches_are_placed_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(10))], ["x"])
     assert [b.column(0).to_pylist() for b in sliced(iter([batch, batch.slice(0, 0)]), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+def test_measurements_are_not_dealt_by_property(spark):
+    rows = [(f"D{i % 5}", f"p{i % 3}", float(i), None, None, None, "here") for i in range(20)]
+    graph = Graph(nodes={
+        "Measurement": spark.createDataFrame(rows, "doc_id string, property string, value double, value_max double, unit string, conditions string, place string"),
+        "Property": spark.createDataFrame([("p0",), ("p0",), ("p1",)], "name string"),
+        "Document": spark.createDataFrame([(f"D{i}", f"doc {i}") for i in range(4)], "id string, title string")})
+    found = measurement_report(graph)
+    assert "Exchange hashpartitioning(property" not in plan_of(found)
+    assert sorted(r["value"] for r in found.collect()) == [float(i) for i in range(20) if i % 3 < 2 and i % 5 < 4]
