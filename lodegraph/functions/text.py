@@ -6,6 +6,8 @@ matters for Latin-script corpora (sharp s) and is used for every comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it; for use inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(x: Column | str) -> Column:
     return F.replace(F.lower(_col(x)), F.lit("ß"), F.lit("ss"))
 

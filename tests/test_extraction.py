@@ -148,6 +148,17 @@ def test_numbers_of_an_answer(spark):
     assert [(c["text"], c["confidence"], c["materials"]) for c in sure] == [("plain", 0.7, []), ("t", 0.4, ["a", "1"])]
 
 
+def test_values_of_an_answer_are_asked_for_once(spark):
+    frame = spark.createDataFrame([('{"topics": [1, "a", {"b": null}], "authors": [{"name": 2}, 3]}',)], "raw string").transform(read_answers)
+    row = frame.first()
+    assert (row.topics, row.authors) == (["1", "a", '{"b":null}'], ["2", "3"])
+    # in a lambda every mention of an expression is work of its own
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("try_variant_get(") < 100
+
+
 def test_calls_are_retried_and_asked_again():
     calls, pauses = [], []
 
