@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions.chunking import chunk_single_units
 from lodegraph.functions.vectors import hashing_encoder
 from lodegraph.graph import Graph, UnknownLabel
-from lodegraph.operators.fulltext import search_index, search_texts, write_index
+from lodegraph.operators.fulltext import analyze, postings, search_index, search_texts, write_index
 from lodegraph.operators.fusion import channel, diversify, fetch_size, fuse
 from lodegraph.operators.pairs import coverage, gaps
 from lodegraph.operators.sampling import stride_sample
@@ -275,3 +275,15 @@ def test_measurements_are_not_dealt_by_property(spark):
     found = measurement_report(graph)
     assert "Exchange hashpartitioning(property" not in plan_of(found)
     assert sorted(r["value"] for r in found.collect()) == [float(i) for i in range(20) if i % 3 < 2 and i % 5 < 4]
+
+
+def test_postings_cut_endings_of_single_words(spark):
+    texts = [("a", "Wörter, WORDS words word wor Ёлки ёлка 1234567 123456 12345 123 x"), ("b", ""), ("c", None), ("a", "words again")]
+    docs = spark.createDataFrame(texts, "id string, text string")
+    found = postings(docs)
+    want = {}
+    for row in docs.where("text is not null").select("id", analyze("text").alias("w")).collect():
+        for term in ["", *row.w]:
+            want[term, row.id] = want.get((term, row.id), 0) + 1
+    assert {(r.term, r.chunk_id): r.tf for r in found.collect()} == want
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
