@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.topn import ordered_collect, top_per_group, top_rows
+from lodegraph.session import TASK_ROWS, dealt, written
 
 # --- fixed values -----------------------------------------------------------
 DOCUMENT_ENTITIES = 12
@@ -72,14 +73,19 @@ def mentioned(mentions: DataFrame, label: str, keys: DataFrame, name: str) -> Da
 
 
 def comention_counts(mentions: DataFrame, left: DataFrame, right: DataFrame,
-                     left_label: str, right_label: str) -> DataFrame:
+                     left_label: str, right_label: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """(left_key, right_key, docs): documents mentioning both, by pair.
 
-    Edges are first cut to the wanted entities. A document adds one to a pair,
-    so pairs are counted before they are shuffled; a document or an entity
-    with very many edges is split by the skew join.
+    Edges are first cut to the wanted entities and written, so that they are
+    counted: beyond what the shuffle's parts hold in `task_rows` each they are
+    dealt to more parts. A document adds one to a pair, so pairs are counted
+    before they are shuffled; a document with very many edges is split by the
+    skew join while edges are few enough not to be dealt.
     """
-    pairs = mentioned(mentions, left_label, left, "left_key").join(mentioned(mentions, right_label, right, "right_key"), "doc_id")
+    of_left = written(mentioned(mentions, left_label, left, "left_key"))
+    of_right = written(mentioned(mentions, right_label, right, "right_key"))
+    rows = of_left.count() + of_right.count()
+    pairs = dealt(of_left, rows, "doc_id", task_rows=task_rows).join(dealt(of_right, rows, "doc_id", task_rows=task_rows), "doc_id")
     return pairs.groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("docs"))
 
 

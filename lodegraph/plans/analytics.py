@@ -24,6 +24,18 @@ def pair_counts(graph: Graph, left: str = "Material", right: str = "Process") ->
     return comention_counts(graph.mentions(), verified(graph, left), verified(graph, right), left, right)
 
 
+def _left_named(graph: Graph, label: str) -> DataFrame:
+    """(key, material) of a label's verified nodes, one row for each pair of rows that share a key."""
+    known = verified(graph, label)
+    return known.select("key").join(known.select("key", F.col("name").alias("material")), "key")
+
+
+def _right_named(pairs: DataFrame, graph: Graph, label: str) -> DataFrame:
+    """Adds the name of the other side: few keys, so pairs are not dealt by them."""
+    names = verified(graph, label).select(F.col("key").alias("right_key"), F.col("name").alias("process"))
+    return pairs.join(side(names), "right_key").withColumnsRenamed({"left_key": "material_key", "right_key": "process_key"})
+
+
 def _named(pairs: DataFrame, graph: Graph, left: str, right: str) -> DataFrame:
     names_l = verified(graph, left).select(F.col("key").alias("left_key"), F.col("name").alias("material"))
     names_r = verified(graph, right).select(F.col("key").alias("right_key"), F.col("name").alias("process"))
@@ -39,7 +51,8 @@ def gap_matrix(graph: Graph, left: str = "Material", right: str = "Process") ->
 
 def knowledge_gaps(graph: Graph, left: str = "Material", right: str = "Process") -> DataFrame:
     """Verified pairs without a single document mentioning both."""
-    return _named(gaps(verified(graph, left), verified(graph, right), pair_counts(graph, left, right)), graph, left, right)
+    missing = gaps(_left_named(graph, left), verified(graph, right), pair_counts(graph, left, right))
+    return _right_named(missing, graph, right).select("process_key", "material_key", "material", "process")
 
 
 def gap_pivot(graph: Graph, rows: int = 20, columns: int = 20) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -15,8 +16,9 @@ from lodegraph.operators.segmented import running_rank
 from lodegraph.operators.similarity import nearest
 from lodegraph.operators.topn import first_per_group
 from lodegraph.operators.vector_index import sliced
+from lodegraph.operators.traversal import comention_counts
 from lodegraph.operators.versioning import replay
-from lodegraph.plans.analytics import measurement_report
+from lodegraph.plans.analytics import measurement_report, verified
 from lodegraph.plans.answer import answer_question, fragments, parse_question
 from lodegraph.plans.search import check_request, document_filter, hybrid_search, semantic_search, with_entities
 
@@ -192,6 +194,36 @@ def test_pairs_with_many_buckets(spark):
         assert missing == {pair for pair in cells if pair not in known}
 
 
+@pytest.fixture
+def covered(spark):
+    """A graph with repeated keys and edges, a missing key and a name without a document."""
+    rng = random.Random(7)
+    edges = [(str(rng.randint(0, 30)), label, f"{label[0]}{rng.randint(0, 9)}") for label in ("Material", "Process") for _ in range(80)]
+    nodes = {label: [(f"{label[0]}{i}", f"name {i}", i == 3) for i in range(12)] + [(f"{label[0]}1", "second", None), (None, None, False)]
+             for label in ("Material", "Process")}
+    graph = Graph(nodes={k: spark.createDataFrame(v, "id string, name string, needs_review boolean") for k, v in nodes.items()},
+                  edges={"MENTIONS": spark.createDataFrame(edges, "src_id string, dst_label string, dst_id string")})
+    known = {k: [(key, name) for key, name, flag in v if key and not flag] for k, v in nodes.items()}
+    docs = Counter((m, p) for d, a, m in edges for e, b, p in edges if d == e and a == "Material" and b == "Process")
+    return graph, known, docs
+
+
+def test_pairs_are_counted_in_tasks_of_bounded_rows(spark, covered):
+    graph, known, docs = covered
+    wanted = {k: v for k, v in docs.items() if "M3" != k[0] and "P3" != k[1]}
+    sides = [verified(graph, label) for label in ("Material", "Process")]
+    for rows in (10, 1_000_000):
+        counts = comention_counts(graph.mentions(), *sides, "Material", "Process", task_rows=rows)
+        assert {(r.left_key, r.right_key): r.docs for r in counts.collect()} == wanted
+        # more edges than two parts of ten rows hold
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RepartitionByExpression [doc_id" in plan) == (rows == 10)
+        left, right = [side.select("key").distinct() for side in sides]
+        cells = {(r.left_key, r.right_key): r.docs for r in coverage(left, right, counts, task_rows=rows).collect()}
+        keys = [{k for k, _ in known[label]} for label in ("Material", "Process")]
+        assert {k: n for k, n in cells.items() if k[0]} == {(m, p): wanted.get((m, p), 0) for m in keys[0] for p in keys[1]}
+
+
 def test_segmented_ranks_and_samples(spark):
     rows = [("hot", s) for s in range(0, 900, 3)] + [("b", 5), ("b", 7)]
     df = spark.createDataFrame(rows, "doc_id string, seq int")
