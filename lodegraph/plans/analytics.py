@@ -45,8 +45,8 @@ def _named(pairs: DataFrame, graph: Graph, left: str, right: str) -> DataFrame:
 
 def gap_matrix(graph: Graph, left: str = "Material", right: str = "Process") -> DataFrame:
     """(material_key, material, process_key, process, docs), zeros included."""
-    cells = coverage(verified(graph, left), verified(graph, right), pair_counts(graph, left, right))
-    return _named(cells, graph, left, right)
+    cells = coverage(_left_named(graph, left), verified(graph, right), pair_counts(graph, left, right))
+    return _right_named(cells, graph, right).select("process_key", "material_key", "docs", "material", "process")
 
 
 def knowledge_gaps(graph: Graph, left: str = "Material", right: str = "Process") -> DataFrame:
