@@ -36,13 +36,6 @@ def _right_named(pairs: DataFrame, graph: Graph, label: str) -> DataFrame:
     return pairs.join(side(names), "right_key").withColumnsRenamed({"left_key": "material_key", "right_key": "process_key"})
 
 
-def _named(pairs: DataFrame, graph: Graph, left: str, right: str) -> DataFrame:
-    names_l = verified(graph, left).select(F.col("key").alias("left_key"), F.col("name").alias("material"))
-    names_r = verified(graph, right).select(F.col("key").alias("right_key"), F.col("name").alias("process"))
-    return pairs.join(names_l, "left_key").join(names_r, "right_key").withColumnRenamed("left_key", "material_key") \
-        .withColumnRenamed("right_key", "process_key")
-
-
 def gap_matrix(graph: Graph, left: str = "Material", right: str = "Process") -> DataFrame:
     """(material_key, material, process_key, process, docs), zeros included."""
     cells = coverage(_left_named(graph, left), verified(graph, right), pair_counts(graph, left, right))
@@ -100,7 +93,9 @@ def gap_pivot(graph: Graph, rows: int = 20, columns: int = 20) -> DataFrame:
 
 def risk_pairs(graph: Graph, most: int = 3, n: int | None = 24) -> DataFrame:
     """Pairs covered by 1 to `most` documents, the weakest first."""
-    weak = _named(pair_counts(graph).where(F.col("docs") <= most), graph, "Material", "Process")
+    names = verified(graph, "Material").select(F.col("key").alias("left_key"), F.col("name").alias("material"))
+    weak = pair_counts(graph).where(F.col("docs") <= most).join(names, "left_key")
+    weak = _right_named(weak, graph, "Process").select("process_key", "material_key", "docs", "material", "process")
     ordered = weak.orderBy("docs", "material", "material_key", "process_key")
     return ordered.limit(n) if n else ordered
 

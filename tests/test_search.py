@@ -18,7 +18,7 @@ from lodegraph.operators.topn import first_per_group
 from lodegraph.operators.vector_index import sliced
 from lodegraph.operators.traversal import comention_counts
 from lodegraph.operators.versioning import replay
-from lodegraph.plans.analytics import measurement_report, verified
+from lodegraph.plans.analytics import gap_matrix, knowledge_gaps, measurement_report, risk_pairs, verified
 from lodegraph.plans.answer import answer_question, fragments, parse_question
 from lodegraph.plans.search import check_request, document_filter, hybrid_search, semantic_search, with_entities
 
@@ -224,6 +224,23 @@ def test_pairs_are_counted_in_tasks_of_bounded_rows(spark, covered):
         assert {k: n for k, n in cells.items() if k[0]} == {(m, p): wanted.get((m, p), 0) for m in keys[0] for p in keys[1]}
 
 
+def test_named_pairs_are_not_dealt_by_the_short_side(covered):
+    graph, known, docs = covered
+    # names of a repeated key: each with each of the rows that have it
+    times = Counter(key for key, _ in known["Material"])
+    want = Counter()
+    for m, material in known["Material"]:
+        for p, process in known["Process"]:
+            want[(m, material, p, process, docs.get((m, p), 0))] += times[m]
+    matrix, gap, risk = gap_matrix(graph), knowledge_gaps(graph), risk_pairs(graph, n=None)
+    columns = ("material_key", "material", "process_key", "process")
+    assert Counter(tuple(r) for r in matrix.select(*columns, "docs").collect()) == want
+    assert Counter(tuple(r) for r in gap.select(*columns).collect()) == Counter({k[:4]: n for k, n in want.items() if not k[4]})
+    assert Counter(tuple(r) for r in risk.select(*columns, "docs").collect()) == Counter(k for k in want if 1 <= k[4] <= 3)
+    for frame in (matrix, gap, risk):
+        assert "hashpartitioning(right_key" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_segmented_ranks_and_samples(spark):
     rows = [("hot", s) for s in range(0, 900, 3)] + [("b", 5), ("b", 7)]
     df = spark.createDataFrame(rows, "doc_id string, seq int")
