@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.llm import mixing, vector_graph
 
@@ -177,3 +178,22 @@ def test_what_cannot_be_met_goes_to_the_others(docs):
 
 def test_mixing_empty_table(docs):
     assert mixing.sampled(docs([])).collect() == []
+
+
+def test_topics_of_whole_texts(docs):
+    """Every word votes: texts that begin alike differ by what follows, however far behind."""
+
+    def plain(text):
+        classes = [int(hashlib.md5(w.lower().encode()).hexdigest()[:6], 16) % mixing.TOPICS for w in (text or "").split() if len(w) >= 4] or [
+            int(hashlib.md5(b"").hexdigest()[:6], 16) % mixing.TOPICS]
+        return f"t{max(classes, key=lambda c: (classes.count(c), -classes.index(c)))}"
+
+    rng = random.Random(15)
+    rows = [(i, "lead " + " ".join(rng.choice(["Alpha", "beta", "gamma", "délta", "is", "no"]) for _ in range(rng.randint(0, 40))), "en", rng.choice("ab")) for i in range(300)]
+    rows += [(500, None, "en", "a"), (501, "", "en", "a"), (502, "is no", "en", "a"), (503, "lead " + "alpha " * 20_000 + "gamma " * 20_001, "en", "a"), (None, "beta alpha", "en", "b")]
+    topic = mixing.topic_of_words(F.col("text"))
+    got = mixing.sampled(docs(rows), topic=topic).collect()
+    assert sorted((str(r.doc_id), r.topic) for r in got) == sorted((str(i), plain(t)) for i, t, *_ in rows)
+    assert len({r.topic for r in got if r.doc_id is not None and r.doc_id < 300}) > 2
+    kept = mixing.mixed(docs(rows), topic=topic)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
