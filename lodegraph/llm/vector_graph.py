@@ -28,18 +28,28 @@ from lodegraph.session import cut_lineage
 COSINE = 0.95
 # vectors a shard aims at; centres at most; vectors sampled for each centre
 SHARD, CENTRES, SAMPLED = 1000, 16_384, 16
-SPLIT = 2048  # home vectors of a shard beyond which it is dealt to several tasks
+SPLIT = 4096  # members of a shard, at home or not, beyond which it is dealt to several tasks
 OVERLAP, PROBES = 2, 4
 DEGREE, ALPHA, POOL = 24, 1.2, 64
 BEAM, WIDTH, BLOCK = 32, 4, 256
 WIDER = 0.05  # the expansion passes through neighbours this much out of range
 AUDITED, RECALL = 1024, 0.98
+# elements that a table of intermediate results may have; neighbours followed at once
+TABLE, FOLLOWED = 1 << 20, 1 << 18
 
 
 def unit(binaries: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(binaries), np.float64).reshape(len(binaries), -1)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whose rows a table with `width` columns has no more than TABLE elements."""
+    step = max(1, TABLE // max(1, width))
+    for batch in batches:
+        for begin in range(0, batch.num_rows, step):
+            yield batch.slice(begin, step)
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (vec_id, node) and classes (node, weight, v): v is the unit vector in
     double precision; node is null where the vector links with nothing."""
@@ -50,7 +60,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     dimension = rows.where("node is not null").agg(F.max(F.size("e"))).first()[0] or 0
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, dimension):
             lists = batch.column("e").to_pylist()
             out = np.zeros((len(lists), dimension))
             for i, own in enumerate(lists):
@@ -83,9 +93,7 @@ def centres(nodes: DataFrame, count: int) -> np.ndarray:
 def placed(nodes: DataFrame, held, ranks: int) -> DataFrame:
     """(node, weight, v, shard, rank): the `ranks` nearest centres of each class, rank 0 is its home."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches, len(held.value)):
             sims = unit(batch.column("v").to_pylist()).astype(np.float32) @ held.value.T
             n = min(ranks, sims.shape[1])
             order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
@@ -106,7 +114,8 @@ def pruned(data: np.ndarray) -> list[np.ndarray]:
     pool = min(POOL, m - 1)
     if pool < 1:
         return [np.empty(0, np.int64)] * m
-    near = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
+    step = max(1, TABLE // m)
+    near = np.concatenate([np.argpartition(-sims[i : i + step], pool - 1, axis=1)[:, :pool] for i in range(0, m, step)])
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
     far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1)))
     alive, kept = np.ones((m, pool), bool), np.zeros((m, pool), bool)
@@ -170,15 +179,18 @@ class Shard:
         self.weight = np.array(run.column("weight").to_pylist(), np.int64)
         place = {node: i for i, node in enumerate(self.nodes)}
         lists = [[place[x] for x in own or () if x in place] for own in run.column("near").to_pylist()]
-        self.lists = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
-        for i, own in enumerate(lists):
-            self.lists[i, : len(own)] = own
+        # one list after another: a hub's may be as long as the shard
+        self.near = np.array([x for own in lists for x in own], np.int64)
+        self.degree = np.array([len(own) for own in lists], np.int64)
+        self.first = np.cumsum(self.degree) - self.degree
         self.medoid = int((self.data @ self.data.mean(axis=0)).argmax())
 
     def in_range(self, asked: np.ndarray, cosine: float) -> np.ndarray:
         """Which members (columns) the greedy search and the expansion find in range of which vectors (rows)."""
         b, m = len(asked), len(self.nodes)
         seen = np.zeros((b, m), bool)
+        known = seen.reshape(-1)
+        step = max(1, TABLE // asked.shape[1])
         sims = np.full((b, m), -2, np.float32)
         rows = np.arange(b)
         seen[:, self.medoid] = True
@@ -188,16 +200,22 @@ class Shard:
         open_[:, 0] = True
 
         def look(q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Visits the unseen neighbours of members `at` for vectors q; returns the new pairs."""
-            near = self.lists[at]
-            pair = (q[:, None] * m + near)[near >= 0]
-            pair = np.unique(pair)
+            """Visits the unseen neighbours of members `at` for vectors q, some FOLLOWED at a time; returns the new pairs."""
+            new, upto, begin = [], np.cumsum(self.degree[at]), 0
+            while begin < len(q):
+                past = upto[begin] - self.degree[at[begin]] + FOLLOWED
+                end = max(begin + 1, int(np.searchsorted(upto, past, side="right")))
+                from_, n = at[begin:end], self.degree[at[begin:end]]
+                place = np.repeat(self.first[from_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pair = np.repeat(q[begin:end] * m, n) + self.near[place]
+                pair = np.unique(pair[~known[pair]])
+                known[pair] = True
+                new.append(pair)
+                begin = end
+            pair = np.concatenate(new) if new else np.empty(0, np.int64)
             q, at = pair // m, pair % m
-            new = ~seen[q, at]
-            q, at = q[new], at[new]
-            seen[q, at] = True
-            for i in range(0, len(q), 65536):
-                sims[q[i : i + 65536], at[i : i + 65536]] = np.einsum("ij,ij->i", asked[q[i : i + 65536]], self.data[at[i : i + 65536]])
+            for i in range(0, len(q), step):
+                sims[q[i : i + step], at[i : i + step]] = np.einsum("ij,ij->i", asked[q[i : i + step]], self.data[at[i : i + step]])
             return q, at
 
         done = np.zeros((b, m), bool)
@@ -292,11 +310,10 @@ def audit(nodes: DataFrame, counted: DataFrame, cosine: float = COSINE, audited:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, data = [x[0] for x in held.value], unit([x[1] for x in held.value])
         total = np.zeros(len(names), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                weight = np.array(batch.column("weight").to_pylist(), np.int64)
-                other = np.array(batch.column("node").to_pylist())[None, :] != np.array(names)[:, None]
-                total += ((data @ unit(batch.column("v").to_pylist()).T >= cosine) & other) @ weight
+        for batch in _pieces(batches, len(names)):
+            weight = np.array(batch.column("weight").to_pylist(), np.int64)
+            other = np.array(batch.column("node").to_pylist())[None, :] != np.array(names)[:, None]
+            total += ((data @ unit(batch.column("v").to_pylist()).T >= cosine) & other) @ weight
         yield pa.RecordBatch.from_arrays([pa.array([int(total[i]) for i in range(len(names))], pa.int64()), pa.array(range(len(names)), pa.int32())], ["links", "at"])
 
     true = {r["at"]: r["n"] for r in nodes.mapInArrow(run, "links long, at int").groupBy("at").agg(F.sum("links").alias("n")).collect()}
@@ -347,7 +364,7 @@ def _links(nodes: DataFrame, count: int, cosine: float, probes: int) -> tuple[Da
     shards = len(held.value)
     places = cut_lineage(placed(nodes, held, OVERLAP))
     # one row for each of at most CENTRES shards
-    sizes = cut_lineage(places.where("rank = 0").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")))
+    sizes = cut_lineage(places.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")))
     members = cut_lineage(_dealt(places, sizes, False).withColumn("asks", F.lit(False)))
     built = members.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_build, "node string, near array<string>")
     near = cut_lineage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))

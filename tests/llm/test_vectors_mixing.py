@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,19 @@ def test_topics_of_whole_texts(docs):
     assert len({r.topic for r in got if r.doc_id is not None and r.doc_id < 300}) > 2
     kept = mixing.mixed(docs(rows), topic=topic)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
+
+
+def test_a_shard_of_near_copies_is_searched_in_bounded_memory():
+    """Every member is in range of every vector asked, and has a long list; what is looked at at once stays small."""
+    rng = np.random.default_rng(16)
+    data = 1.0 + rng.normal(size=(1200, 16)) * 0.01
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    names = [f"{i:04d}" for i in range(len(data))]
+    near = [[names[(i + k) % len(names)] for k in range(1, 201)] for i in range(len(names))]
+    run = pa.table({"node": names, "v": pa.array([x.tobytes() for x in data], pa.binary()), "rank": [0] * len(names), "weight": [1] * len(names), "near": near})
+    shard = vector_graph.Shard(run)
+    tracemalloc.start()
+    found = shard.in_range(data[:256].astype(np.float32), 0.95)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.all() and most < 100 << 20
