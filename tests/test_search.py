@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions.chunking import chunk_single_units
 from lodegraph.functions.vectors import hashing_encoder
 from lodegraph.graph import Graph, UnknownLabel
+from lodegraph.operators import fulltext
 from lodegraph.operators.fulltext import analyze, postings, search_index, search_texts, write_index
 from lodegraph.operators.fusion import channel, diversify, fetch_size, fuse
 from lodegraph.operators.pairs import coverage, gaps
@@ -336,3 +338,32 @@ def test_postings_cut_endings_of_single_words(spark):
             want[term, row.id] = want.get((term, row.id), 0) + 1
     assert {(r.term, r.chunk_id): r.tf for r in found.collect()} == want
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_index_of_shares_and_ranges(spark, folder, monkeypatch):
+    """Texts analysed a share at a time and postings ordered range by range are those of one step, and no shuffle files stay."""
+    rng = random.Random(71)
+    rows = [(f"d{i}", " ".join(rng.choice(["Red", "blue", "жёлтый", "melting", "of", "ores", "x1"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    rows += [rows[1], (None, "blue without an id"), ("n", None), ("e", "")]
+    table = spark.createDataFrame(rows, "id string, text string")
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    found = []
+    for k, (chars, most) in enumerate([(10**9, 10**9), (1500, 60)]):
+        monkeypatch.setattr(fulltext, "SHARE_CHARS", chars)
+        monkeypatch.setattr(fulltext, "SHARE_ROWS", most)
+        path, count = f"{folder}/index{k}", files()
+        fulltext.write_index(table.where("id is null or id < 'd3'"), path)
+        fulltext.update_index(table.where("id >= 'd2'"), path)
+        until = time.time() + 30
+        while files() > count + 40 and time.time() < until:
+            time.sleep(1)
+        assert files() <= count + 40
+        segments = fulltext._index(spark, path)
+        state = segments.state()
+        posts = segments.read(state).select("term", "chunk_id", "tf").collect()
+        hits = [(r.chunk_id, round(r.score, 9), r.rank) for r in fulltext.search_index(spark, path, "red ores melting", 20).collect()]
+        found.append((sorted(map(repr, posts)), [s["totals"] for s in state["segments"].values()], sorted(map(repr, hits))))
+    for one, other in zip(*found):
+        assert one == other
+    assert len(found[0][2]) == 20
+    assert len(fulltext._ranges(spark.createDataFrame([(f"w{i % 50:02d}", str(i), 1) for i in range(600)], "term string, chunk_id string, tf int"))) > 5
